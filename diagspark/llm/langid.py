@@ -14,7 +14,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import fold
@@ -172,8 +172,6 @@ def train_languages(docs: DataFrame, sample: int = 3_000) -> LanguageModel:
     smallest hashes in turn, so rare languages are in it. What reaches the
     driver is a count vector a sampled row.
     """
-    from pyspark.sql import Window
-
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", 5) != 0))
     # The hash picks each language's candidates in every task first: the window sees few rows of a hot language.
     light = rows.select("doc_id", "lang", F.xxhash64("doc_id", "lang").alias("h"))
@@ -193,8 +191,8 @@ def train_languages(docs: DataFrame, sample: int = 3_000) -> LanguageModel:
     return fit_languages(x, list(table["lang"]))
 
 
-def add_language(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """``docs`` with a column ``language`` struct<lang, score> of every whole text."""
+def add_language(docs: DataFrame, model: LanguageModel, text: str = "text", name: str = "language") -> DataFrame:
+    """``docs`` with a column struct<lang, score> of every whole text."""
 
     @F.pandas_udf("lang string, score double")
     def predicted(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -202,7 +200,7 @@ def add_language(docs: DataFrame, model: LanguageModel, text: str = "text") -> D
             langs, scores = model.predict(list(batch))
             yield pd.DataFrame({"lang": langs, "score": scores})
 
-    return docs.withColumn("language", predicted(F.col(text)))
+    return docs.withColumn(name, predicted(F.col(text)))
 
 
 def languages(docs: DataFrame, sample: int = 3_000) -> DataFrame:
