@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .langid import languages
+from .lm_score import lm_scores
 from .mixing import mixture_plan
 from .packing import packed
 from .quality import quality_scores
@@ -23,6 +24,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_plan(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -35,6 +40,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_mixing, op7_simhash_near_dedup, op9_packing, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_mixing, op4_lm_scoring, op7_simhash_near_dedup, op9_packing, op10_language_id)}
 
 ORACLE_SQL: dict[str, str] = {}
