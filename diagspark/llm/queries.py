@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import warc
 from .langid import languages
 from .lm_score import lm_scores
 from .mixing import mixture_plan
 from .packing import packed
 from .quality import quality_scores
 from .simhash import near_duplicates
+from .warc import warc_round_trip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +26,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_plan(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
@@ -40,6 +46,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_mixing, op4_lm_scoring, op7_simhash_near_dedup, op9_packing, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_mixing, op3_warc, op4_lm_scoring, op7_simhash_near_dedup, op9_packing, op10_language_id)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_warc": warc.ORACLE_SQL}
