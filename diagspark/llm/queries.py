@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import warc
+from .html_extract import main_texts
 from .langid import languages
 from .lm_score import lm_scores
 from .mixing import mixture_plan
@@ -34,6 +35,10 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -46,6 +51,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_mixing, op3_warc, op4_lm_scoring, op7_simhash_near_dedup, op9_packing, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_mixing, op3_warc, op4_lm_scoring, op6_html_extraction, op7_simhash_near_dedup, op9_packing, op10_language_id)}
 
 ORACLE_SQL: dict[str, str] = {"op3_warc": warc.ORACLE_SQL}
