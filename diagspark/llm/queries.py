@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import warc
+from .flac import media_round_trip
 from .html_extract import main_texts
 from .langid import languages
 from .lm_score import lm_scores
@@ -43,6 +44,10 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_media_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_round_trip(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
@@ -51,6 +56,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_mixing, op3_warc, op4_lm_scoring, op6_html_extraction, op7_simhash_near_dedup, op9_packing, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_mixing, op3_warc, op4_lm_scoring, op6_html_extraction, op7_simhash_near_dedup, op8_media_flac, op9_packing, op10_language_id)}
 
 ORACLE_SQL: dict[str, str] = {"op3_warc": warc.ORACLE_SQL}
