@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import warc
 from .flac import media_round_trip
 from .html_extract import main_texts
+from .iblt import fingerprints
 from .langid import languages
 from .lm_score import lm_scores
 from .mixing import mixture_plan
@@ -36,6 +37,10 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(table(spark, sf_dir, "pages"))
 
@@ -56,6 +61,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_mixing, op3_warc, op4_lm_scoring, op6_html_extraction, op7_simhash_near_dedup, op8_media_flac, op9_packing, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_mixing, op3_warc, op4_lm_scoring, op5_fingerprints, op6_html_extraction, op7_simhash_near_dedup, op8_media_flac, op9_packing, op10_language_id)}
 
 ORACLE_SQL: dict[str, str] = {"op3_warc": warc.ORACLE_SQL}
