@@ -28,8 +28,9 @@ from ._common import stored
 
 SEQUENCE = 2048
 END_ID = 1
-_CACHED_WORDS = 600_000
-_PIECE_BYTES = 1 << 20
+_CACHED_WORDS = 1_500_000
+_PIECE_BYTES = 2 << 20
+_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -54,16 +55,24 @@ class WordTokenizer:
         self.special = re.compile("|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or "(?!)")
         self.known: dict[bytes, bytes] = {}
 
-    def _learn(self, words: set[bytes]) -> None:
-        new = list(words)
-        texts = [w.decode("utf-8", "replace") for w in new]
-        found = self.library.encode(" ".join(texts), add_special_tokens=False)
-        ids = np.array(found.ids, self.kind)
-        starts = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
-        at = np.fromiter((a for a, _ in found.offsets), np.int64, len(ids))
-        cuts = np.searchsorted(np.searchsorted(starts, at, side="right") - 1, np.arange(len(new) + 1)) * self.kind.itemsize
-        raw, ends = ids.tobytes(), cuts.tolist()
-        self.known.update((w, raw[ends[k] : ends[k + 1]]) for k, w in enumerate(new))
+    def _learn(self, new: set[bytes]) -> None:
+        """Add words: one that ends in ASCII marks after an ASCII letter, where a pre-token ends too, as the two parts' ids in a row."""
+        halves = {}
+        for word in new:
+            core = word.rstrip(_MARKS)
+            if len(core) < len(word) and core and core[-1:].islower():
+                halves[word] = core, word[len(core) :]
+        alone = list((new - halves.keys()).union(*halves.values()) - self.known.keys())
+        if alone:
+            texts = [w.decode("utf-8", "replace") for w in alone]
+            found = self.library.encode(" ".join(texts), add_special_tokens=False)
+            ids = np.array(found.ids, self.kind)
+            starts = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+            at = np.fromiter((a for a, _ in found.offsets), np.int64, len(ids))
+            cuts = np.searchsorted(np.searchsorted(starts, at, side="right") - 1, np.arange(len(alone) + 1)) * self.kind.itemsize
+            raw, ends = ids.tobytes(), cuts.tolist()
+            self.known.update((w, raw[ends[k] : ends[k + 1]]) for k, w in enumerate(alone))
+        self.known.update((w, self.known[a] + self.known[b]) for w, (a, b) in halves.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
