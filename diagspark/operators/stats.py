@@ -16,11 +16,15 @@ PERCENTILES = (("p5", 0.05), ("median", 0.5), ("p95", 0.95))
 def index_percentiles(points: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
     """The values at places min(trunc((n + 1) * p), n - 1) of each series sorted by value: keys, n, p5, median, p95.
 
-    Meant for sliced and downsampled series, which are short.
+    Equal values are counted in the tasks before anything is shuffled, so a
+    long series of few values is a few rows. Null values do not count.
     """
-    placed = points.withColumns({"__at": F.row_number().over(Window.partitionBy(*keys).orderBy("value")) - 1, "__n": F.count("*").over(Window.partitionBy(*keys))})
+    counted = points.where("value is not null").groupBy(*keys, "value").agg(F.count("*").alias("__c"))
+    order = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counted.withColumns({"__end": F.sum("__c").over(order), "__n": F.sum("__c").over(Window.partitionBy(*keys))})
     at = lambda p: F.least(F.floor((F.col("__n") + 1) * F.lit(p)), F.col("__n") - 1)
-    return placed.groupBy(*keys).agg(F.max("__n").alias("n"), *(F.max(F.when(F.col("__at") == at(p), F.col("value"))).alias(name) for name, p in PERCENTILES))
+    here = lambda p: (F.col("__end") - F.col("__c") <= at(p)) & (at(p) < F.col("__end"))
+    return placed.groupBy(*keys).agg(F.max("__n").alias("n"), *(F.max(F.when(here(p), F.col("value"))).alias(name) for name, p in PERCENTILES))
 
 
 def range_percentiles(points: DataFrame, start: Column, end: Column, keys: Sequence[str] = SERIES, max_points: int | None = MAX_POINTS) -> DataFrame:

@@ -358,7 +358,6 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
     value = F.col("l_quantity").cast("double") * F.when(F.col("l_linenumber") % 7 == 3, 10000).otherwise(2)
     rows = lines.select(F.col("s_nationkey").cast("string").alias("host"), F.element_at(names, (F.col("l_linenumber") % 7 + 1).cast("int")).alias("metric"), value.alias("value"))
     facts = {c: F.lit(None).cast("double") for c in ("mem_size_mb", "cache_gb", "tickets", "mean_ratio")}
-    # Many lines share few values: percentiles by row number would put a series in one task, so series are as in the oracle but short here.
     return C.score(A.index_percentiles(rows, ["host", "metric"]).withColumns(facts), C.formula_table(spark))
 
 

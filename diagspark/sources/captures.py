@@ -116,7 +116,7 @@ def decode_chunk(data: bytes) -> dict[str, list[int]]:
 
 
 def frames(data: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(number, type, body) of a capture's framed documents: type 0 the metadata document, 1 a compressed chunk."""
+    """(number of chunks before, type, body) of a capture's framed documents: type 0 the metadata document, 1 a compressed chunk."""
     at = number = 0
     while at < len(data):
         if at + 4 > len(data) or at + (size := struct.unpack_from("<I", data, at)[0]) > len(data) or size < 5:
@@ -125,7 +125,7 @@ def frames(data: bytes) -> Iterator[tuple[int, int, bytes]]:
         body = found.get("doc") if found.get("type") == 0 else found.get("data")
         if found.get("type") in (0, 1) and isinstance(body, bytes):
             yield number, found["type"], body
-            number += 1
+            number += found["type"]
         at += size
 
 
