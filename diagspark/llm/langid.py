@@ -59,15 +59,16 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def fit_linear_svm(x: np.ndarray, y: np.ndarray, strength: float = 10.0, epochs: int = 12) -> np.ndarray:
-    """Weights of a linear SVM (hinge loss, no offset) by dual coordinate descent; ``y`` is -1 or 1."""
-    w, alpha, square = np.zeros(x.shape[1]), np.zeros(len(x)), np.einsum("ij,ij->i", x, x)
+def fit_linear_svm(x: np.ndarray, y: np.ndarray, rows: np.ndarray, strength: float = 10.0, epochs: int = 12) -> np.ndarray:
+    """Weights of a linear SVM (hinge loss, no offset) by dual coordinate descent on some rows of ``x``; ``y`` is -1 or 1."""
+    w, alpha, square = np.zeros(x.shape[1]), np.zeros(len(rows)), np.einsum("ij,ij->i", x, x)[rows]
     order = np.random.default_rng(7)
     for _ in range(epochs):
-        for i in order.permutation(len(x)):
+        for i in order.permutation(len(rows)):
             if square[i]:
-                new = min(max(alpha[i] - (y[i] * (w @ x[i]) - 1) / square[i], 0.0), strength)
-                w += (new - alpha[i]) * y[i] * x[i]
+                one = x[rows[i]]
+                new = min(max(alpha[i] - (y[i] * (w @ one) - 1) / square[i], 0.0), strength)
+                w += ((new - alpha[i]) * y[i]) * one
                 alpha[i] = new
     return w
 
@@ -151,20 +152,20 @@ def fit_languages(x: np.ndarray, langs: list[str]) -> LanguageModel:
     members = [[n for n in names if family_of(n) == f] for f in families]
     pairs = [pair for group in members for pair in combinations(group, 2)]
     label, kin = np.array(langs, dtype=object), np.array([family_of(n) for n in langs], dtype=object)
-    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    sums = np.maximum(x.sum(axis=1), 1e-12)
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12).astype(x.dtype)
     columns, tasks = [], [(np.ones(len(x), bool), kin == f) for f in families] + [((label == a) | (label == b), label == a) for a, b in pairs]
-    mean = x / np.maximum(x.sum(axis=1, keepdims=True), 1e-12)
     scale = []
     for rows, positive in tasks:
         y = np.where(positive[rows], 1.0, -1.0)
-        w = fit_linear_svm(unit[rows], y) if len(set(y)) == 2 else np.zeros(x.shape[1])
+        w = fit_linear_svm(unit, y, np.flatnonzero(rows)) if len(set(y)) == 2 else np.zeros(x.shape[1])
         columns.append(w)
-        scale.append(3.0 / max(float(np.median(np.abs(mean[rows] @ w))), 1e-9) if rows.any() else 1.0)
+        scale.append(3.0 / max(float(np.median(np.abs((x @ w)[rows] / sums[rows]))), 1e-9) if rows.any() else 1.0)
     weights = np.stack(columns, axis=1) if columns else np.zeros((DIMENSIONS, 0))
     return LanguageModel(families, members, pairs, weights, np.array(scale))
 
 
-def train_languages(docs: DataFrame, sample: int = 3_000) -> LanguageModel:
+def train_languages(docs: DataFrame, sample: int = 2_000) -> LanguageModel:
     """Fit on at most ``sample`` documents of the training fold.
 
     The fold is the rows whose crc32(doc_id as text) mod 5 is not 0 and whose
@@ -187,7 +188,7 @@ def train_languages(docs: DataFrame, sample: int = 3_000) -> LanguageModel:
 
     known = rows.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"]).select("lang", "text")
     table = known.mapInPandas(counted, "lang string, x binary").orderBy("lang", "x").limit(2 * sample).toPandas()
-    x = np.frombuffer(b"".join(map(bytes, table["x"])), np.float32).reshape(-1, DIMENSIONS).astype(np.float64)
+    x = np.frombuffer(b"".join(table["x"]), np.float32).reshape(-1, DIMENSIONS)
     return fit_languages(x, list(table["lang"]))
 
 
@@ -203,7 +204,7 @@ def add_language(docs: DataFrame, model: LanguageModel, text: str = "text", name
     return docs.withColumn(name, predicted(F.col(text)))
 
 
-def languages(docs: DataFrame, sample: int = 3_000) -> DataFrame:
+def languages(docs: DataFrame, sample: int = 2_000) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document.
 
     Null texts and texts without a letter are 'und' with score 0, as is every
