@@ -32,7 +32,7 @@ from ._common import fold, stored, whole
 
 #: The end of a text is a token of its own, and the context of the first word.
 END = b"\n"
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 6 << 20
 #: Hashes that one share of the count adds up, about.
 SHARE_KEYS = 1 << 21
 
@@ -106,6 +106,12 @@ class _Chunk:
         return np.repeat(self.train, np.diff(self.ends, prepend=0))
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch one by one: a chunk's columns are large."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _encode(docs: DataFrame) -> DataFrame:
     """One row a chunk: its documents, and their tokens as numbers."""
     import xxhash
@@ -137,7 +143,8 @@ def _encode(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             id_type = batch.schema.field("doc_id").type
-            for doc, out, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text")), strict=True):
+            for i in range(batch.num_rows):  # one text at a time: a batch holds many
+                doc, out, text = (batch.column(c)[i].as_py() for c in ("doc_id", "held_out", "text"))
                 words = words_of(text)
                 tokens.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
                 ids.append(doc)
@@ -153,12 +160,42 @@ def _encode(docs: DataFrame) -> DataFrame:
     return stored(rows.mapInArrow(encoded, f"chunk long, ids array<{kind}>, train binary, ends binary, words binary, hashes binary"), "chunks")
 
 
+def _dealt(keys: np.ndarray, shares: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the keys by share and, in a share, by key; and where each share begins."""
+    order = np.argsort(keys)
+    share = ((keys[order] >> np.uint64(20)) % np.uint64(shares)).astype(np.int64)
+    by_share = np.argsort(share, kind="stable")
+    return order[by_share], np.searchsorted(share[by_share], np.arange(shares + 1))
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys: how many have each first byte, then the other seven bytes of each."""
+    heads = np.bincount((keys >> np.uint64(56)).astype(np.int64), minlength=256).astype("<u4").tobytes()
+    return heads + keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+
+
+def _unpack_keys(raw: bytes) -> np.ndarray:
+    heads = np.repeat(np.arange(256, dtype=np.uint8), np.frombuffer(raw, "<u4", 256))
+    return np.concatenate([np.frombuffer(raw, np.uint8, offset=1024).reshape(-1, 7), heads[:, None]], axis=1).copy().view("<u8").ravel()
+
+
+def _pack_counts(n: np.ndarray) -> bytes:
+    """One byte a count; counts of 255 and more follow in eight."""
+    return np.minimum(n, 255).astype(np.uint8).tobytes() + n[n >= 255].astype("<i8").tobytes()
+
+
+def _unpack_counts(raw: bytes, size: int) -> np.ndarray:
+    n = np.frombuffer(raw, np.uint8, size).astype(np.int64)
+    n[n == 255] = np.frombuffer(raw, "<i8", offset=size)
+    return n
+
+
 def _sent(chunks: DataFrame, shares: int) -> DataFrame:
-    """share, chunk, kind (1 word, 2 pair), keys, at (numbers in the chunk), n (training counts) of each chunk."""
+    """share, chunk, kind (1 word, 2 pair), keys and training counts of each chunk."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 chunk = _Chunk(row)
                 trained = chunk.trained()
                 pairs, at = chunk.pairs()
@@ -168,48 +205,37 @@ def _sent(chunks: DataFrame, shares: int) -> DataFrame:
                     (2, _pair_keys(chunk.hashes[pairs // words], chunk.hashes[pairs % words]), np.bincount(at[trained], minlength=len(pairs))),
                 )
                 for kind, keys, n in sets:
-                    share = (keys >> np.uint64(20)) % np.uint64(shares)
-                    order = np.argsort(share, kind="stable")
-                    cuts = np.searchsorted(share[order], np.arange(shares + 1, dtype=np.uint64))
-                    small = n.max(initial=0) < 1 << 16
+                    order, cuts = _dealt(keys, shares)
                     for s in range(shares):
                         mine = order[cuts[s] : cuts[s + 1]]
                         if len(mine):
-                            counts = n[mine].astype("<u2" if small else "<i8").tobytes()
-                            yield pa.RecordBatch.from_pydict({
-                                "share": pa.array([s], pa.int64()), "chunk": pa.array([row["chunk"]], pa.int64()), "kind": pa.array([kind], pa.int32()),
-                                "keys": pa.array([keys[mine].tobytes()], pa.binary()), "n": pa.array([counts], pa.binary()),
-                            })
-
-    return chunks.select("chunk", "train", "ends", "words", "hashes").mapInArrow(send, "share long, chunk long, kind int, keys binary, n binary")
-
+                            columns = {"share": s, "chunk": row["chunk"], "kind": kind, "size": len(mine), "keys": _pack_keys(keys[mine]), "n": _pack_counts(n[mine])}
+                            yield pa.RecordBatch.from_pydict({c: pa.array([v], pa.binary() if isinstance(v, bytes) else pa.int64()) for c, v in columns.items()})
 
-def _counts(keys: bytes, raw: bytes) -> np.ndarray:
-    """Counts in the width that their number of bytes tells."""
-    return np.frombuffer(raw, "<u2" if len(raw) * 4 == len(keys) else "<i8").astype(np.int64)
+    return chunks.select("chunk", "train", "ends", "words", "hashes").mapInArrow(send, "share long, chunk long, kind long, size long, keys binary, n binary")
 
 
 def _added(group: pd.DataFrame) -> pd.DataFrame:
-    """Totals of one share: to each chunk, those of its keys that other chunks hold too, in the order sent; to chunk -1, sums over all keys."""
-    out = []
+    """Totals of one share: to each chunk, which of the keys that it sent other chunks hold too, as bits, and their totals; to chunk -1, sums over all keys."""
+    out, share = [], int(group["share"].iloc[0])
     for kind, rows in group.groupby("kind"):
-        keys = [np.frombuffer(k, np.uint64) for k in rows["keys"]]
-        n = [_counts(k, c) for k, c in zip(rows["keys"], rows["n"], strict=True)]
+        keys = [_unpack_keys(k) for k in rows["keys"]]
+        n = [_unpack_counts(c, s) for c, s in zip(rows["n"], rows["size"], strict=True)]
         known, at = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(at, np.concatenate(n), minlength=len(known)).astype(np.int64)
         shared = np.bincount(at, minlength=len(known)) > 1
-        out.append((-1, kind, b"", np.array([total.sum(), (total > 0).sum()]).astype("<i8").tobytes()))
+        out.append((-1, share, kind, b"", np.array([total.sum(), (total > 0).sum()]).astype("<i8").tobytes()))
         end = 0
-        for chunk, mine in zip(rows["chunk"], keys, strict=True):
-            which = at[end : end + len(mine)]
-            end += len(mine)
+        for chunk, size in zip(rows["chunk"], rows["size"], strict=True):
+            which = at[end : end + size]
+            end += size
             also = shared[which]
             if also.any():
-                out.append((chunk, kind, mine[also].tobytes(), total[which[also]].astype("<i8").tobytes()))
-    return pd.DataFrame(out, columns=["chunk", "kind", "keys", "total"])
+                out.append((chunk, share, kind, np.packbits(also).tobytes(), _pack_counts(total[which[also]])))
+    return pd.DataFrame(out, columns=["chunk", "share", "kind", "also", "total"])
 
 
-def _walk(row: dict, seen_words: int, distinct: int, weight: float) -> dict[str, np.ndarray]:
+def _walk(row: dict, shares: int, seen_words: int, distinct: int, weight: float) -> dict[str, np.ndarray]:
     """Scores of a chunk's documents from its own counts and the answers it got."""
     chunk = _Chunk(row)
     trained = chunk.trained()
@@ -218,11 +244,12 @@ def _walk(row: dict, seen_words: int, distinct: int, weight: float) -> dict[str,
     single = np.bincount(chunk.words[trained], minlength=words)
     double = np.bincount(at[trained], minlength=len(pairs))
     for kind, keys, counts in ((1, chunk.hashes, single), (2, _pair_keys(chunk.hashes[pairs // words], chunk.hashes[pairs % words]), double)):
-        answers = [a for a in row["answers"] or [] if a["kind"] == kind]
-        if answers:
-            order = np.argsort(keys)
-            found = np.frombuffer(b"".join(a["keys"] for a in answers), np.uint64)
-            counts[order[np.searchsorted(keys, found, sorter=order)]] = np.frombuffer(b"".join(a["total"] for a in answers), "<i8")
+        order, cuts = _dealt(keys, shares)
+        for a in row["answers"] or []:
+            if a["kind"] == kind:
+                mine = order[cuts[a["share"]] : cuts[a["share"] + 1]]
+                also = mine[np.unpackbits(np.frombuffer(a["also"], np.uint8), count=len(mine)).astype(bool)]
+                counts[also] = _unpack_counts(a["total"], len(also))
     # A word is a context as often as it occurs: the end token stands before the first word of each text.
     root = (single + 0.5) / (seen_words + 0.5 * (distinct + 1))
     context = single[pairs // words]
@@ -245,17 +272,17 @@ def lm_scores(docs: DataFrame, weight: float = 0.3) -> DataFrame:
     chunks = _encode(docs.select("doc_id", "text"))
     tokens = chunks.agg(F.sum(F.length("words") / 4)).first()[0] or 0
     shares = max(8, math.ceil(tokens / SHARE_KEYS))
-    totals = _sent(chunks, shares).groupBy("share").applyInPandas(_added, "chunk long, kind int, keys binary, total binary")
+    totals = _sent(chunks, shares).groupBy("share").applyInPandas(_added, "chunk long, share long, kind long, also binary, total binary")
     answers = stored(totals, "answers")
     sums = [np.frombuffer(r["total"], "<i8") for r in answers.where("chunk = -1 and kind = 1").select("total").collect()]
     seen, distinct = (int(x) for x in np.sum(sums, axis=0)) if sums else (0, 0)
-    mine = answers.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("kind", "keys", "total")).alias("answers"))
+    mine = answers.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("share", "kind", "also", "total")).alias("answers"))
 
     def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             id_type = batch.schema.field("ids").type.value_type
-            for row in batch.to_pylist():
-                scores = _walk(row, seen, distinct, weight)
+            for row in _rows(batch):
+                scores = _walk(row, shares, seen, distinct, weight)
                 columns = {"doc_id": pa.array(row["ids"], id_type), **{k: pa.array(v) for k, v in scores.items()}}
                 yield pa.RecordBatch.from_pydict(columns)
 

@@ -34,7 +34,7 @@ def check(found, rows):
         assert a[5] == pytest.approx(b[5], rel=1e-9) and a[6] == pytest.approx(b[6], rel=1e-9)
 
 
-@pytest.mark.parametrize("size", [24 << 20, 2000])
+@pytest.mark.parametrize("size", [6 << 20, 2000])
 def test_equals_the_automaton_on_awkward_rows(spark, monkeypatch, size):
     monkeypatch.setattr(M, "CHUNK_BYTES", size)
     check(M.lm_scores(cases.documents(spark)).collect(), [(r[0], r[1]) for r in cases.rows()])
