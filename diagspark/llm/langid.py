@@ -174,12 +174,11 @@ def train_languages(docs: DataFrame, sample: int = 2_000) -> LanguageModel:
     driver is a count vector a sampled row.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", 5) != 0))
-    # The hash picks each language's candidates in every task first: the window sees few rows of a hot language.
+    # Ranks within a language and one of 64 buckets of the hash, so a hot language is dealt to many tasks.
     light = rows.select("doc_id", "lang", F.xxhash64("doc_id", "lang").alias("h"))
     part = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h", "doc_id")
     near = light.withColumn("n", F.row_number().over(part)).where(F.col("n") <= sample // 16)
-    ranked = near.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
-    chosen = ranked.where(F.col("n") <= sample).orderBy("n", "h", "doc_id").limit(sample).select("doc_id", "lang").distinct()
+    chosen = near.orderBy("n", "h", "doc_id").limit(sample).select("doc_id", "lang").distinct()
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
