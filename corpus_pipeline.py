@@ -16,7 +16,7 @@ from diagspark.llm.langid import add_language, train_languages
 from diagspark.llm.mixing import in_mixture_order
 from diagspark.llm.packing import packed
 from diagspark.llm.quality import score_quality, train_quality
-from diagspark.llm.simhash import without_near_duplicates
+from diagspark.llm.simhash import without_similar
 
 #: A language prediction below this score is a rejection, as is 'und'.
 LEAST_LANGUAGE_SCORE = 0.2
@@ -36,8 +36,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return without_near_duplicates(docs)
+    """One document of each group of texts whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    return without_similar(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

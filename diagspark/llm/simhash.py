@@ -6,17 +6,23 @@ index posts every fingerprint under sets of positional bytes chosen so that
 any four equal positions contain one of the sets whole. Fingerprints of one
 posting list are compared: their equal positional bytes are tallied, pairs
 that reach four are verified bit by bit.
+
+Texts of a Jaccard similarity of 0.8 differ in some ten of 64 bits. For those
+(``similar_links``) the same index holds 256 bits, as four fingerprints of
+five-word shingles: texts meet where a fingerprint has two equal bytes, pairs
+within a wide radius are candidates, and the similarity of their shingle sets
+decides.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import stored, whole
@@ -28,20 +34,29 @@ BLOCK_ROWS = 4096
 _WIDE_GROUP = 64
 _BITS_AT_ONCE = 1 << 15
 
+#: The rule for similar texts: words of a shingle and the least Jaccard similarity of two texts' sets, in fifths.
+SIMILAR_SHINGLE, SIMILAR_FIFTHS = 5, 4
+#: Fingerprints of a text in that index, the radius in two and in all of them, and how many candidates of lower hash a text is checked against, nearest first.
+PRINTS, RADIUS_TWO, RADIUS_ALL, NEAREST = 4, 36, 76, 8
+_MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
-def simhash(text: str | None, shingle: int = 4, seed: int = 42) -> int:
-    """The unsigned 64-bit fingerprint of a whole text; 0 if it has no word."""
+
+def _shingles(text: str | None, shingle: int, seed: int) -> tuple[bytes, np.ndarray]:
+    """The lower-case words of a whole text with single spaces, and the hash of every shingle."""
     import xxhash
 
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
+        return b"", np.zeros(0, np.uint64)
     digest, joined = xxhash.xxh64_intdigest, b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     last = min(shingle, len(words)) - 1
     spans = zip(starts[: len(words) - last].tolist(), ends[last:].tolist(), strict=True)
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in spans), np.uint64, len(words) - last)
+    return joined, np.fromiter((digest(joined[a:b], seed) for a, b in spans), np.uint64, len(words) - last)
+
+
+def _majority(hashes: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), _BITS_AT_ONCE):
         part = hashes[at : at + _BITS_AT_ONCE].astype("<u8").view(np.uint8).reshape(-1, BYTES)
@@ -49,6 +64,11 @@ def simhash(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def simhash(text: str | None, shingle: int = 4, seed: int = 42) -> int:
+    """The unsigned 64-bit fingerprint of a whole text; 0 if it has no word."""
+    return _majority(_shingles(text, shingle, seed)[1])
+
+
 def fingerprints(docs: DataFrame, text: str = "text", name: str = "fp") -> DataFrame:
     """``docs`` with the fingerprint of every whole text as a long (the same 64 bits)."""
 
@@ -133,6 +153,34 @@ def _links_of(rows: dict[str, np.ndarray], bits: int) -> tuple[np.ndarray, np.nd
     return np.concatenate([empty, *left]), np.concatenate([empty, *right])
 
 
+def _by_place(place: list[str], names: tuple[str, ...], links_of: Callable[[dict[str, np.ndarray]], tuple[np.ndarray, np.ndarray]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that gives whole posting lists, which lie one after the other, to ``links_of``."""
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def finish(batch: pa.Table) -> Iterator[pa.RecordBatch]:
+            columns = [batch.column(c).to_numpy() for c in place]
+            change = np.concatenate(([True], np.any([c[1:] != c[:-1] for c in columns], axis=0)))[: batch.num_rows]
+            rows = {c: batch.column(c).to_numpy() for c in (*names, "side")} | {"new": change, "crossed": columns[2] != columns[3]}
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in links_of(rows)], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            whole_batch = pa.Table.from_batches([*held, batch])
+            columns = [whole_batch.column(c).to_numpy() for c in place]
+            differs = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0))
+            cut = int(differs[-1]) + 1 if len(differs) else 0  # the last list may go on in the next batch
+            if cut:
+                yield from finish(whole_batch.slice(0, cut))
+            held = whole_batch.slice(cut).to_batches()
+        if held:
+            yield from finish(pa.Table.from_batches(held))
+
+    return compared
+
+
 def near_links(nodes: DataFrame, bits: int = 4) -> DataFrame:
     """a, b: links between distinct fingerprints of column ``fp`` at ``bits`` (4 at most) or fewer differing bits.
 
@@ -155,29 +203,7 @@ def near_links(nodes: DataFrame, bits: int = 4) -> DataFrame:
     placed = dealt.select("fp", "list", "key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), (F.col("mine") > F.col("other")).alias("side"))
     place = ["list", "key", "low", "high"]
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def finish(batch: pa.Table) -> Iterator[pa.RecordBatch]:
-            columns = [batch.column(c).to_numpy() for c in place]
-            change = np.concatenate(([True], np.any([c[1:] != c[:-1] for c in columns], axis=0)))[: batch.num_rows]
-            rows = {"fp": batch.column("fp").to_numpy().view(np.uint64), "side": batch.column("side").to_numpy(), "new": change, "crossed": columns[2] != columns[3]}
-            a, b = _links_of(rows, bits)
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], ["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            whole_batch = pa.Table.from_batches([*held, batch])
-            columns = [whole_batch.column(c).to_numpy() for c in place]
-            differs = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0))
-            cut = int(differs[-1]) + 1 if len(differs) else 0  # the last list may go on in the next batch
-            if cut:
-                yield from finish(whole_batch.slice(0, cut))
-            held = whole_batch.slice(cut).to_batches()
-        if held:
-            yield from finish(pa.Table.from_batches(held))
-
+    compared = _by_place(place, ("fp",), lambda rows: tuple(x.view(np.int64) for x in _links_of(rows | {"fp": rows["fp"].view(np.uint64)}, bits)))
     found = placed.repartition(*place).sortWithinPartitions(*place).mapInArrow(compared, "a long, b long")
     return found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -213,14 +239,156 @@ def without_near_duplicates(docs: DataFrame, bits: int = 4) -> DataFrame:
     Ids that are null come last; rows without an id are told apart by their
     text. Of repeated rows of one id one stays, that of the smallest text.
     """
-    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha2(whole("text"), 256)))
-    light = fingerprints(docs.select("doc_id", "text")).select("doc_id", key.alias("key"), "fp")
+    light = fingerprints(docs.select("doc_id", "text")).select("doc_id", _key().alias("key"), "fp")
     marked = stored(light, "fingerprints")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "key", "fp")
-    first = marked.groupBy("fp").agg(F.min(order).alias("first"))
-    classed = near_classes(marked, bits).join(first, "fp")
-    kept = stored(classed.groupBy("component").agg(F.min("first").alias("first")).select("first.key").distinct(), "kept")
-    keyed = docs.withColumn("__key", key)
+    return _first_rows(docs, marked, "fp", near_classes(marked, bits))
+
+
+def _key() -> Column:
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha2(whole("text"), 256)))
+
+
+def _first_rows(docs: DataFrame, marked: DataFrame, node: str, classed: DataFrame) -> DataFrame:
+    """The row of the smallest doc_id of each component of nodes."""
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "key", node)
+    first = marked.groupBy(node).agg(F.min(order).alias("first"))
+    least = classed.join(first, node).groupBy("component").agg(F.min("first").alias("first"))
+    kept = stored(least.select("first.key").distinct(), "kept")
+    keyed = docs.withColumn("__key", _key())
     chosen = keyed.join(kept.withColumnRenamed("key", "__key"), "__key", "left_semi")
     one = Window.partitionBy("__key").orderBy("text")
     return chosen.withColumn("__row", F.row_number().over(one)).where("__row = 1").select(*docs.columns)
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, key, fp, node (a hash of the words), p0.. (fingerprints of the set of shingles) of every row."""
+    import xxhash
+
+    names = ["node", *(f"p{i}" for i in range(PRINTS))]
+
+    @F.pandas_udf(", ".join(f"{n} long" for n in names))
+    def sketch(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
+            rows = np.zeros((len(batch), len(names)), np.uint64)
+            for row, text in zip(rows, batch, strict=True):
+                joined, hashes = _shingles(text, SIMILAR_SHINGLE, 42)
+                hashes = np.unique(hashes)
+                row[0], row[1] = xxhash.xxh64_intdigest(joined, 42), _majority(hashes)
+                for i, factor in enumerate(_MIX):
+                    mixed = hashes * np.uint64(factor)
+                    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(_MIX[0])
+                    row[i + 2] = _majority(mixed ^ (mixed >> np.uint64(29)))
+            yield pd.DataFrame(rows.view(np.int64), columns=names)
+
+    return fingerprints(docs).select("doc_id", _key().alias("key"), "fp", sketch(whole("text")).alias("s")).select("doc_id", "key", "fp", "s.*")
+
+
+def _similar_of(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates inside whole posting lists: pairs within RADIUS_TWO, in lists of over _WIDE_GROUP the NEAREST of lower hash for each row."""
+    node, side, starts = rows["node"], rows["side"], np.flatnonzero(rows["new"])
+    own, more = rows["own"].view(np.uint64), rows["more"].view(np.uint64)
+    sizes = np.diff(np.append(starts, len(node)))
+    crossed = np.repeat(rows["crossed"][starts], sizes)
+    last = np.repeat(starts + sizes, sizes)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    small = np.repeat(sizes <= _WIDE_GROUP, sizes)
+    for shift in range(1, min(int(sizes.max(initial=0)), _WIDE_GROUP + 1)):
+        i = np.flatnonzero(small[: len(node) - shift] & (np.arange(len(node) - shift) + shift < last[: len(node) - shift]))
+        i = i[~crossed[i] | (side[i] != side[i + shift])]
+        i = i[np.bitwise_count(own[i] ^ own[i + shift]) + np.bitwise_count(more[i] ^ more[i + shift]) <= RADIUS_TWO]
+        left.append(node[i])
+        right.append(node[i + shift])
+    for at, size in zip(starts[sizes > _WIDE_GROUP], sizes[sizes > _WIDE_GROUP], strict=True):
+        here = slice(at, at + size)
+        n, o, m, s = node[here], own[here], more[here], side[here]
+        for low in range(0, size, 256):
+            part = slice(low, low + 256)
+            apart = np.bitwise_count(o[part, None] ^ o) + np.bitwise_count(m[part, None] ^ m)
+            apart[(n[part, None] <= n) | (crossed[at] & (s[part, None] == s))] = 255
+            i, j = np.nonzero(apart <= RADIUS_TWO)
+            order = np.lexsort((n[j], apart[i, j], i))
+            i, j = i[order], j[order]
+            rank = np.arange(len(i)) - np.searchsorted(i, i)
+            left.append(n[part][i[rank < NEAREST]])
+            right.append(n[j[rank < NEAREST]])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def similar_candidates(nodes: DataFrame) -> DataFrame:
+    """a, b: pairs of distinct nodes (node, p0..) that share two bytes of a fingerprint and lie within the radius.
+
+    A node is paired with the NEAREST ones of lower hash at most, so a crowd of
+    near copies gives no square of pairs. Lists of over BLOCK_ROWS rows are
+    split in blocks; which lists those are is estimated from one node of 16.
+    """
+    sets = list(combinations(range(BYTES), 2))
+    masks = [sum(0xFF << (8 * p) for p in s) for s in sets]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    prints = F.array(*(F.struct(F.lit(i * len(sets)).alias("base"), F.col(f"p{i}").alias("own"), F.col(f"p{(i + 1) % PRINTS}").alias("more")) for i in range(PRINTS)))
+    keys = F.array(*(F.struct((F.col("base") + i).alias("list"), F.col("own").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)))
+    each = nodes.select("node", F.explode(prints).alias("p")).select("node", "p.*")
+    posted = each.select("node", "own", "more", F.explode(keys).alias("k")).select("node", "own", "more", "k.list", "k.key")
+    long = posted.where(F.pmod(F.xxhash64("node"), F.lit(16)) == 0).groupBy("list", "key").agg((F.count("*") * 16).alias("count")).where(F.col("count") > BLOCK_ROWS)
+    sized = posted.join(F.broadcast(stored(long, "long-lists")), ["list", "key"], "left")
+    blocks = F.coalesce(F.ceil(F.col("count") / BLOCK_ROWS), F.lit(1)).cast("int")
+    mine = sized.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = mine.select("node", "own", "more", "list", "key", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    placed = dealt.select("node", "own", "more", "list", "key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), (F.col("mine") > F.col("other")).alias("side"))
+    place = ["list", "key", "low", "high"]
+    compared = _by_place(place, ("node", "own", "more"), _similar_of)
+    found = placed.repartition(*place).sortWithinPartitions(*place).mapInArrow(compared, "a long, b long")
+    pairs = found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    other = {side: nodes.select(F.col("node").alias(side), *(F.col(f"p{i}").alias(f"{side}{i}") for i in range(PRINTS))) for side in "ab"}
+    apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(PRINTS)), F.lit(0))
+    near = pairs.join(other["a"], "a").join(other["b"], "b").select("a", "b", apart.alias("apart")).where(F.col("apart") <= RADIUS_ALL)
+    rank = F.row_number().over(Window.partitionBy("b").orderBy("apart", "a"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= NEAREST).select("a", "b")
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """node, grams: the distinct shingle hashes of each distinct text."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                found = [_shingles(t, SIMILAR_SHINGLE, 42) for t in batch.slice(at, 256).column(0).to_pylist()]
+                nodes = np.array([xxhash.xxh64_intdigest(j, 42) for j, _ in found], np.uint64).view(np.int64)
+                grams = pa.array([np.unique(h).view(np.int64) for _, h in found], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), grams], ["node", "grams"])
+
+    return docs.select(whole("text").alias("text")).mapInArrow(sets, "node long, grams array<long>").dropDuplicates(["node"])
+
+
+def similar_links(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """a, b: candidates among the nodes of ``marked`` (see ``sketches``) whose shingle sets are similar enough."""
+    nodes = stored(marked.drop("doc_id", "key", "fp").dropDuplicates(["node"]), "nodes")
+    pairs = stored(similar_candidates(nodes), "candidates")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    keys = marked.join(wanted, "node", "left_semi").select("key").distinct()
+    texts = docs.select("text", _key().alias("key")).join(keys, "key", "left_semi")
+    sets = stored(shingle_sets(texts), "shingles")
+    left, right = (sets.select(F.col("node").alias(s), F.col("grams").alias(f"{s}_grams")) for s in "ab")
+    both = F.size(F.array_intersect("a_grams", "b_grams"))
+    alike = both * 5 >= (F.size("a_grams") + F.size("b_grams") - both) * SIMILAR_FIFTHS
+    return stored(pairs.join(left, "a").join(right, "b").where(alike).select("a", "b"), "links")
+
+
+def without_similar(docs: DataFrame) -> DataFrame:
+    """One row of each group of similar texts, with all columns of ``docs``: that of the smallest doc_id.
+
+    Texts are similar where the Jaccard similarity of their five-word shingle
+    sets is 0.8 or more, or where their fingerprints are near-duplicates (see
+    ``near_classes``); groups are the components of both kinds of links. Texts
+    of equal words are one. Null ids, and repeated rows of one id, are taken
+    as in ``without_near_duplicates``.
+    """
+    marked = stored(sketches(docs.select("doc_id", "text")), "sketches")
+    near = marked.select("node", "fp").distinct().join(near_classes(marked), "fp")
+    least = near.groupBy("component").agg(F.min("node").alias("b"))
+    close = near.join(least, "component").select(F.col("node").alias("a"), "b").where("a <> b")
+    linked = components(similar_links(docs, marked).union(close), "a", "b")
+    joined = marked.select("node").distinct().join(linked, "node", "left")
+    classed = stored(joined.select("node", F.coalesce("component", "node").alias("component")), "components")
+    return _first_rows(docs, marked, "node", classed)

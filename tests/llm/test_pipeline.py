@@ -44,5 +44,32 @@ def test_empty_table(spark, tmp_path):
     assert C.run(spark, str(tmp_path)).collect() == []
 
 
+def test_near_copies_go(spark, tmp_path):
+    """Copies with a Jaccard similarity of 0.8 and more over five words leave one; less similar texts stay."""
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    sets = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    rows, want = [], set()
+    for i in range(40):
+        base = [word() for _ in range(300)]
+        rows.append((10 * i, base))
+        want.add(10 * i)
+        for k, changes in enumerate((3, 5, 6, 20), 1):
+            copy = list(base)
+            for at in rng.sample(range(5, 290), changes):
+                copy[at] = word()
+            one, two = sets(base), sets(copy)
+            rows.append((10 * i + k, copy))
+            if len(one & two) < 0.8 * len(one | two):
+                want.add(10 * i + k)
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "src0") for i, t in rows], "doc_id long, text string, lang string, source string")
+    assert 60 < len(want) < 160
+    kept = {r["doc_id"] for r in C.near_dedup(spark, docs, str(tmp_path)).collect()}
+    # The index is probabilistic: just over 0.8 it finds some 99 % of the pairs.
+    assert want <= kept and len(kept - want) <= 0.02 * (len(rows) - len(want))
+
+
 def test_sequence_length():
     assert P.SEQUENCE == 2048
