@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from diagspark.llm._common import stored
 from diagspark.llm.langid import add_language, train_languages
-from diagspark.llm.mixing import in_mixture_order
+from diagspark.llm.mixing import in_mixture_order, source_weights
 from diagspark.llm.packing import packed
 from diagspark.llm.quality import score_quality, train_quality
 from diagspark.llm.simhash import without_similar
@@ -46,8 +46,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of packed sequences."""
-    return packed(docs)
+    """The pieces of packed sequences, in which sources have the target weights of the mixture."""
+    return packed(docs, weights=source_weights(docs))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -103,6 +103,13 @@ def target_weights(counts: dict[str, int], weights: dict[str, float] | None, tem
     return [float(n) ** temperature for n in counts.values()]
 
 
+def source_weights(docs: DataFrame, block_docs: int = 8, temperature: float = 0.5) -> dict[str, float]:
+    """The default target weight of each source, as ``mixed`` takes it."""
+    sizes = docs.groupBy(F.coalesce("source", F.lit("")).alias("queue")).count().orderBy("queue")
+    counts = {r["queue"]: -(-r["count"] // block_docs) for r in sizes.collect()}
+    return dict(zip(counts, target_weights(counts, None, temperature), strict=True))
+
+
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = 8, temperature: float = 0.5, period: int = 1024) -> DataFrame:
     """``docs`` with _queue, _block, _slot and _place; (_slot, _place) is the order of the mixture.
 

@@ -187,8 +187,8 @@ def _pieces(quanta: Quanta, queue: int, first: int, n: int, sequence: int, share
         shares[queue] = [0, np.zeros(1, np.int64), np.zeros(0, np.int64)]
     low, ends, places = shares[queue]
     if not (len(places) and ends[0] <= first and first + n <= ends[-1]):
-        rate = max(quanta.totals[queue], 1) / quanta.windows
-        guess, reach = int(first / rate), int(n / rate) + 64
+        guess, until = (int(w) for w in np.interp([first, first + n], quanta.served[queue], quanta.knots) / quanta.window)
+        reach = until - guess + 64
         lo, hi = max(0, guess - 64), min(quanta.windows, guess + reach)
         while lo and quanta.after(queue, np.array([lo]))[0] > first:
             lo = max(0, lo - reach)

@@ -71,5 +71,16 @@ def test_near_copies_go(spark, tmp_path):
     assert want <= kept and len(kept - want) <= 0.02 * (len(rows) - len(want))
 
 
+def test_sequences_follow_the_targets(spark, tmp_path):
+    """A source with two thirds of the tokens and a target of half fills half of the first windows."""
+    text = "plain words of a long text " * 400
+    docs = spark.createDataFrame([(i, text, "en", "hot" if i < 160 else f"src{i % 2}") for i in range(240)], "doc_id long, text string, lang string, source string")
+    pieces = C.packing(spark, docs, str(tmp_path)).collect()
+    early = [p for p in pieces if p["sequence_id"] < 128]
+    share = sum(p["length"] for p in early if p["source"] == "hot") / sum(p["length"] for p in early)
+    assert abs(share - 0.5) < 0.001
+    check(pieces, [(i, text) for i in range(240)])
+
+
 def test_sequence_length():
     assert P.SEQUENCE == 2048
