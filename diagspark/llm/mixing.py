@@ -4,16 +4,20 @@ Documents of a source form blocks. A source of weight w has its i-th block
 (from 0) released at slot floor(i/w) and due by slot ceil((i+1)/w); one block
 runs in each slot, the released block with the earliest deadline first. Every
 source then stays less than one block from its target share at every slot.
-Weights are multiples of 1/period, so the schedule repeats each period and
-the slot of any block is arithmetic: nothing runs in sequence over the data.
-When a source has run out, the others go on with their weights scaled up.
+Times are fractions of whole numbers, so the given weights hold exactly. The
+driver schedules blocks, not documents: one period where the weights are
+multiples of 1/period, else eight bytes for each block. When a source has run
+out, the others go on with their weights scaled up.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -21,16 +25,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def shares(weights: list[float], period: int) -> list[int]:
-    """Blocks in a period: at least one for each weight over 0, together ``period`` (largest remainders)."""
-    live = [i for i, w in enumerate(weights) if w > 0]
-    total, out = sum(weights), [0] * len(weights)
-    exact = {i: weights[i] / total * (period - len(live)) for i in live}
-    for i in live:
-        out[i] = 1 + int(exact[i])
-    for i in sorted(live, key=lambda i: (int(exact[i]) - exact[i], i))[: period - sum(out)]:
-        out[i] += 1
-    return out
+def _whole_weights(weights: list[float]) -> list[int]:
+    """The weights as whole numbers in exactly the same proportions."""
+    exact = [Fraction(w) for w in weights]
+    scale = math.lcm(*(w.denominator for w in exact))
+    whole = [int(w * scale) for w in exact]
+    return [w // math.gcd(*whole) for w in whole]
 
 
 def pfair_period(blocks: list[int]) -> list[np.ndarray]:
@@ -51,6 +51,30 @@ def pfair_period(blocks: list[int]) -> list[np.ndarray]:
     return [np.array(s, np.int64) for s in slots]
 
 
+def pfair_until_dry(left: list[int], weights: list[int]) -> list[np.ndarray]:
+    """The slots that each source gets, by exact release times and deadlines, until one has none of its ``left`` blocks left."""
+    total = sum(w for n, w in zip(left, weights, strict=True) if n)
+    given = [0] * len(left)
+    slots: list[array] = [array("q") for _ in left]
+    ready = [(-(-total // w), s) for s, (n, w) in enumerate(zip(left, weights, strict=True)) if n]
+    waiting: list[tuple[int, int]] = []
+    heapq.heapify(ready)
+    slot = 0
+    while True:
+        while waiting and waiting[0][0] <= slot:
+            s = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (-(-(given[s] + 1) * total // weights[s]), s))
+        due, s = heapq.heappop(ready)
+        if due <= slot:
+            raise AssertionError("a block missed its deadline")
+        slots[s].append(slot)
+        given[s] += 1
+        slot += 1
+        if given[s] == left[s]:
+            return [np.array(x, np.int64) for x in slots]
+        heapq.heappush(waiting, (given[s] * total // weights[s], s))
+
+
 @dataclass
 class Phase:
     """A stretch of slots in which the same sources have blocks left."""
@@ -62,19 +86,28 @@ class Phase:
 
 
 def pfair_phases(counts: list[int], weights: list[float], period: int = 1024) -> list[Phase]:
-    """The phases that place all ``counts`` blocks; each ends when a source runs out."""
+    """The phases that place all ``counts`` blocks; each ends when a source runs out.
+
+    Where the weights of those left are multiples of 1/n for an n up to
+    ``period``, a phase holds n slots and repeats; else it holds all its slots.
+    """
+    whole = _whole_weights(weights) if counts else []
     left, done, start, phases = list(counts), [0] * len(counts), 0, []
     while any(left):
-        live = sum(n > 0 for n in left)
-        length = max(period, 4 * live)
-        per = shares([w if n else 0 for w, n in zip(weights, left, strict=True)], length)
-        slots = pfair_period(per)
+        per = [w if n else 0 for w, n in zip(whole, left, strict=True)]
+        per = [w // math.gcd(*per) for w in per]
+        length = sum(per)
+        if length <= period:
+            slots = pfair_period(per)
+            end = min((n - 1) // k * length + int(s[(n - 1) % k]) + 1 for n, k, s in zip(left, per, slots, strict=True) if n)
+            used = [end // length * k + int(np.searchsorted(s, end % length)) for k, s in zip(per, slots, strict=True)]
+        else:
+            slots = pfair_until_dry(left, per)
+            used = [len(s) for s in slots]
+            end = length = sum(used)
         phases.append(Phase(start, length, list(done), slots))
-        end = min((n - 1) // k * length + int(s[(n - 1) % k]) + 1 for n, k, s in zip(left, per, slots, strict=True) if n)
-        for i, (k, s) in enumerate(zip(per, slots, strict=True)):
-            used = end // length * k + int(np.searchsorted(s, end % length))
-            left[i] -= used
-            done[i] += used
+        left = [n - u for n, u in zip(left, used, strict=True)]
+        done = [n + u for n, u in zip(done, used, strict=True)]
         start += end
     return phases
 

@@ -29,6 +29,20 @@ def test_phases_place_every_block_once():
     assert all((np.diff(slots[source == i]) > 0).all() for i in range(len(counts)))
 
 
+@pytest.mark.parametrize("counts, weights", [([6000] + [600] * 19, None), ([4000, 3000, 2000], [0.5, 0.3, 0.2]), ([5000, 60, 70], [0.9995, 0.0004, 0.0001]), ([512 * 20, *[26 * 20] * 20], [0.5, *[0.025] * 20])])
+def test_phases_stay_within_a_block_of_the_given_weights(counts, weights):
+    """Over many periods of 1,024 slots, as long as every source has blocks left."""
+    weights = weights or M.target_weights(dict(enumerate(counts)), None, 0.5)
+    phases = M.pfair_phases(counts, weights)
+    source = np.repeat(np.arange(len(counts)), counts)
+    slots = M.slots_of(phases, source, np.concatenate([np.arange(n) for n in counts]))
+    end = min(slots[source == i].max() for i in range(len(counts))) + 1
+    assert end > 4 * 1024
+    for i, w in enumerate(weights):
+        given = np.cumsum(np.bincount(slots[source == i], minlength=end)[:end])
+        assert (abs(given - np.arange(1, end + 1) * (w / sum(weights))) < 1 + 1e-6).all()
+
+
 def test_every_document_has_a_place(spark):
     docs = cases.documents(spark)
     plan = M.mixture_plan(docs, block_docs=2).collect()
