@@ -13,6 +13,7 @@ only the last sequence has padding.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -28,8 +29,13 @@ from ._common import stored
 
 SEQUENCE = 2048
 END_ID = 1
-_CACHED_WORDS = 1_500_000
-_PIECE_BYTES = 2 << 20
+#: Words that a generation of a worker's cache may hold.
+_GENERATION = 250_000
+_PIECE_BYTES = 1 << 20
+#: Lower-case letters that are one character in normal form C; a word of them is one pre-token.
+_PLAIN = re.compile("[a-zà-öø-ÿ]+")
+#: Fixed rule of byte-level vocabularies: a byte that is no printable Latin-1 sign is written as the next sign from 256.
+_BYTE_SIGNS = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -44,52 +50,74 @@ class WordTokenizer:
 
     The vocabulary's pre-tokens never span white space and its lower-casing
     is per character, so the ids of a text are its words' ids in a row. Texts
-    that hold a special token's string go to the library whole.
+    that hold a special token's string in any case go to the library whole:
+    there, only the exact string is the special token. What is learned is held
+    in two generations of bounded size; a word of the old one that is met
+    again moves to the young one.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, generation: int = _GENERATION) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.special = re.compile("|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or "(?!)")
-        self.known: dict[bytes, bytes] = {}
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or "(?!)", re.IGNORECASE)
+        self.generation = generation
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.model = self.library.model
+        sample = ["the", "straße", "été", "zzxqy"]
+        self.direct = [self._plain(w) for w in sample] == [self.library.encode(w, add_special_tokens=False).ids for w in sample]
+
+    def _plain(self, word: str) -> list[int]:
+        """The ids of a word that is one pre-token and that normalising leaves as it is."""
+        return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_SIGNS))]
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.kind.itemsize == 2 else 'I'}", *ids)
+
+    def _alone(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of words: of lower-case Latin ones from the library's model, of the others from one call of the library."""
+        texts = [(w, w.decode("utf-8", "replace")) for w in words]
+        plain = [(w, t) for w, t in texts if self.direct and _PLAIN.fullmatch(t)]
+        known = {w: self._packed(self._plain(t)) for w, t in plain}
+        if others := [(w, t) for w, t in texts if w not in known]:
+            found = self.library.encode([t for _, t in others], is_pretokenized=True, add_special_tokens=False)
+            raw = np.array(found.ids, self.kind).tobytes()
+            ends = (np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(others) + 1)) * self.kind.itemsize).tolist()
+            known |= {w: raw[ends[k] : ends[k + 1]] for k, (w, _) in enumerate(others)}
+        return known
 
     def _learn(self, new: set[bytes]) -> None:
-        """Add words: one that ends in ASCII marks after an ASCII letter, where a pre-token ends too, as the two parts' ids in a row."""
-        halves = {}
+        """Put words in the young generation: one that ends in ASCII marks after an ASCII letter, where a pre-token ends too, as the two parts' ids in a row."""
+        if len(self.young) + len(new) > self.generation:
+            self.old, self.young = self.young, {}
+        old, halves, kept = self.old.get, {}, {}
         for word in new:
             core = word.rstrip(_MARKS)
             if len(core) < len(word) and core and core[-1:].islower():
                 halves[word] = core, word[len(core) :]
-        alone = list((new - halves.keys()).union(*halves.values()) - self.known.keys())
-        if alone:
-            texts = [w.decode("utf-8", "replace") for w in alone]
-            found = self.library.encode(" ".join(texts), add_special_tokens=False)
-            ids = np.array(found.ids, self.kind)
-            starts = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
-            at = np.fromiter((a for a, _ in found.offsets), np.int64, len(ids))
-            cuts = np.searchsorted(np.searchsorted(starts, at, side="right") - 1, np.arange(len(alone) + 1)) * self.kind.itemsize
-            raw, ends = ids.tobytes(), cuts.tolist()
-            self.known.update((w, raw[ends[k] : ends[k + 1]]) for k, w in enumerate(alone))
-        self.known.update((w, self.known[a] + self.known[b]) for w, (a, b) in halves.items())
+            elif (ids := old(word)) is not None:
+                kept[word] = ids
+        parts = {p for pair in halves.values() for p in pair}
+        known = {p: ids for p in parts if (ids := self.young.get(p) or old(p)) is not None} | kept
+        known |= self._alone(list((parts | (new - halves.keys())) - known.keys()))
+        self.young.update(known)
+        self.young.update((w, known[a] + known[b]) for w, (a, b) in halves.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
-        split = [[] if self.special.search(t) else t.encode("utf-8", "replace").lower().split() for t in texts]
-        new = set().union(*split) - self.known.keys() if split else set()
-        if new:
-            if len(self.known) + len(new) > _CACHED_WORDS:
-                self.known.clear()
-                new = set().union(*split)
-            self._learn(new)
-        get, out = self.known.__getitem__, []
-        for text, words in zip(texts, split, strict=True):
-            if words or not text:
-                out.append(b"".join(map(get, words)))
-            else:
-                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes())
-        return out
+        split: list = [None if self.special.search(t) else t.encode("utf-8", "replace").lower().split() for t in texts]
+        get = self.young.get
+        ids = [None if words is None else list(map(get, words)) for words in split]
+        gaps = {k: [i for i, x in enumerate(found) if x is None] for k, found in enumerate(ids) if found is not None and None in found}
+        if gaps:
+            self._learn({split[k][i] for k, at in gaps.items() for i in at})
+            for k, at in gaps.items():
+                words, found, get = split[k], ids[k], self.young.__getitem__
+                for i in at:
+                    found[i] = get(words[i])
+        return [b"".join(found) if found is not None else self._packed(self.library.encode(t, add_special_tokens=False).ids) for t, found in zip(texts, ids, strict=True)]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -210,12 +238,12 @@ def _pieces(quanta: Quanta, queue: int, first: int, n: int, sequence: int, share
     return out
 
 
-def packed(docs: DataFrame, path: str | None = None, weights: dict[str, float] | None = None, sequence: int = SEQUENCE, window_sequences: int = 64) -> DataFrame:
+def packed(docs: DataFrame, path: str | None = None, weights: dict[str, float] | None = None, sequence: int = SEQUENCE, window_sequences: int = 64, temperature: float = 1.0) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
 
-    ``weights`` are the sources' target token proportions; without any every
-    source has its own share of all tokens, so all queues run dry together.
-    A source without a weight gets the smallest. Null and empty texts are one
+    ``weights`` are the sources' target token proportions; without any they
+    are the sources' numbers of tokens to the power ``temperature`` (at 1 all
+    queues run dry together). A source without a weight gets the smallest. Null and empty texts are one
     end token; a null source counts as ''. Repeated rows are packed as often
     as they occur; an empty table gives no rows. The driver sees one row a
     source (its total).
@@ -227,7 +255,7 @@ def packed(docs: DataFrame, path: str | None = None, weights: dict[str, float] |
     offsets = stored(parts.select("queue", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"), "n"), "offsets")
     totals = {r["queue"]: r["n"] for r in offsets.groupBy("queue").agg(F.sum("n").alias("n")).orderBy("queue").collect()}
     least = min(weights.values()) if weights else 1.0
-    quanta = Quanta.of(list(totals.values()), [weights.get(q, least) for q in totals] if weights else [float(t) for t in totals.values()], sequence * window_sequences)
+    quanta = Quanta.of(list(totals.values()), [weights.get(q, least) for q in totals] if weights else [float(t) ** temperature for t in totals.values()], sequence * window_sequences)
     number = {q: i for i, q in enumerate(totals)}
     id_type = docs.schema["doc_id"].dataType.simpleString()
 

@@ -54,7 +54,7 @@ def op8_media_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents"))
+    return packed(table(spark, sf_dir, "documents"), temperature=0.5)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

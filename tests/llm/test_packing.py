@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -55,6 +56,18 @@ def test_word_tokenizer_equals_library():
         assert np.frombuffer(raw, own.kind).tolist() == library.encode(text, add_special_tokens=False).ids, text[:50]
 
 
+def test_word_tokenizer_equals_library_on_special_strings_of_any_case():
+    own = P.WordTokenizer(P.tokenizer_path(), generation=300)
+    library = Tokenizer.from_file(P.tokenizer_path())
+    rng = random.Random(7)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|", "|>", "x", " ", "été!!", "don't", "B\u0301", "12", "\u1e9e", "\u03a3", "\x85", "\ufb01", "###"]
+    mixed = lambda s: "".join(c.upper() if rng.random() < 0.5 else c for c in s)
+    texts = ["x<|ENDOFTEXT|>y"] + ["".join(mixed(rng.choice(parts)) for _ in range(rng.randint(0, 9))) for _ in range(3000)]
+    for at in range(0, len(texts), 100):
+        for text, raw in zip(texts[at : at + 100], own.encode(texts[at : at + 100]), strict=True):
+            assert np.frombuffer(raw, own.kind).tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 @pytest.mark.parametrize("weights", [None, {"src0": 0.5, "src1": 0.3, "src2": 0.1}])
 def test_pieces_of_awkward_rows(spark, weights):
     docs = cases.documents(spark)
