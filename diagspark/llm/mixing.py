@@ -6,7 +6,8 @@ runs in each slot, the released block with the earliest deadline first. Every
 source then stays less than one block from its target share at every slot.
 Times are fractions of whole numbers, so the given weights hold exactly. The
 driver schedules blocks, not documents: one period where the weights are
-multiples of 1/period, else eight bytes for each block. When a source has run
+multiples of 1/period, else eight bytes for each block, of which there are
+half a million at most (blocks grow with the table). When a source has run
 out, the others go on with their weights scaled up.
 """
 
@@ -25,6 +26,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Parts of a source that are numbered apart, and the most blocks of a plan.
+BUCKETS, MOST_BLOCKS = 4096, 1 << 19
+
+
 def _whole_weights(weights: list[float]) -> list[int]:
     """The weights as whole numbers in exactly the same proportions."""
     exact = [Fraction(w) for w in weights]
@@ -136,52 +141,68 @@ def target_weights(counts: dict[str, int], weights: dict[str, float] | None, tem
     return [float(n) ** temperature for n in counts.values()]
 
 
+def _block_size(counts: dict[str, int], block_docs: int) -> int:
+    """``block_docs``, or more where a table is so large that it would make over MOST_BLOCKS blocks."""
+    return max(block_docs, -(-sum(counts.values()) // MOST_BLOCKS))
+
+
+def _in_blocks(counts: dict[str, int], size: int) -> dict[str, int]:
+    return {name: -(-n // size) for name, n in counts.items()}
+
+
 def source_weights(docs: DataFrame, block_docs: int = 8, temperature: float = 0.5) -> dict[str, float]:
     """The default target weight of each source, as ``mixed`` takes it."""
     sizes = docs.groupBy(F.coalesce("source", F.lit("")).alias("queue")).count().orderBy("queue")
-    counts = {r["queue"]: -(-r["count"] // block_docs) for r in sizes.collect()}
-    return dict(zip(counts, target_weights(counts, None, temperature), strict=True))
+    counts = {r["queue"]: r["count"] for r in sizes.collect()}
+    blocks = _in_blocks(counts, _block_size(counts, block_docs))
+    return dict(zip(blocks, target_weights(blocks, None, temperature), strict=True))
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = 8, temperature: float = 0.5, period: int = 1024) -> DataFrame:
-    """``docs`` with _queue, _block, _slot and _place; (_slot, _place) is the order of the mixture.
+    """row (a struct of all columns of ``docs``), queue, block, slot, place; (slot, place) is the order of the mixture.
 
     ``weights`` are the sources' target shares of blocks; without any a
-    source's target is its number of documents to the power ``temperature``.
+    source's target is its number of blocks to the power ``temperature``.
     All documents stay. A null source counts as ''. Within a source documents
-    lie by bucket of their id's hash, then by id; repeated rows take places
-    after one another. Only one row for each source, with its count, reaches
-    the driver. An empty table gives no rows.
+    lie by bucket of their id's hash, then by id, then by a hash of the text;
+    repeated rows take places after one another. The plan does not depend on
+    partitions. Only one row for each source, with its count, reaches the
+    driver, which schedules at most MOST_BLOCKS blocks. An empty table gives
+    no rows. Columns of any name are kept: they lie in ``row``.
     """
-    spark = docs.sparkSession
-    buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spread = F.xxhash64("doc_id", F.length("text"))
+    dealt = docs.select(
+        F.struct("*").alias("row"), F.coalesce("source", F.lit("")).alias("queue"), F.pmod(spread, F.lit(BUCKETS)).cast("int").alias("bucket"),
+        F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")).alias("order"),
+    )
     # Several buckets a source, so a hot source is dealt to many tasks.
-    dealt = docs.withColumns({"_queue": F.coalesce("source", F.lit("")), "_bucket": F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(buckets)).cast("int")})
-    sizes = dealt.groupBy("_queue", "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_queue").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_queue", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    counts = {r["_queue"]: -(-r["n"] // block_docs) for r in sizes.groupBy("_queue").agg(F.sum("_n").alias("n")).orderBy("_queue").collect()}
-    numbered = dealt.withColumn("_row", F.row_number().over(Window.partitionBy("_queue", "_bucket").orderBy("doc_id")))
-    ranked = numbered.join(offsets, ["_queue", "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_row") - 1)
-    placed = ranked.withColumns({"_block": F.floor(F.col("_rank") / block_docs), "_place": (F.col("_rank") % block_docs).cast("int")})
-    names = {name: i for i, name in enumerate(counts)}
-    phases = pfair_phases(list(counts.values()), target_weights(counts, weights, temperature), period)
+    sizes = dealt.groupBy("queue", "bucket").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("queue").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("queue", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    counts = {r["queue"]: r["n"] for r in sizes.groupBy("queue").agg(F.sum("n").alias("n")).orderBy("queue").collect()}
+    size = _block_size(counts, block_docs)
+    blocks = _in_blocks(counts, size)
+    numbered = dealt.withColumn("number", F.row_number().over(Window.partitionBy("queue", "bucket").orderBy("order")) - 1)
+    ranked = numbered.join(offsets, ["queue", "bucket"]).withColumn("rank", F.col("before") + F.col("number"))
+    placed = ranked.select("row", "queue", F.floor(F.col("rank") / size).alias("block"), (F.col("rank") % size).cast("int").alias("place"))
+    names = {name: i for i, name in enumerate(blocks)}
+    phases = pfair_phases(list(blocks.values()), target_weights(blocks, weights, temperature), period)
 
     @F.pandas_udf("long")
     def slot(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for queue, block in columns:
             yield pd.Series(slots_of(phases, queue.map(names).to_numpy(np.int64), block.to_numpy(np.int64)))
 
-    return placed.withColumn("_slot", slot("_queue", "_block")).drop("_bucket", "_before", "_row", "_rank")
+    return placed.withColumn("slot", slot("queue", "block"))
 
 
 def mixture_plan(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = 8, temperature: float = 0.5) -> DataFrame:
     """doc_id, source, block, slot, place of every document (see ``mixed``)."""
-    placed = mixed(docs.select("doc_id", "source", F.col("text")), weights, block_docs, temperature)
-    return placed.select("doc_id", "source", F.col("_block").alias("block"), F.col("_slot").alias("slot"), F.col("_place").alias("place"))
+    placed = mixed(docs.select("doc_id", "source", "text"), weights, block_docs, temperature)
+    return placed.select("row.doc_id", "row.source", "block", "slot", "place")
 
 
 def in_mixture_order(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = 8, temperature: float = 0.5) -> DataFrame:
     """All rows and columns of ``docs``, laid out in the order of the mixture (sorted over all partitions)."""
     placed = mixed(docs, weights, block_docs, temperature)
-    return placed.repartitionByRange("_slot").sortWithinPartitions("_slot", "_place").select(*docs.columns)
+    return placed.repartitionByRange("slot").sortWithinPartitions("slot", "place").select("row.*")

@@ -1,4 +1,6 @@
+import math
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -59,5 +61,59 @@ def test_layout_keeps_rows_and_columns(spark):
     assert sorted(map(str, laid.collect())) == sorted(map(str, docs.collect()))
 
 
+def plain_edf(counts, weights):
+    """Slots by exact fractions, one at a time, with the releases and deadlines of the sources that have blocks left."""
+    given, left, start, base = [0] * len(counts), set(range(len(counts))), 0, [0] * len(counts)
+    slots = [[] for _ in counts]
+    for slot in range(sum(counts)):
+        total = sum(Fraction(weights[i]) for i in left)
+        share = {i: Fraction(weights[i]) / total for i in left}
+        k = {i: given[i] - base[i] for i in left}
+        free = [i for i in left if k[i] / share[i] // 1 <= slot - start]
+        i = min(free, key=lambda i: (math.ceil((k[i] + 1) / share[i]), i))
+        slots[i].append(slot)
+        given[i] += 1
+        if given[i] == counts[i]:
+            left.discard(i)
+            start, base = slot + 1, list(given)
+    return slots
+
+
+def test_plan_equals_plain_edf_on_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = M.mixture_plan(docs).collect()
+    counts = Counter(r["source"] or "" for r in docs.collect())
+    names = sorted(counts)
+    blocks = [-(-counts[n] // 8) for n in names]
+    slots = plain_edf(blocks, [b**0.5 for b in blocks])
+    assert sorted((r["source"] or "", r["block"], r["slot"]) for r in plan if r["place"] == 0) == sorted((n, b, s) for n, own in zip(names, slots, strict=True) for b, s in enumerate(own))
+    assert all(len({r["slot"] for r in plan if ((r["source"] or ""), r["block"]) == key}) == 1 for key in {((r["source"] or ""), r["block"]) for r in plan})
+
+
+def test_plan_does_not_depend_on_partitions(spark):
+    docs, found = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("4", "32", "211"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append(sorted(map(tuple, M.mixture_plan(docs).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == found[2]
+
+
+def test_columns_of_any_name_are_kept(spark):
+    names = ("_queue", "_row", "__key", "row", "queue", "bucket", "slot", "place", "rank", "n")
+    docs = cases.documents(spark).select("doc_id", "text", "source", *(F.lit(i).alias(c) for i, c in enumerate(names)))
+    laid = M.in_mixture_order(docs)
+    assert laid.columns == docs.columns
+    assert sorted(map(str, laid.collect())) == sorted(map(str, docs.collect()))
+
+
+def test_large_tables_have_larger_blocks():
+    assert M._block_size({"a": 100, "b": 9}, 8) == 8
+    assert M._block_size({"a": 1 << 30}, 8) == 1 << 11
+
+
 def test_empty_table(spark):
     assert M.mixture_plan(cases.documents(spark).where(F.lit(False))).collect() == []
