@@ -36,8 +36,9 @@ _BITS_AT_ONCE = 1 << 15
 
 #: The rule for similar texts: words of a shingle and the least Jaccard similarity of two texts' sets, in fifths.
 SIMILAR_SHINGLE, SIMILAR_FIFTHS = 5, 4
-#: Fingerprints of a text in that index, the radius in two and in all of them, and how many candidates of lower hash a text is checked against, nearest first.
-PRINTS, RADIUS_TWO, RADIUS_ALL, NEAREST = 4, 36, 76, 8
+#: Fingerprints of a text in that index, the radius in two and in all of them, and how many candidates of a text a long list gives in a first round, nearest first.
+PRINTS, RADIUS_TWO, RADIUS_ALL, NEAREST = 4, 36, 68, 4
+_PAIRS = list(combinations(range(BYTES), 2))
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
@@ -153,7 +154,7 @@ def _links_of(rows: dict[str, np.ndarray], bits: int) -> tuple[np.ndarray, np.nd
     return np.concatenate([empty, *left]), np.concatenate([empty, *right])
 
 
-def _by_place(place: list[str], names: tuple[str, ...], links_of: Callable[[dict[str, np.ndarray]], tuple[np.ndarray, np.ndarray]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _by_place(place: list[str], names: tuple[str, ...], links_of: Callable[[dict[str, np.ndarray]], tuple[np.ndarray, ...]], out: tuple[str, ...] = ("a", "b")) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function for mapInArrow that gives whole posting lists, which lie one after the other, to ``links_of``."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +164,7 @@ def _by_place(place: list[str], names: tuple[str, ...], links_of: Callable[[dict
             columns = [batch.column(c).to_numpy() for c in place]
             change = np.concatenate(([True], np.any([c[1:] != c[:-1] for c in columns], axis=0)))[: batch.num_rows]
             rows = {c: batch.column(c).to_numpy() for c in (*names, "side")} | {"new": change, "crossed": columns[2] != columns[3]}
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in links_of(rows)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in links_of(rows)], list(out))
 
         for batch in batches:
             if not batch.num_rows:
@@ -254,10 +255,12 @@ def _first_rows(docs: DataFrame, marked: DataFrame, node: str, classed: DataFram
     first = marked.groupBy(node).agg(F.min(order).alias("first"))
     least = classed.join(first, node).groupBy("component").agg(F.min("first").alias("first"))
     kept = stored(least.select("first.key").distinct(), "kept")
-    keyed = docs.withColumn("__key", _key())
-    chosen = keyed.join(kept.withColumnRenamed("key", "__key"), "__key", "left_semi")
-    one = Window.partitionBy("__key").orderBy("text")
-    return chosen.withColumn("__row", F.row_number().over(one)).where("__row = 1").select(*docs.columns)
+    keyed = docs.select(F.struct("*").alias("row"), _key().alias("key"), F.xxhash64("text").alias("order"), F.col("doc_id").isNull().alias("unnamed"))
+    # Rows without an id may all be one text: what each task has of them is made one row first.
+    unnamed = keyed.where("unnamed").withColumn("part", F.spark_partition_id()).dropDuplicates(["key", "part"]).drop("part")
+    chosen = keyed.where("not unnamed").union(unnamed).join(kept, "key", "left_semi")
+    one = Window.partitionBy("key").orderBy("order")
+    return chosen.withColumn("n", F.row_number().over(one)).where("n = 1").select("row.*")
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -283,66 +286,88 @@ def sketches(docs: DataFrame) -> DataFrame:
     return fingerprints(docs).select("doc_id", _key().alias("key"), "fp", sketch(whole("text")).alias("s")).select("doc_id", "key", "fp", "s.*")
 
 
-def _similar_of(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates inside whole posting lists: pairs within RADIUS_TWO, in lists of over _WIDE_GROUP the NEAREST of lower hash for each row."""
+def _similar_of(rows: dict[str, np.ndarray], nearest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates inside whole posting lists: pairs within RADIUS_TWO that have no earlier list of the same fingerprint in common.
+
+    In lists of over _WIDE_GROUP rows these are the ``nearest`` ones of each
+    row, with whether it had more.
+    """
     node, side, starts = rows["node"], rows["side"], np.flatnonzero(rows["new"])
     own, more = rows["own"].view(np.uint64), rows["more"].view(np.uint64)
+    below = np.array([[p < s[1] for p in range(BYTES)] for s in _PAIRS])[rows["list"] % len(_PAIRS)]
     sizes = np.diff(np.append(starts, len(node)))
     crossed = np.repeat(rows["crossed"][starts], sizes)
     last = np.repeat(starts + sizes, sizes)
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    left, right, cut = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+
+    def first_met(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        same = (own[i] ^ own[j]).view(np.uint8).reshape(-1, BYTES) == 0
+        return (same & below[i]).sum(axis=1) == 1
+
     small = np.repeat(sizes <= _WIDE_GROUP, sizes)
     for shift in range(1, min(int(sizes.max(initial=0)), _WIDE_GROUP + 1)):
         i = np.flatnonzero(small[: len(node) - shift] & (np.arange(len(node) - shift) + shift < last[: len(node) - shift]))
         i = i[~crossed[i] | (side[i] != side[i + shift])]
         i = i[np.bitwise_count(own[i] ^ own[i + shift]) + np.bitwise_count(more[i] ^ more[i + shift]) <= RADIUS_TWO]
-        left.append(node[i])
-        right.append(node[i + shift])
+        i = i[first_met(i, i + shift)]
+        for x, y in ((i, i + shift), (i + shift, i)):
+            left.append(node[x])
+            right.append(node[y])
+            cut.append(np.zeros(len(i), bool))
     for at, size in zip(starts[sizes > _WIDE_GROUP], sizes[sizes > _WIDE_GROUP], strict=True):
         here = slice(at, at + size)
         n, o, m, s = node[here], own[here], more[here], side[here]
         for low in range(0, size, 256):
             part = slice(low, low + 256)
             apart = np.bitwise_count(o[part, None] ^ o) + np.bitwise_count(m[part, None] ^ m)
-            apart[(n[part, None] <= n) | (crossed[at] & (s[part, None] == s))] = 255
+            apart[(n[part, None] == n) | (crossed[at] & (s[part, None] == s))] = 255
             i, j = np.nonzero(apart <= RADIUS_TWO)
+            met = first_met(at + low + i, at + j)
+            i, j = i[met], j[met]
             order = np.lexsort((n[j], apart[i, j], i))
             i, j = i[order], j[order]
             rank = np.arange(len(i)) - np.searchsorted(i, i)
-            left.append(n[part][i[rank < NEAREST]])
-            right.append(n[j[rank < NEAREST]])
-    return np.concatenate(left), np.concatenate(right)
-
-
-def similar_candidates(nodes: DataFrame) -> DataFrame:
-    """a, b: pairs of distinct nodes (node, p0..) that share two bytes of a fingerprint and lie within the radius.
-
-    A node is paired with the NEAREST ones of lower hash at most, so a crowd of
-    near copies gives no square of pairs. Lists of over BLOCK_ROWS rows are
-    split in blocks; which lists those are is estimated from one node of 16.
+            had_more = np.zeros(len(n[part]), bool)
+            had_more[i[rank >= nearest]] = True
+            i, j = i[rank < nearest], j[rank < nearest]
+            left.append(n[part][i])
+            right.append(n[j])
+            cut.append(had_more[i])
+    return np.concatenate(left), np.concatenate(right), np.concatenate(cut)
+
+
+def similar_candidates(nodes: DataFrame, nearest: int = NEAREST) -> DataFrame:
+    """a, b, more: of each node a, distinct nodes b (node, p0..) that share two bytes of a fingerprint and lie within the radius.
+
+    In long posting lists a node has its ``nearest`` ones only, so a crowd of
+    near copies gives no square of pairs; ``more`` says that a has others.
+    A pair that is left out has ``more`` for both. Lists of over BLOCK_ROWS
+    rows are split in blocks; which lists those are is estimated from one node
+    of 16.
     """
-    sets = list(combinations(range(BYTES), 2))
-    masks = [sum(0xFF << (8 * p) for p in s) for s in sets]
+    masks = [sum(0xFF << (8 * p) for p in s) for s in _PAIRS]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    prints = F.array(*(F.struct(F.lit(i * len(sets)).alias("base"), F.col(f"p{i}").alias("own"), F.col(f"p{(i + 1) % PRINTS}").alias("more")) for i in range(PRINTS)))
+    prints = F.array(*(F.struct(F.lit(i * len(_PAIRS)).alias("base"), F.col(f"p{i}").alias("own"), F.col(f"p{(i + 1) % PRINTS}").alias("more")) for i in range(PRINTS)))
     keys = F.array(*(F.struct((F.col("base") + i).alias("list"), F.col("own").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)))
+    light = ("node", "own", "more")
     each = nodes.select("node", F.explode(prints).alias("p")).select("node", "p.*")
-    posted = each.select("node", "own", "more", F.explode(keys).alias("k")).select("node", "own", "more", "k.list", "k.key")
+    posted = each.select(*light, F.explode(keys).alias("k")).select(*light, "k.list", "k.key")
     long = posted.where(F.pmod(F.xxhash64("node"), F.lit(16)) == 0).groupBy("list", "key").agg((F.count("*") * 16).alias("count")).where(F.col("count") > BLOCK_ROWS)
-    sized = posted.join(F.broadcast(stored(long, "long-lists")), ["list", "key"], "left")
+    sized = posted.join(stored(long, "long-lists"), ["list", "key"], "left")
     blocks = F.coalesce(F.ceil(F.col("count") / BLOCK_ROWS), F.lit(1)).cast("int")
     mine = sized.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    dealt = mine.select("node", "own", "more", "list", "key", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    placed = dealt.select("node", "own", "more", "list", "key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), (F.col("mine") > F.col("other")).alias("side"))
+    dealt = mine.select(*light, "list", "key", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    placed = dealt.select(*light, "list", "key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), (F.col("mine") > F.col("other")).alias("side"))
     place = ["list", "key", "low", "high"]
-    compared = _by_place(place, ("node", "own", "more"), _similar_of)
-    found = placed.repartition(*place).sortWithinPartitions(*place).mapInArrow(compared, "a long, b long")
-    pairs = found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    compared = _by_place(place, (*light, "list"), lambda rows: _similar_of(rows, nearest), ("a", "b", "more"))
+    found = placed.repartition(*place).sortWithinPartitions(*place).mapInArrow(compared, "a long, b long, more boolean")
+    pairs = stored(found.groupBy("a", "b").agg(F.bool_or("more").alias("more")), "met")
     other = {side: nodes.select(F.col("node").alias(side), *(F.col(f"p{i}").alias(f"{side}{i}") for i in range(PRINTS))) for side in "ab"}
     apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(PRINTS)), F.lit(0))
-    near = pairs.join(other["a"], "a").join(other["b"], "b").select("a", "b", apart.alias("apart")).where(F.col("apart") <= RADIUS_ALL)
-    rank = F.row_number().over(Window.partitionBy("b").orderBy("apart", "a"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= NEAREST).select("a", "b")
+    near = pairs.join(other["a"], "a").join(other["b"], "b").withColumn("apart", apart).where(F.col("apart") <= RADIUS_ALL)
+    rank = F.row_number().over(Window.partitionBy("a").orderBy("apart", "b"))
+    ranked = near.withColumn("rank", rank).where(F.col("rank") <= 2 * nearest + 1)
+    return ranked.select("a", F.when(F.col("rank") <= 2 * nearest, F.col("b")).alias("b"), (F.col("more") | (F.col("rank") > 2 * nearest)).alias("more"))
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -361,20 +386,59 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select(whole("text").alias("text")).mapInArrow(sets, "node long, grams array<long>").dropDuplicates(["node"])
 
 
-def similar_links(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """a, b: candidates among the nodes of ``marked`` (see ``sketches``) whose shingle sets are similar enough."""
-    nodes = stored(marked.drop("doc_id", "key", "fp").dropDuplicates(["node"]), "nodes")
-    pairs = stored(similar_candidates(nodes), "candidates")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def _sets_of(docs: DataFrame, marked: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, grams of the wanted nodes (see ``shingle_sets``)."""
     keys = marked.join(wanted, "node", "left_semi").select("key").distinct()
-    texts = docs.select("text", _key().alias("key")).join(keys, "key", "left_semi")
-    sets = stored(shingle_sets(texts), "shingles")
+    return stored(shingle_sets(docs.select("text", _key().alias("key")).join(keys, "key", "left_semi")), "shingles")
+
+
+def _alike(docs: DataFrame, marked: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs of nodes whose shingle sets are similar enough."""
+    sets = _sets_of(docs, marked, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
     left, right = (sets.select(F.col("node").alias(s), F.col("grams").alias(f"{s}_grams")) for s in "ab")
     both = F.size(F.array_intersect("a_grams", "b_grams"))
     alike = both * 5 >= (F.size("a_grams") + F.size("b_grams") - both) * SIMILAR_FIFTHS
     return stored(pairs.join(left, "a").join(right, "b").where(alike).select("a", "b"), "links")
 
 
+def _between(docs: DataFrame, marked: DataFrame, waiting: DataFrame, groups: DataFrame) -> DataFrame:
+    """a, b: all pairs of waiting nodes of different groups that may be similar enough.
+
+    Of two such sets, each with its shingles from the rarest to the most
+    common, the first fifth of both and one more have a shingle in common.
+    """
+    sets = _sets_of(docs, marked, waiting).join(groups, "node", "left")
+    each = sets.select("node", F.coalesce("component", "node").alias("group"), F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+    rarest = Window.partitionBy("node").orderBy("n", "gram")
+    ranked = each.join(each.groupBy("gram").agg(F.count("*").alias("n")), "gram").withColumn("rank", F.row_number().over(rarest))
+    first = stored(ranked.where(F.expr(f"rank <= size - (size * {SIMILAR_FIFTHS} + 4) div 5 + 1")).select("gram", "node", "group", "rank", "size"), "prefixes")
+    several = first.groupBy("gram").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least < most").select("gram")
+    a, b = (first.join(several, "gram", "left_semi").select(F.col("gram").alias(f"{s}_gram"), *(F.col(c).alias(f"{s}_{c}") for c in ("node", "group", "rank", "size"))) for s in "ab")
+    # At the first common shingle, what lies behind it must hold four ninths of both sets together.
+    enough = (F.least(F.col("a_size") - F.col("a_rank"), F.col("b_size") - F.col("b_rank")) + 1) * (5 + SIMILAR_FIFTHS) >= (F.col("a_size") + F.col("b_size")) * SIMILAR_FIFTHS
+    met = a.join(b, (F.col("a_gram") == F.col("b_gram")) & (F.col("a_group") < F.col("b_group")) & enough)
+    return met.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+
+
+def similar_links(docs: DataFrame, marked: DataFrame, known: DataFrame) -> DataFrame:
+    """a, b: ``known`` links and those among the nodes of ``marked`` (see ``sketches``) whose shingle sets are similar enough.
+
+    First the nearest candidates of each node are checked. Nodes that had more
+    are then compared, between the components found so far, by their rarest
+    shingles. A link inside a component adds nothing to it, so the components
+    are those of all candidates.
+    """
+    nodes = stored(marked.drop("doc_id", "key", "fp").dropDuplicates(["node"]), "nodes")
+    found = stored(similar_candidates(nodes), "candidates")
+    pairs = stored(found.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    links = known.union(_alike(docs, marked, pairs))
+    waiting = stored(found.where("more").select(F.col("a").alias("node")).distinct(), "waiting")
+    if waiting.isEmpty():
+        return links
+    rest = _between(docs, marked, waiting, components(links, "a", "b"))
+    return links.union(_alike(docs, marked, stored(rest.join(pairs, ["a", "b"], "left_anti"), "candidates")))
+
+
 def without_similar(docs: DataFrame) -> DataFrame:
     """One row of each group of similar texts, with all columns of ``docs``: that of the smallest doc_id.
 
@@ -388,7 +452,7 @@ def without_similar(docs: DataFrame) -> DataFrame:
     near = marked.select("node", "fp").distinct().join(near_classes(marked), "fp")
     least = near.groupBy("component").agg(F.min("node").alias("b"))
     close = near.join(least, "component").select(F.col("node").alias("a"), "b").where("a <> b")
-    linked = components(similar_links(docs, marked).union(close), "a", "b")
+    linked = components(similar_links(docs, marked, stored(close, "close")), "a", "b")
     joined = marked.select("node").distinct().join(linked, "node", "left")
     classed = stored(joined.select("node", F.coalesce("component", "node").alias("component")), "components")
     return _first_rows(docs, marked, "node", classed)

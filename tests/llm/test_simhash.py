@@ -96,6 +96,25 @@ def test_one_of_each_group_stays(spark):
     assert ids.count(None) == 1  # the text without an id; the null text without one joins the empty texts
 
 
+def test_crowds_of_similar_texts_are_one(spark, monkeypatch):
+    """Large posting lists: a few nearest candidates first, then rounds for what they left out."""
+    monkeypatch.setattr(S, "NEAREST", 1)
+    monkeypatch.setattr(S, "_WIDE_GROUP", 4)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    rows = []
+    for crowd in range(3):
+        base = [word() for _ in range(200)]
+        for i in range(60):
+            copy = list(base)
+            copy[rng.randrange(200)] = word()
+            rows.append((1000 * crowd + i, " ".join(copy), 0, "x"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int, key string")
+    kept = S.without_similar(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1000, 2000]
+
+
 def test_empty_table(spark):
     docs = cases.documents(spark).where(F.lit(False))
     assert S.near_duplicates(docs).collect() == []
