@@ -23,30 +23,43 @@ LEAST_LANGUAGE_SCORE = 0.2
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a quality score of 0.5 or more."""
+    """Documents with a quality score of 0.5 or more.
+
+    Null and empty texts are scored as empty; repeated rows fare alike.
+    Columns of any name are kept.
+    """
     model = train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_quality(docs, model, score="__quality").where(F.col("__quality") >= 0.5).select(*docs.columns)
+    scored = score_quality(docs.select(F.struct("*").alias("row")), model, text="row.text", score="quality")
+    return scored.where(F.col("quality") >= 0.5).select("row.*")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is recognised."""
-    found = add_language(docs, train_languages(docs), name="__language")
-    sure = (F.col("__language.lang") != "und") & (F.col("__language.score") >= LEAST_LANGUAGE_SCORE)
-    return found.where(sure).select(*docs.columns)
+    """Documents in which a language is recognised.
+
+    Null texts and texts without a letter go; repeated rows fare alike.
+    Columns of any name are kept.
+    """
+    found = add_language(docs.select(F.struct("*").alias("row")), train_languages(docs), text="row.text", name="language")
+    sure = (F.col("language.lang") != "und") & (F.col("language.score") >= LEAST_LANGUAGE_SCORE)
+    return found.where(sure).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    """One document of each group of texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
+
+    The row of the smallest doc_id stays; ids that are null come last. Null,
+    empty and blank texts are alike; of repeated rows one stays.
+    """
     return without_similar(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, laid out in the order of the mixture."""
+    """All documents, laid out in the order of the mixture; a null source counts as ''."""
     return in_mixture_order(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of packed sequences, in which sources have the target weights of the mixture."""
+    """The pieces of packed sequences, in which sources have the target weights of the mixture; null and empty texts are one end token."""
     return packed(docs, weights=source_weights(docs))
 
 
