@@ -30,6 +30,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
+    """``df`` written to the shared folder in buckets by ``key`` and read again: grouping by the key, and by more, needs no exchange then.
+
+    ``df`` should be dealt by the key to as many partitions, so that a task
+    writes one bucket.
+    """
+    path = scratch(df.sparkSession, name)
+    table = path.rpartition("/")[2].replace("-", "_")
+    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def fold(doc_id: str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id counts as ''."""
     text = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))

@@ -17,13 +17,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import stored, whole
+from ._common import bucketed, stored, whole
 
 SUBTABLES = 3
 #: Cells in each subtable of a fingerprint.
 WIDTH = 8
 #: A piece is 32 words of a line, or up to 8 of what is left of it.
 PIECE = r" *+(?:[^ \n]++ *+){32}| *+(?:[^ \n]++ *+){1,8}"
+#: Failed pairs of an attempt that are broadcast at most (24 bytes each); more are joined by a shuffle.
+MOST_BROADCAST = 1 << 18
 #: Passes over the three subtables in one attempt at peeling.
 PASSES = 6
 
@@ -78,6 +80,31 @@ def _pure(c: Column, k: Column, h: Column) -> Column:
     return (F.abs(c) == 1) & (h == _check(k))
 
 
+def peeled_small(cells: Column, width: int = WIDTH) -> Column:
+    """How many digests peeling recovers from a subtracted sketch in one row; null if cells are left."""
+    taken = lambda x, p: F.struct((x["c"] - p["c"]).alias("c"), x["k"].bitwiseXOR(p["k"]).alias("k"), x["h"].bitwiseXOR(p["h"]).alias("h"))
+    none = lambda x: (x["c"] == 0) & (x["k"] == 0) & (x["h"] == 0)
+
+    def step(state: Column, own: Column) -> Column:
+        at = lambda i: (i / width).cast("int")
+        pure = F.filter(state["cells"], lambda x, i: (at(i) == own) & _pure(x["c"], x["k"], x["h"]))
+        less = lambda found: F.transform(state["cells"], lambda x, i: F.aggregate(found, x, lambda y, p: F.when(_cell(p["k"], at(i), F.lit(width)) == i % width, taken(y, p)).otherwise(y)))
+        after = lambda found: F.struct(less(found).alias("cells"), (state["n"] + F.size(found)).alias("n"))
+        return F.when(F.forall(state["cells"], none), state).otherwise(F.transform(F.array(pure), after)[0])
+
+    start = F.struct(cells.alias("cells"), F.lit(0).alias("n"))
+    hopeful = F.exists(cells, lambda x: _pure(x["c"], x["k"], x["h"])) | F.forall(cells, none)
+    turns = F.array(*(F.lit(i % SUBTABLES) for i in range(SUBTABLES * PASSES)))
+    return F.when(hopeful, F.aggregate(turns, start, step, lambda state: F.when(F.forall(state["cells"], none), state["n"].cast("long"))))
+
+
+def _summed(spots: DataFrame, keys: list[str]) -> DataFrame:
+    """The cells that are not empty. The key is a struct: for plain columns each of the many sums in a row would hold a page of memory to the task's end."""
+    cell = F.struct(*keys[1:], "width", "s", "i").alias("cell")
+    added = spots.select(keys[0], cell, "c", "k", "h").groupBy(keys[0], "cell").agg(F.sum("c").alias("c"), F.bit_xor("k").alias("k"), F.bit_xor("h").alias("h"))
+    return added.where("c <> 0 or k <> 0 or h <> 0").select(keys[0], "cell.*", "c", "k", "h")
+
+
 def peeled(cells: DataFrame, keys: list[str], seed: int) -> DataFrame:
     """keys, differing, left: digests recovered from subtracted sketches, and cells that could not be emptied.
 
@@ -85,7 +112,6 @@ def peeled(cells: DataFrame, keys: list[str], seed: int) -> DataFrame:
     Subtables are peeled in turn: a digest lies in one cell of each, so none is
     taken out twice. A pair whose sketches are equal has no row.
     """
-    group = [*keys, "width", "s", "i"]
     for step in range(SUBTABLES * PASSES):
         own = step % SUBTABLES
         one = lambda s, i, c, k, h: F.struct(F.lit(s).alias("s"), i.alias("i"), c.alias("c"), k.alias("k"), h.alias("h"))
@@ -95,47 +121,56 @@ def peeled(cells: DataFrame, keys: list[str], seed: int) -> DataFrame:
         freed = F.array(one(SUBTABLES, zero, zero + 1, zero, zero), *gone)
         itself = F.array(F.struct("s", "i", "c", "k", "h"))
         moved = cells.select(*keys, "width", F.explode(F.when((F.col("s") == own) & _pure(F.col("c"), F.col("k"), F.col("h")), freed).otherwise(itself)).alias("x"))
-        summed = moved.select(*keys, "width", "x.*").groupBy(*group).agg(F.sum("c").alias("c"), F.bit_xor("k").alias("k"), F.bit_xor("h").alias("h"))
-        cells = summed.where("c <> 0 or k <> 0 or h <> 0")
+        cells = _summed(moved.select(*keys, "width", "x.*"), keys)
     counted = F.sum(F.when(F.col("s") == SUBTABLES, F.col("c")).otherwise(0))
     return cells.groupBy(*keys).agg(counted.alias("differing"), F.sum(F.when(F.col("s") < SUBTABLES, 1).otherwise(0)).alias("left"))
 
 
-def differences(sets: DataFrame, seed: int, scale: int = 1) -> DataFrame:
-    """row, pair, differing, left of digest sets ``a`` and ``b`` (arrays), with sketches of about ``scale`` times their size."""
+def differences(sets: DataFrame, keys: list[str], seed: int, scale: int = 1) -> DataFrame:
+    """keys, differing, left of digest sets ``a`` and ``b`` (arrays), with sketches of about ``scale`` times their size."""
     width = F.greatest(F.lit(4), F.ceil((F.size("a") + F.size("b")) * (0.5 * scale)) + 4).cast("long")
-    sized = sets.withColumn("width", width).repartition("row")
+    sized = sets.withColumn("width", width)
     plus, minus = (F.transform(side, lambda d: F.struct(d.alias("k"), n.cast("long").alias("c"))) for side, n in (("a", F.lit(1)), ("b", F.lit(-1))))  # noqa: B023
-    items = sized.select("row", "pair", "width", F.explode(F.concat(plus, minus)).alias("x")).select("row", "pair", "width", "x.k", "x.c")
+    items = sized.select(*keys, "width", F.explode(F.concat(plus, minus)).alias("x")).select(*keys, "width", "x.k", "x.c")
     spots = items.select("*", F.explode(F.array(*(F.lit(s) for s in range(SUBTABLES)))).alias("s"))
-    placed = spots.select("row", "pair", "width", "s", _cell(F.col("k"), F.col("s"), F.col("width"), seed).alias("i"), "c", "k", _check(F.col("k")).alias("h"))
-    summed = placed.groupBy("row", "pair", "width", "s", "i").agg(F.sum("c").alias("c"), F.bit_xor("k").alias("k"), F.bit_xor("h").alias("h"))
-    return peeled(summed.where("c <> 0 or k <> 0 or h <> 0"), ["row", "pair"], seed)
+    placed = spots.select(*keys, "width", "s", _cell(F.col("k"), F.col("s"), F.col("width"), seed).alias("i"), "c", "k", _check(F.col("k")).alias("h"))
+    return peeled(_summed(placed, keys), keys, seed)
+
 
+def _place(edges: list[int], value: Column) -> tuple[Column, Column]:
+    """The last of the sorted edges that is at most the value, as a place from 0; and whether it equals the value."""
+    step = 32
+    all_edges, coarse = F.array(*map(F.lit, edges)), F.array(*map(F.lit, edges[::step]))
+    first = F.size(F.filter(coarse, lambda b: b <= value)) - 1
+    place = first * step + F.size(F.filter(F.slice(all_edges, first * step + 1, F.lit(step)), lambda b: b <= value)) - 1
+    return place, F.get(all_edges, place) == value
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, next_text: every document beside the one that follows it by (doc_id, text); the last beside the first.
+
+def with_next(docs: DataFrame, tasks: int) -> DataFrame:
+    """part, at, doc_id, text, next_text: every document beside the one that follows it by (doc_id, text); the last beside the first.
 
     Documents are dealt to ranges of doc_id that begin at approximate
     quantiles; each range also gets the first document of the next one, so one
-    exchange of the texts does. Null ids come after all others.
+    exchange of the texts does. Null ids come after all others, in ranges of
+    their text's hash. (part, at) is a key; rows are dealt to ``tasks`` by part.
     """
-    spark = docs.sparkSession
-    ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    at = [i / ranges for i in range(1, ranges)]
-    found = docs.agg(F.percentile_approx("doc_id", at, 100 * ranges).alias("q"), F.min("doc_id").alias("least"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    ranges = 8 * tasks
+    rows = docs.select("doc_id", whole("text").alias("text")).withColumn("hash", F.xxhash64("text"))
+    found = rows.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 100 * ranges).alias("q"), F.min("doc_id").alias("least"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
     bounds = sorted({*(found["q"] or []), *([] if found["least"] is None else [found["least"]])})
-    edges = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<long>")
-    last = len(bounds) - (not found["nulls"])
-    own = F.when(F.col("doc_id").isNull(), F.lit(len(bounds))).otherwise(F.size(F.filter(edges, lambda b: b <= F.col("doc_id"))) - 1)
-    begins = F.col("doc_id").isNull() | F.array_contains(edges, F.col("doc_id"))
+    slots = rows.where("doc_id is null").groupBy(F.floor((F.col("hash") / 2.0**64 + 0.5) * ranges)).agg(F.min("hash").alias("least"))
+    unnamed = sorted(r["least"] for r in slots.collect()) if found["nulls"] else []
+    named_part, named_first = _place(bounds, F.col("doc_id")) if bounds else (F.lit(0), F.lit(False))
+    null_part, null_first = _place(unnamed, F.col("hash")) if unnamed else (F.lit(0), F.lit(False))
+    own = F.when(F.col("doc_id").isNull(), null_part + len(bounds)).otherwise(named_part)
+    begins = F.when(F.col("doc_id").isNull(), null_first).otherwise(named_first)
     spot = lambda part, wrap, real: F.struct(part.alias("part"), F.lit(wrap).alias("wrap"), F.lit(real).alias("real"))
-    before = F.when(F.col("own") == 0, spot(F.lit(last), 1, False)).otherwise(spot(F.col("own") - 1, 0, False))
-    spots = F.when(begins, F.array(spot(F.col("own"), 0, True), before)).otherwise(F.array(spot(F.col("own"), 0, True)))
-    dealt = docs.select("doc_id", whole("text").alias("text")).withColumn("own", own).select("doc_id", "text", F.explode(spots).alias("x")).select("doc_id", "text", "x.*")
-    order = Window.partitionBy("part").orderBy("wrap", F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "text", F.col("real").desc())
-    following = F.lead("text").over(order)
-    return dealt.withColumn("next_text", following).where("real").select("doc_id", "text", F.coalesce("next_text", "text").alias("next_text"))
+    before = F.when(F.col("own") == 0, spot(F.lit(len(bounds) + len(unnamed) - 1), 1, False)).otherwise(spot(F.col("own") - 1, 0, False))
+    spots = F.when(F.col("begins"), F.array(spot(F.col("own"), 0, True), before)).otherwise(F.array(spot(F.col("own"), 0, True)))
+    dealt = rows.withColumns({"own": own, "begins": begins}).select("doc_id", "text", "hash", F.explode(spots).alias("x")).select("doc_id", "text", "hash", "x.*")
+    order = Window.partitionBy("part").orderBy("wrap", F.col("doc_id").asc_nulls_last(), "hash", "text", F.col("real").desc())
+    placed = dealt.repartition(tasks, "part").withColumns({"next_text": F.lead("text").over(order), "at": F.row_number().over(order)})
+    return placed.where("real").select("part", "at", "doc_id", "text", F.coalesce("next_text", "text").alias("next_text"))
 
 
 def edited(text: str, following: str) -> Column:
@@ -151,48 +186,42 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     distinct ones; 1 for two texts without words. Null texts are empty.
     Repeated rows follow one another and give a row each; the documents of an
     empty table give none; a single document is its own next.
+
+    The digest sets are written in buckets by part, so that the sketches of
+    all attempts are added up and peeled without another exchange.
     """
-    paired = once(with_next(docs.select("doc_id", "text")), edit=edited("text", "next_text"))
-    sides = {"own": "text", "edit": "edit", "next": "next_text"}
-    sets = once(paired, **{f"{n}_set": digests(F.col(c)) for n, c in sides.items()})
-    spots = once(sets, **{f"{n}_spots": placed(F.col(f"{n}_set")) for n in sides})
+    tasks, keys = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["part", "at"]
+    paired = once(with_next(docs.select("doc_id", "text"), tasks), edit_text=edited("text", "next_text"))
+    sides = {"own": "text", "edit": "edit_text", "next": "next_text"}
+    sets = once(paired, **{n: digests(F.col(c)) for n, c in sides.items()})
+    spots = once(sets, **{f"{n}_spots": placed(F.col(n)) for n in sides})
     cells = once(spots, **{f"{n}_cells": sketch(F.col(f"{n}_spots")) for n in sides})
     less = once(cells, **{f"{n}_less": subtract(F.col("own_cells"), F.col(f"{n}_cells")) for n in ("edit", "next")})
-    marked = less.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edit", 256).alias("edited_sha256"),
-        *(F.col(f"{n}_set").alias(n) for n in sides), sketch_text(F.col("own_cells")).alias("fingerprint"), sketch_text(F.col("edit_cells")).alias("edited_fingerprint"), "edit_less", "next_less",
-    )
-    # Sketches without a pure cell cannot be peeled; that shows without trying.
-    hopeful = lambda c: F.when(F.exists(c, lambda x: _pure(x["c"], x["k"], x["h"])) | F.forall(c, lambda x: (x["c"] == 0) & (x["k"] == 0) & (x["h"] == 0)), c)
-    table = stored(marked.withColumns({f"{c}_less": hopeful(F.col(f"{c}_less")) for c in ("edit", "next")}), "sketches")
+    # Attempt 0 peels the fingerprints.
+    light = less.select(
+        *keys, "doc_id", F.length("text").cast("long").alias("n_chars"), F.unhex(F.sha2("edit_text", 256)).alias("sha"), *sides, *(peeled_small(F.col(f"{n}_less")).alias(f"small_{n}") for n in ("edit", "next"))
+    )
+    table = bucketed(light, "sketches", tasks, "part")
     pairs = ((1, "edit"), (2, "next"))
-
-    def pair_rows(frame: DataFrame, *extra: str) -> DataFrame:
-        both = F.array(*(F.struct(F.lit(n).alias("pair"), F.col("own").alias("a"), F.col(c).alias("b"), *(F.col(f"{c}_{e}").alias(e) for e in extra)) for n, c in pairs))
-        return frame.select("row", F.explode(both).alias("x")).select("row", "x.*")
-
-    small = pair_rows(table, "less").where("less is not null").select("row", "pair", F.lit(WIDTH).cast("long").alias("width"), F.posexplode("less").alias("at", "x"))
-    small_cells = small.select("row", "pair", "width", F.floor(F.col("at") / WIDTH).cast("int").alias("s"), F.pmod("at", F.lit(WIDTH)).cast("long").alias("i"), "x.c", "x.k", "x.h")
-    # Attempt 0 peels the fingerprints; a pair with equal sketches keeps its rows out, so it is marked by its own row.
-    first = peeled(small_cells.where("c <> 0 or k <> 0 or h <> 0").repartition("row"), ["row", "pair"], 0)
-    equal = F.forall("less", lambda x: (x["c"] == 0) & (x["k"] == 0) & (x["h"] == 0))
-    same = pair_rows(table, "less").where(equal).select("row", "pair", F.lit(0).cast("long").alias("differing"))
-    done = stored(same.union(first.where("left = 0").select("row", "pair", "differing")), "peeled")
-    attempt, results = 1, [done]
-    waiting = pair_rows(table).join(done, ["row", "pair"], "left_anti")
+    both = F.array(*(F.struct(F.lit(n).alias("pair"), F.col("own").alias("a"), F.col(c).alias("b"), F.col(f"small_{c}").alias("small")) for n, c in pairs))
+    rows = table.select(*keys, F.explode(both).alias("x")).select(*keys, "x.*")
+    waiting, attempt, found = rows.where("small is null"), 1, None
     while True:
-        tried = stored(differences(waiting, attempt, 1 << (attempt - 1)), "peeled")
-        results.append(tried.where("left = 0").select("row", "pair", "differing"))
-        failed = tried.where("left > 0").select("row", "pair")
-        if failed.isEmpty():
+        tried = stored(differences(waiting, [*keys, "pair"], attempt, 1 << (attempt - 1)), "peeled")
+        done = tried.where("left = 0").select(*keys, "pair", "differing")
+        found = done if found is None else found.union(done)
+        failed = tried.where("left > 0").select(*keys, "pair")
+        n = failed.count()
+        if not n:
             break
-        waiting, attempt = pair_rows(table).join(failed, ["row", "pair"]), attempt + 1
-    found = results[0]
-    for more in results[1:]:
-        found = found.union(more)
-    by_row = found.groupBy("row").agg(*(F.sum(F.when(F.col("pair") == n, F.col("differing"))).alias(f"d_{c}") for n, c in pairs))
+        waiting, attempt = rows.join(F.broadcast(failed) if n <= MOST_BROADCAST else failed, [*keys, "pair"], "left_semi"), attempt + 1
+    by_row = found.groupBy(*keys).agg(*(F.sum(F.when(F.col("pair") == n, F.col("differing"))).alias(f"large_{c}") for n, c in pairs))
     # Pairs whose larger sketches cancelled out have no row: nothing differs.
-    near = lambda c: F.when(F.size("own") + F.size(c) == 0, F.lit(1.0)).otherwise(1 - F.coalesce(F.col(f"d_{c}"), F.lit(0)) / F.greatest(F.lit(1), F.size("own") + F.size(c)))
-    return table.join(by_row, "row", "left").select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edit").cast("double").alias("near_edited"), near("next").cast("double").alias("near_next")
-    )
+    differing = lambda c: F.coalesce(f"small_{c}", f"large_{c}", F.lit(0))
+    near = lambda c, size: F.when(F.size("own") + size == 0, F.lit(1.0)).otherwise(1 - differing(c) / F.greatest(F.lit(1), F.size("own") + size)).cast("double")
+    wide = table.select(*keys, "doc_id", "n_chars", "sha", "own", "edit", F.size("next").alias("next_size"), "small_edit", "small_next").join(by_row, keys, "left")
+    shown = once(once(wide, own_spots=placed(F.col("own")), edit_spots=placed(F.col("edit"))), own_cells=sketch(F.col("own_spots")), edit_cells=sketch(F.col("edit_spots")))
+    return shown.select(
+        "doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), sketch_text(F.col("own_cells")).alias("fingerprint"), sketch_text(F.col("edit_cells")).alias("edited_fingerprint"),
+        near("edit", F.size("edit")).alias("near_edited"), near("next", F.col("next_size")).alias("near_next"),
+    )

@@ -59,13 +59,26 @@ def test_small_sketches_fail_and_larger_ones_do_not(spark):
         F.transform(F.sequence(F.lit(1), F.lit(200)), lambda i: F.xxhash64(F.col("id"), i.cast("long"))).alias("a"),
         F.transform(F.sequence(F.lit(1) + F.col("id"), F.lit(200) + 2 * F.col("id")), lambda i: F.xxhash64(F.col("id"), i.cast("long"))).alias("b"),
     )
-    got = {r["row"]: r for r in B.differences(sets, 5).collect()}
+    got = {r["row"]: r for r in B.differences(sets, ["row", "pair"], 5).collect()}
     assert 0 not in got
     assert all(got[i]["left"] > 0 or got[i]["differing"] == 3 * i for i in range(1, 40)) and sum(got[i]["left"] == 0 for i in range(1, 40)) > 35
-    tight = B.differences(sets, 5, 0)
+    tight = B.differences(sets, ["row", "pair"], 5, 0)
     assert any(r["left"] > 0 for r in tight.collect())
 
 
+def test_many_rows_without_an_id(spark):
+    rows = [(None, f"line {i} of many\nand another {i % 7}") for i in range(300)] + [(i, f"text {i} with words") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = B.fingerprints(docs).collect()
+    assert check(found, rows) == 49 and sum(r["doc_id"] is None for r in found) == 300
+    following = {r["text"]: r["next_text"] for r in B.with_next(docs, 8).collect()}
+    assert len(following) == 350
+    at, seen = "text 0 with words", 0
+    while seen == 0 or at != "text 0 with words":  # one ring of all texts
+        at, seen = following[at], seen + 1
+    assert seen == 350
+
+
 @pytest.mark.parametrize("n", [1, 2])
 def test_few_rows(spark, n):
     docs = spark.createDataFrame([(7, "one two three"), (9, "four five")][:n], "doc_id long, text string")
