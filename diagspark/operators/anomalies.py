@@ -14,19 +14,19 @@ from .windows import ORDER, running
 THRESHOLD_SCHEMA = "metric string, bound double, above boolean, severity string, label string"
 #: Metric, bound, above, severity, label.
 THRESHOLDS = (
-    ("latency_read", 20.0, True, "warning", "High read latency"),
-    ("latency_write", 20.0, True, "warning", "High write latency"),
-    ("latency_command", 20.0, True, "warning", "High command latency"),
-    ("scan_keys", 100000.0, True, "warning", "High key scans"),
-    ("scan_objects", 100000.0, True, "warning", "High object scans"),
-    ("cpu_idle", 30.0, False, "critical", "Low idle CPU"),
-    ("cpu_iowait", 15.0, True, "warning", "High I/O wait"),
-    ("mem_page_faults", 20.0, True, "warning", "Many page faults"),
-    ("q_queued_read", 10.0, True, "warning", "Queued reads"),
-    ("q_queued_write", 10.0, True, "warning", "Queued writes"),
-    ("write_conflicts/s", 10.0, True, "warning", "Write conflicts"),
-    ("disk_util", 70.0, True, "warning", "Busy disk"),
-    ("repl_lag", 5.0, True, "critical", "Replication lag"),
+    ("latency_read", 20.0, True, "warning", "> 20ms"),
+    ("latency_write", 20.0, True, "warning", "> 20ms"),
+    ("latency_command", 20.0, True, "warning", "> 20ms"),
+    ("scan_keys", 100000.0, True, "warning", "> 100K/s"),
+    ("scan_objects", 100000.0, True, "warning", "> 100K/s"),
+    ("cpu_idle", 30.0, False, "warning", "< 30%"),
+    ("cpu_iowait", 15.0, True, "warning", "> 15%"),
+    ("mem_page_faults", 20.0, True, "warning", "> 20/s"),
+    ("q_queued_read", 10.0, True, "warning", "> 10"),
+    ("q_queued_write", 10.0, True, "warning", "> 10"),
+    ("write_conflicts/s", 10.0, True, "warning", "> 10/s"),
+    ("disk_util", 70.0, True, "warning", "> 70%"),
+    ("repl_lag", 5.0, True, "critical", "> 5s"),
 )
 
 

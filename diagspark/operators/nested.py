@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .windows import running
+
+#: Places in the order of a delta-coded column that are summed in one task.
+STRETCH = 100_000
+
 
 def _leaves(value: Column, kind: T.DataType, path: Column) -> Column:
     """An array of (path, value) of all numeric leaves below ``value``."""
@@ -46,9 +51,9 @@ def flatten_numeric(df: DataFrame, column: str, keys: Sequence[str]) -> DataFram
 
 
 def delta_decode(deltas: DataFrame, base: str, keys: Sequence[str], order: str, delta: str = "delta") -> DataFrame:
-    """``deltas`` with ``value``: the base plus all deltas of its key up to the row."""
-    so_far = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return deltas.withColumn("value", F.col(base) + F.sum(delta).over(so_far))
+    """``deltas`` with ``value``: the base plus all deltas of its key up to the row; ``order`` is a whole number."""
+    summed = running(deltas, F.col(delta), "__sum", keys, (order,), stretch=F.floor(F.col(order) / STRETCH))
+    return summed.withColumn("value", F.col(base) + F.col("__sum")).drop("__sum")
 
 
 def expand_zero_runs(tokens: DataFrame, run: str = "zeros", value: str = "delta") -> DataFrame:

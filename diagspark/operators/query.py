@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import short_label
 from .series import MAX_POINTS, SERIES, downsample, slice_range
 
+#: Targets whose stored series have another name.
+STORED = {"replication_lags": "repl_lag", "disks_utils": "disk_util", "disks_iops": "disk_iops"}
 #: Targets that give a series for each disk or host.
 FAN_OUT = ("replication_lags", "disks_utils", "disks_iops", "disks_queue_length", "read_time_ms", "write_time_ms", "io_queued_ms")
 DISK_PANELS = ("disks_iops", "disks_utils", "disks_queue_length", "read_time_ms", "write_time_ms", "io_queued_ms", "latency_read", "latency_write", "latency_command", "cpu_iowait", "cpu_user")
@@ -23,9 +25,10 @@ def catalogue(points: DataFrame) -> DataFrame:
 
 def select_series(points: DataFrame, targets: Sequence[str], start: Column, end: Column, max_points: int = MAX_POINTS) -> DataFrame:
     """host, target, entity, ts, value of the wanted series over a range, downsampled; fan-out targets are named by entity, others by short label."""
-    wanted = points.where(F.col("metric").isin(*targets))
+    stored = lambda names: [STORED.get(t, t) for t in names]
+    wanted = points.where(F.col("metric").isin(*stored(targets)))
     cut = downsample(slice_range(wanted, start, end), max_points)
-    name = F.when(F.col("metric").isin(*FAN_OUT), F.col("entity")).otherwise(short_label(F.col("metric")))
+    name = F.when(F.col("metric").isin(*stored(FAN_OUT)), F.col("entity")).otherwise(short_label(F.col("metric")))
     return cut.select(*SERIES, name.alias("target"), "ts", "value")
 
 

@@ -100,14 +100,20 @@ def _redacted(value: Column, kind: T.DataType, key: str) -> Column:
         return F.when(value.isNotNull(), F.struct(*(_redacted(value.getField(f.name), f.dataType, f.name).alias(f.name) for f in kind.fields)))
     if isinstance(kind, T.ArrayType):
         return F.transform(value, lambda x: _redacted(x, kind.elementType, key))
-    if isinstance(kind, T.MapType) and isinstance(kind.valueType, T.StringType):
-        known = lambda k, v: _by_key(F.lower(k), v)
-        return F.transform_values(value, known)
     if isinstance(kind, T.MapType):
-        return F.transform_values(value, lambda k, v: _redacted(v, kind.valueType, key))
+        return F.transform_values(value, lambda k, v: _below_key(v, kind.valueType, F.lower(k.cast("string"))))
     return value
 
 
+def _below_key(value: Column, kind: T.DataType, key: Column) -> Column:
+    """A map's value: its strings, also those in arrays, by the map's key; fields and keys below it count themselves."""
+    if isinstance(kind, T.StringType):
+        return _by_key(key, value)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _below_key(x, kind.elementType, key))
+    return _redacted(value, kind, "")
+
+
 def _by_key(key: Column, value: Column) -> Column:
     out = redact_text(value, "")
     for keys in (HOST_KEYS, SET_KEYS, (NAME_KEY,), PATH_KEYS):

@@ -110,10 +110,14 @@ def score(stats: DataFrame, formulas: DataFrame, strict_parity: bool = False) ->
     need: mem_size_mb, cache_gb, tickets, mean_ratio (null if unknown). A
     metric without a formula, and one without points, scores 101; with
     ``strict_parity`` a metric without points counts as 0, and queued
-    operations find no formula. ``formulas`` is a small table, broadcast.
+    operations find no formula. ``formulas`` is a small table, broadcast, or
+    that of ``core_watermarks``, with a row a host and metric.
     """
-    low_high = formulas.select(F.col("metric").alias("__key"), "low", "high")
-    found = stats.withColumn("__key", formula_key(F.col("metric"), strict_parity)).join(F.broadcast(low_high), "__key", "left")
+    keyed = stats.withColumn("__key", formula_key(F.col("metric"), strict_parity))
+    if "host" in formulas.columns:
+        found = keyed.join(formulas.select("host", F.col("metric").alias("__key"), "low", "high"), ["host", "__key"], "left")
+    else:
+        found = keyed.join(F.broadcast(formulas.select(F.col("metric").alias("__key"), "low", "high")), "__key", "left")
     if strict_parity:
         found = found.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("p5", "median", "p95")})
     plain = F.when(F.col("low").isNull(), F.lit(UNKNOWN)).otherwise(score_by_range(scored_value(strict_parity), F.col("low"), F.col("high")))

@@ -184,7 +184,14 @@ def interval_mean(samples: DataFrame, span: float, columns: Sequence[str], keys:
     keys, order = list(keys), list(order)
     marks = thin(samples.select(*keys, *order), span, keys, order, keep_last=True).withColumn("__end", F.struct(*order))
     marked = samples.join(marks, [*keys, *order], "left")
-    ahead = Window.partitionBy(*keys).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    placed = marked.withColumn("__until", F.first("__end", ignorenulls=True).over(ahead)).where("__until is not null")
+    # The next mark: the same day's, or else the first of a later day.
+    dealt = marked.withColumn("__day", F.date_trunc("day", F.col(order[0])))
+    back = [F.col(c).desc() for c in order]
+    inside = Window.partitionBy(*keys, "__day").orderBy(*back).rowsBetween(Window.unboundedPreceding, 0)
+    days = dealt.groupBy(*keys, "__day").agg(F.min("__end").alias("__first"))
+    later = Window.partitionBy(*keys).orderBy(F.col("__day").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    after = days.select(*keys, "__day", F.last("__first", ignorenulls=True).over(later).alias("__after"))
+    near = dealt.withColumn("__near", F.last("__end", ignorenulls=True).over(inside)).join(after, [*keys, "__day"])
+    placed = near.withColumn("__until", F.coalesce("__near", "__after")).where("__until is not null")
     sums = placed.groupBy(*keys, F.col(f"__until.{order[0]}").alias("until")).agg(F.count("*").alias("rows"), *(F.expr(f"sum(`{c}`) div count(*)").alias(c) for c in columns))
     return sums

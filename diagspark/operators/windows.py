@@ -32,10 +32,13 @@ def previous(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("host
     return found.select(*df.columns, *(F.col(f"__found.{c}").alias(f"prev_{c}") for c in columns))
 
 
-def running(df: DataFrame, value: Column, name: str, keys: Sequence[str], order: Sequence[str] = ORDER, total: str | None = None) -> DataFrame:
-    """``df`` with the running sum of ``value`` up to and with each row, and maybe the key's total."""
+def running(df: DataFrame, value: Column, name: str, keys: Sequence[str], order: Sequence[str] = ORDER, total: str | None = None, stretch: Column | None = None) -> DataFrame:
+    """``df`` with the running sum of ``value`` up to and with each row, and maybe the key's total.
+
+    Rows are dealt by day, or by ``stretch``, which must not fall along the order.
+    """
     keys, order = list(keys), list(order)
-    dealt = df.withColumns({"__day": _day(order[0]), "__value": value})
+    dealt = df.withColumns({"__day": _day(order[0]) if stretch is None else stretch, "__value": value})
     inside = Window.partitionBy(*keys, "__day").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     days = dealt.groupBy(*keys, "__day").agg(F.sum("__value").alias("__sum"))
     earlier = Window.partitionBy(*keys).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)

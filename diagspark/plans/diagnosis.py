@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.anomalies import anomalies, thresholds_table
+from ..operators.anomalies import anomalies, describe_intervals, intervals_above, thresholds_table
 from ..operators.rules import Rule, diagnose
-from ..operators.scoring import formula_table, score
+from ..operators.scoring import core_watermarks, formula_table, score
 from ..operators.series import SERIES, downsample, first_value, slice_range
 from ..operators.stats import PERCENTILES, aligned, fragmentation, index_percentiles, mean_ratio
 
@@ -36,15 +36,34 @@ def compute_stats(points: DataFrame, start: Column, end: Column, info: DataFrame
 
 
 def scored_stats(points: DataFrame, start: Column, end: Column, info: DataFrame, strict_parity: bool = False) -> DataFrame:
-    """Statistics with scores, the allocator's fragmentation among them."""
+    """Statistics with scores by each host's watermarks, the allocator's fragmentation over the same range among them."""
     stats = compute_stats(points, start, end, info)
-    scored = score(stats, formula_table(points.sparkSession), strict_parity).select("host", "metric", "label", "score", *(n for n, _ in PERCENTILES))
-    pairs = aligned(points, "tcmalloc_heap", "tcmalloc_in_use", ("heap", "in_use"))
+    scored = score(stats, core_watermarks(formula_table(points.sparkSession), stats.select("host").distinct().join(info, "host", "left")), strict_parity).select("host", "metric", "label", "score", *(n for n, _ in PERCENTILES))
+    held = points.where(F.col("metric").isin("tcmalloc_heap", "tcmalloc_in_use"))
+    pairs = aligned(downsample(slice_range(held, start, end)), "tcmalloc_heap", "tcmalloc_in_use", ("heap", "in_use"))
     frag = fragmentation(pairs).select("host", F.lit("tcmalloc_fragmentation").alias("metric"), F.lit("tcmalloc_frag %").alias("label"), F.col("score").cast("int").alias("score"), *(n for n, _ in PERCENTILES))
     return scored.unionByName(frag)
 
 
+def symptom_times(points: DataFrame, stats: DataFrame) -> DataFrame:
+    """host, times: when connections were above 1.5 times their median, and each member's lag above 5 s, as texts by symptom.
+
+    A host's lag is told member by member, in order.
+    """
+    medians = stats.where(F.col("metric") == "conns_current").select("host", (1.5 * F.col("median")).alias("bound"))
+    many = points.where(F.col("metric") == "conns_current").join(medians, "host")
+    late = points.where(F.col("metric") == "repl_lag")
+    keys = ("host", "metric", "entity")
+    texts = describe_intervals(intervals_above(many, F.col("bound")), keys).unionByName(describe_intervals(intervals_above(late, F.lit(5.0)), keys))
+    member = F.when(F.col("entity") == "", F.col("text")).otherwise(F.concat("entity", F.lit(": "), "text"))
+    one = texts.groupBy("host", "metric").agg(F.array_join(F.array_sort(F.collect_list(member)), "; ").alias("text"))
+    return one.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("metric", "text"))).alias("times"))
+
+
 def diagnosis(points: DataFrame, start: Column, end: Column, info: DataFrame, rules: Sequence[Rule] | None = None, thresholds: DataFrame | None = None) -> dict[str, DataFrame]:
-    """stats, anomalies and findings of all hosts."""
+    """stats, anomalies and findings of all hosts; the symptoms of connections and lag say when."""
     stats = scored_stats(points, start, end, info)
-    return {"stats": stats, "anomalies": anomalies(points, thresholds if thresholds is not None else thresholds_table(points.sparkSession)), "findings": diagnose(stats, rules)}
+    found = diagnose(stats, rules).join(symptom_times(points, stats), "host", "left")
+    timed = F.transform("symptoms", lambda s: s.withField("timing", F.col("times")[s["name"]]))
+    findings = found.withColumn("symptoms", timed).drop("times")
+    return {"stats": stats, "anomalies": anomalies(points, thresholds if thresholds is not None else thresholds_table(points.sparkSession)), "findings": findings}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -142,11 +144,14 @@ def lag_points(statuses: DataFrame) -> DataFrame:
     return replication_lag(statuses).select("host", F.lit("repl_lag").alias("metric"), "entity", "ts", F.lit(0).cast("bigint").alias("seq"), "value")
 
 
+def merged(first: DataFrame, later: DataFrame) -> DataFrame:
+    """Series of both tables; where both have a host's metric, those of ``later``."""
+    named = later.select("host", "metric").distinct()
+    return first.join(named, ["host", "metric"], "left_anti").unionByName(later)
+
+
 def all_points(status: DataFrame, cpu: DataFrame | None = None, disks: DataFrame | None = None, replicas: DataFrame | None = None) -> DataFrame:
-    """All series of all tables."""
+    """All series of all tables; of one name the last table's."""
     parts = [status_points(status)]
     parts += [make(t) for make, t in ((cpu_points, cpu), (disk_points, disks), (lag_points, replicas)) if t is not None]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(merged, parts)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Columns of ``counters`` that stand for the source paths of status records, in turn, and what each is raised by.
+SOURCES = ("counter", "ops", "n_view", "n_click", "n_error", "n_purchase", "n_signup", "cents")
 TYPES = ("click", "error", "purchase", "signup", "view")
 
 
@@ -92,3 +94,30 @@ def reported(spark: SparkSession, sf_dir: str) -> DataFrame:
         c("ops").alias("modified_evicted"), c("n_view").alias("unmodified_evicted"), c("counter").alias("cache_read_in"), c("n_click").alias("cache_written_from"),
         *((c("cents") % n).alias(f"{a}_{b}") for n, (a, b) in enumerate(((a, b) for a in ("read", "write") for b in ("available", "out", "total")), 21)),
     )
+
+
+def source_of(path_number: int) -> tuple[str, int]:
+    """The column of ``counters`` and the factor that stand for a status path."""
+    return SOURCES[path_number % len(SOURCES)], 1 + path_number
+
+
+def status_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide status records: every source path of the catalogue, from the counters."""
+    from .metrics import STATUS_PATHS
+
+    made = [(F.col(source_of(i)[0]) * source_of(i)[1]).cast("bigint").alias(p) for i, p in enumerate(STATUS_PATHS)]
+    return counters(spark, sf_dir).select("host", "ts", "seq", "uptime", *made)
+
+
+def cpu_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Processor counters: seven of the counters."""
+    from .metrics import CPU_METRICS
+
+    return counters(spark, sf_dir).select("host", "ts", "seq", *(F.col(SOURCES[i]).alias(c) for i, c in enumerate(CPU_METRICS)))
+
+
+def disk_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Disk counters of the devices."""
+    io, reads = F.col("io_time_ms"), F.col("reads")
+    made = {"read_time_ms": 3 * reads, "write_time_ms": 5 * reads, "io_in_progress": reads % 7, "io_queued_ms": 2 * io, "io_time_ms": io, "reads": reads, "writes": 2 * reads}
+    return devices(spark, sf_dir).select("host", "disk", "ts", "seq", "sample", *(c.alias(n) for n, c in made.items()))

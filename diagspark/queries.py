@@ -17,6 +17,8 @@ from .operators import rules as R
 from .operators import scoring as C
 from .operators import series as T
 from .operators import stats as A
+from .plans import diagnosis as DG
+from .plans import metrics as M
 from .plans import views as V
 from .streaming.append import append_new, left_out
 
@@ -405,11 +407,156 @@ def q2(spark, d):
     return Q.select_series(V.points(spark, d), ["click", "view", "unknown"], *when(), 50).select("target", us("ts").alias("ts"), r6("value").alias("value"))
 
 
-@query("q3_entity_fan_out", V4 + "SELECT disk AS target, epoch_us(ts) AS ts, CAST(greatest(0, reads - p_reads) AS DOUBLE) AS value FROM (SELECT *, max(ts) OVER (PARTITION BY disk) AS last FROM d4 WHERE sample > 0) WHERE ts < last")
+D4 = V4 + """, dk AS (
+  SELECT *, ts AS moment, reads % 7 AS busy, 3 * reads AS rt, 5 * reads AS wt, 2 * io AS qd, reads - p_reads AS dr, io - p_io AS di, greatest(1.0, (epoch_us(ts) - epoch_us(lag_ts)) / 1e6) AS secs
+  FROM d4 JOIN (SELECT sample, lag(ts) OVER (ORDER BY ts) AS lag_ts FROM (SELECT DISTINCT sample, ts FROM v4)) USING (sample) WHERE sample > 0
+), dp AS (
+  SELECT disk, moment, 'disk_util' AS metric, greatest(0.0, CAST(di AS DOUBLE)) / 10 AS value FROM dk UNION ALL SELECT disk, moment, 'disk_iops', greatest(0.0, CAST(3 * dr AS DOUBLE)) / secs FROM dk
+  UNION ALL SELECT disk, moment, 'disks_queue_length', CAST(busy AS DOUBLE) FROM dk UNION ALL SELECT disk, moment, 'read_time_ms', greatest(0.0, CAST(3 * dr AS DOUBLE)) FROM dk
+  UNION ALL SELECT disk, moment, 'write_time_ms', greatest(0.0, CAST(5 * dr AS DOUBLE)) FROM dk UNION ALL SELECT disk, moment, 'io_queued_ms', greatest(0.0, CAST(2 * di AS DOUBLE)) FROM dk
+)
+"""
+_PANEL = """SELECT disk AS target, epoch_us(moment) AS ts, round(value, 6) AS value FROM (SELECT *, max(moment) OVER (PARTITION BY disk, metric) AS last FROM dp WHERE metric IN ({0})) WHERE moment < last"""
+
+
+def _ever() -> tuple[Column, Column]:
+    return F.lit("2020-01-01").cast("timestamp"), F.lit("2030-01-01").cast("timestamp")
+
+
+@query("y_disk_points", D4 + "SELECT disk, metric, epoch_us(moment) AS ts, round(value, 6) AS value FROM dp")
+def y_disk(spark, d):
+    return M.disk_points(V.disk_samples(spark, d)).select(F.col("entity").alias("disk"), "metric", us("ts").alias("ts"), r6("value").alias("value"))
+
+
+@query("q3_entity_fan_out", D4 + _PANEL.format("'disk_iops', 'disk_util'"))
 def q3(spark, d):
-    delta = T.entity_delta(V.devices(spark, d), "reads", "disk")
-    points = delta.select("host", F.lit("disks_iops").alias("metric"), F.col("disk").alias("entity"), "ts", "seq", "value")
-    return Q.select_series(points, Q.DISK_PANELS, F.lit("2020-01-01").cast("timestamp"), F.lit("2030-01-01").cast("timestamp")).select("target", us("ts").alias("ts"), "value")
+    found = Q.select_series(M.disk_points(V.disk_samples(spark, d)), ["disks_iops", "disks_utils"], *_ever(), max_points=1 << 30)
+    return found.select("target", us("ts").alias("ts"), r6("value").alias("value"))
+
+
+@query("q6_panel_disks", D4 + _PANEL.format("'disk_iops', 'disk_util', 'disks_queue_length', 'read_time_ms', 'write_time_ms', 'io_queued_ms'"))
+def q6(spark, d):
+    return Q.panel_disks(M.disk_points(V.disk_samples(spark, d)), *_ever()).select("target", us("ts").alias("ts"), r6("value").alias("value"))
+
+
+@query("y_lag_points", V5 + "SELECT 'repl_lag' AS metric, epoch_us(ts) AS ts, entity, value FROM lags WHERE m <> 3")
+def y_lag(spark, d):
+    return M.lag_points(V.statuses(spark, d)).select("metric", us("ts").alias("ts"), "entity", "value")
+
+
+G8 = V2 + ", g8 AS (SELECT *, " + ", ".join(f"lag({c}) OVER o AS q_{c}" for c in V.SOURCES) + " FROM g WINDOW o AS (PARTITION BY host ORDER BY ts, seq)), k8 AS (SELECT * FROM g8 WHERE uptime > coalesce(p_uptime, 0))\n"
+
+
+def _metric_sql(metric: str, kind: str, paths: tuple[str, ...], unit: str) -> str:
+    of = [V.source_of(M.STATUS_PATHS.index(p)) for p in paths]
+    now, grown, scale = [f"{n} * {c}" for c, n in of], [f"({n} * {c} - {n} * q_{c})" for c, n in of], f"CAST({P.UNITS[unit]} AS DOUBLE)"
+    value = {
+        "gauge": f"CAST({now[0]} AS DOUBLE) / {scale}", "rate": f"CAST(greatest(0, {grown[0]}) AS DOUBLE) / {scale} / seconds",
+        "cum-ratio": f"CASE WHEN {now[-1]} > 0 THEN CAST({now[0]} AS DOUBLE) / CAST({now[-1]} AS DOUBLE) / {scale} ELSE 0 END",
+        "delta-ratio": f"CASE WHEN {grown[-1]} > 0 THEN greatest(0.0, CAST({grown[0]} AS DOUBLE) / CAST({grown[-1]} AS DOUBLE)) ELSE 0 END",
+    }[kind]
+    first = "" if kind in ("gauge", "cum-ratio") else " WHERE p_ts IS NOT NULL"
+    return f"SELECT host, '{metric}' AS metric, ts, seq, {value} AS value FROM k8{first}"
+
+
+POINTS = G8 + ", pt AS (" + " UNION ALL ".join(_metric_sql(*m) for m in M.STATUS_METRICS) + ")\n"
+
+
+@query("m_status_points", POINTS + "SELECT host, metric, epoch_us(ts) AS ts, seq, round(value, 6) AS value FROM pt")
+def m_status(spark, d):
+    return M.status_points(V.status_samples(spark, d)).select("host", "metric", us("ts").alias("ts"), "seq", r6("value").alias("value"))
+
+
+_CPU = list(zip(M.CPU_METRICS.values(), V.SOURCES, strict=False))
+
+
+@query("y_cpu_points", V2 + ", c8 AS (SELECT host, ts, seq, " + ", ".join(f"CAST({c} - lag({c}) OVER o AS DOUBLE) AS d_{i}" for i, (_, c) in enumerate(_CPU)) + ", lag(ts) OVER o AS b_ts FROM v2 WINDOW o AS (PARTITION BY host ORDER BY ts, seq)), t8 AS (SELECT *, " + " + ".join(f"d_{i}" for i in range(len(_CPU))) + " AS total FROM c8 WHERE b_ts IS NOT NULL)\n" + " UNION ALL ".join(f"SELECT host, '{m}' AS metric, epoch_us(ts) AS ts, seq, round(greatest(0.0, 100 * d_{i} / CASE WHEN total = 0 THEN 1 ELSE total END), 6) AS value FROM t8" for i, (m, _) in enumerate(_CPU)))
+def y_cpu(spark, d):
+    return M.cpu_points(V.cpu_samples(spark, d)).select("host", "metric", us("ts").alias("ts"), "seq", r6("value").alias("value"))
+
+
+_FROM, _TO = "2024-01-05 00:00:00", "2024-01-20 12:00:00"
+STATS = POINTS + f""", p AS (SELECT *, row_number() OVER (PARTITION BY host, metric ORDER BY ts, seq) - 1 AS i FROM pt),
+e AS (SELECT host, metric, coalesce(max(CASE WHEN ts <= TIMESTAMP '{_FROM}' THEN i END), 0) AS a, coalesce(max(CASE WHEN ts <= TIMESTAMP '{_TO}' THEN i END), 0) AS b FROM p GROUP BY 1, 2),
+sl AS (SELECT host, metric, ts, value, i - a AS n, b - a AS total FROM p JOIN e USING (host, metric) WHERE i >= a AND i < b),
+ds AS (SELECT host, metric, n // (CASE WHEN total > 1800 THEN total // 1800 ELSE 1 END) AS bucket, avg(value) AS value, max(ts) AS ts FROM sl GROUP BY 1, 2, 3),
+q AS (SELECT *, row_number() OVER (PARTITION BY host, metric ORDER BY value) - 1 AS pos, count(*) OVER (PARTITION BY host, metric) AS n FROM ds),
+st AS (SELECT host, metric, max(n) AS n, max(CASE WHEN pos = least(CAST(floor((n + 1) * CAST(0.05 AS DOUBLE)) AS BIGINT), n - 1) THEN value END) AS p5,
+  max(CASE WHEN pos = least(CAST(floor((n + 1) * CAST(0.5 AS DOUBLE)) AS BIGINT), n - 1) THEN value END) AS median,
+  max(CASE WHEN pos = least(CAST(floor((n + 1) * CAST(0.95 AS DOUBLE)) AS BIGINT), n - 1) THEN value END) AS p95 FROM q GROUP BY 1, 2),
+fv AS (SELECT host, arg_min(value, (ts, seq)) FILTER (metric = 'wt_cache_max') AS cache_gb, arg_min(value, (ts, seq)) FILTER (metric = 'queues_read_total') AS rt, arg_min(value, (ts, seq)) FILTER (metric = 'queues_write_total') AS wt FROM pt GROUP BY 1)
+"""
+
+
+def _info(spark: SparkSession, d: str) -> DataFrame:
+    return V.events(spark, d).select(F.col("user_id").alias("host")).distinct().select("host", (F.col("host") * 64 + 1024).alias("mem_size_mb"), (F.col("host") % 8 + 1).alias("num_cores"))
+
+
+@query("a9_compute_stats", STATS + """SELECT st.host, metric, n, round(p5, 6) AS p5, round(median, 6) AS median, round(p95, 6) AS p95, st.host * 64 + 1024 AS mem_size_mb, round(cache_gb, 9) AS cache_gb,
+  CASE WHEN metric = 'queues_read_out' THEN rt WHEN metric = 'queues_write_out' THEN wt END AS tickets FROM st LEFT JOIN fv ON fv.host = st.host""")
+def a9(spark, d):
+    found = DG.compute_stats(M.status_points(V.status_samples(spark, d)), *when(), _info(spark, d))
+    return found.select("host", "metric", "n", *(r6(c).alias(c) for c in ("p5", "median", "p95")), "mem_size_mb", F.round("cache_gb", 9).alias("cache_gb"), "tickets")
+
+
+@query("a9_fragmentation_in_range", STATS + """, fr AS (SELECT h.host, h.ts, 100 * (h.value - u.value) / h.value AS value FROM ds h JOIN ds u ON h.host = u.host AND h.ts = u.ts AND h.metric = 'tcmalloc_heap' AND u.metric = 'tcmalloc_in_use' WHERE h.value > 0),
+fq AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY value) - 1 AS pos, count(*) OVER (PARTITION BY host) AS n FROM fr),
+fs AS (SELECT host, max(CASE WHEN pos = least(CAST(floor((n + 1) * CAST(0.95 AS DOUBLE)) AS BIGINT), n - 1) THEN value END) AS p95 FROM fq GROUP BY 1)
+SELECT host, round(p95) AS p95, CASE WHEN p95 < 20 THEN 100 WHEN p95 > 50 THEN 0 ELSE CAST(floor(100 * (1 - (p95 - 20) / 30)) AS INTEGER) END AS score FROM fs""")
+def a9_fragmentation(spark, d):
+    found = DG.scored_stats(M.status_points(V.status_samples(spark, d)), *when(), _info(spark, d))
+    return found.where(F.col("metric") == "tcmalloc_fragmentation").select("host", "p95", "score")
+
+
+_SHIPPED = ", ".join(f"('{m}', {b}, {str(a).lower()}, '{s}', '{t}')" for m, b, a, s, t in I.THRESHOLDS)
+
+
+@query("i3_shipped_thresholds", POINTS + f""", sh(metric, bound, above, severity, label) AS (VALUES {_SHIPPED}),
+h AS (SELECT pt.*, above, severity, label, CASE WHEN above THEN value > bound ELSE value < bound END AS hit FROM pt JOIN sh USING (metric)),
+r AS (SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY host, metric ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM h)
+SELECT host, metric, severity, label, epoch_us(min(ts)) AS start, count(*) AS points, round(CASE WHEN first(above) THEN max(value) ELSE min(value) END, 6) AS peak FROM r WHERE hit GROUP BY host, metric, severity, label, run HAVING (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 >= 10""")
+def i3_shipped(spark, d):
+    found = I.anomalies(M.status_points(V.status_samples(spark, d)), I.thresholds_table(spark))
+    return found.select("host", "metric", "severity", "label", us("start").alias("start"), "points", r6("peak").alias("peak"))
+
+
+@query("i6_intervals_of_part", 'WITH p AS (SELECT event_type AS metric, ts, event_id AS seq, value FROM events WHERE value > 5), r AS (SELECT *, sum(CASE WHEN value > 100 THEN 0 ELSE 1 END) OVER (PARTITION BY metric ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM p) SELECT metric, epoch_us(min(ts)) AS start, max(value) AS peak, count(*) AS points FROM r WHERE value > 100 GROUP BY metric, run')
+def i6(spark, d):
+    return I.intervals_above(V.points(spark, d).where("value > 5"), F.lit(100.0)).select("metric", us("start").alias("start"), "peak", "points")
+
+
+_FORMULAS = ", ".join(f"('{m}', {lo}, {hi})" for m, lo, hi, _ in C.FORMULAS)
+
+
+@query("c3_core_watermarks", f"""WITH f(metric, low, high) AS (VALUES {_FORMULAS})
+SELECT s_suppkey AS host, metric, CASE WHEN metric LIKE 'queued%' THEN CAST(1 + s_suppkey % 8 AS DOUBLE) ELSE CAST(low AS DOUBLE) END AS low, CASE WHEN metric LIKE 'queued%' THEN CAST(5 * (1 + s_suppkey % 8) AS DOUBLE) ELSE CAST(high AS DOUBLE) END AS high FROM supplier CROSS JOIN f""")
+def c3(spark, d):
+    info = V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("host"), (F.col("s_suppkey") % 8 + 1).alias("num_cores"))
+    return C.core_watermarks(C.formula_table(spark), info).select("host", "metric", "low", "high")
+
+
+@query("c3_score_by_host", f"""WITH f(metric, low, high) AS (VALUES {_FORMULAS}),
+s AS (SELECT l_orderkey, l_linenumber, CAST(s_nationkey AS BIGINT) AS host, CASE WHEN l_linenumber % 2 = 0 THEN 'q_queued_read' ELSE 'q_queued_write' END AS metric, CAST(l_quantity AS DOUBLE) AS v, 1 + s_nationkey % 8 AS cores FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)
+SELECT l_orderkey, l_linenumber, host, metric, CASE WHEN v < cores THEN 100 WHEN v > 5 * cores THEN 0 ELSE CAST(floor(100 * (1 - (v - cores) / CAST(4 * cores AS DOUBLE))) AS INTEGER) END AS score FROM s""")
+def c3_by_host(spark, d):
+    lines = V.table(spark, d, "lineitem").join(V.table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    value = F.col("l_quantity").cast("double")
+    facts = {c: F.lit(None).cast("double") for c in ("mem_size_mb", "cache_gb", "tickets", "mean_ratio")}
+    stats = lines.select("l_orderkey", "l_linenumber", F.col("s_nationkey").cast("bigint").alias("host"), F.when(F.col("l_linenumber") % 2 == 0, "q_queued_read").otherwise("q_queued_write").alias("metric"), *(value.alias(c) for c in ("p5", "median", "p95"))).withColumns(facts)
+    info = V.table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("host"), (F.col("n_nationkey") % 8 + 1).alias("num_cores"))
+    return C.score(stats, C.core_watermarks(C.formula_table(spark), info)).select("l_orderkey", "l_linenumber", "host", "metric", "score")
+
+
+@query("c4_cache_pages", "SELECT l_orderkey, l_linenumber, CAST(floor(CAST(0.05 AS DOUBLE) * CAST(l_quantity AS DOUBLE) * 1024 * 1024 * 1024 / 4096) AS BIGINT) AS pages FROM lineitem")
+def c4(spark, d):
+    return V.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", C.cache_pages(F.col("l_quantity").cast("double")).cast("bigint").alias("pages"))
+
+
+@query("j9_merged_series", """WITH p AS (SELECT event_type AS metric, event_id AS seq, value FROM events WHERE event_type <> 'view'), l AS (SELECT event_type AS metric, event_id AS seq, value + 1 AS value FROM events WHERE event_type IN ('view', 'click'))
+SELECT * FROM p WHERE metric NOT IN (SELECT metric FROM l) UNION ALL SELECT * FROM l""")
+def j9(spark, d):
+    rows = V.points(spark, d)
+    return M.merged(rows.where("metric <> 'view'"), rows.where("metric in ('view', 'click')").withColumn("value", F.col("value") + 1)).select("metric", "seq", "value")
 
 
 @query("q4_host_info", """
@@ -530,11 +677,13 @@ def x7(spark, d):
     return V.table(spark, d, "documents").select("doc_id", F.coalesce(F.exists(words, X.looks_like_ip), F.lit(False)).alias("has_ip"))
 
 
-@query("x8_redact_nested", HOSTS + f"""SELECT page_id, 'host-' || {_H.format('host')} || '.local' AS h, {_ip_sql('ip')} AS note, 'host-' || {_H.format('host')} || '.local:1' AS member, 'rs-' || {_H.format("'rs'")} AS s, host AS plain FROM h""")
+@query("x8_redact_nested", HOSTS + f"""SELECT page_id, 'host-' || {_H.format('host')} || '.local' AS h, {_ip_sql('ip')} AS note, 'host-' || {_H.format('host')} || '.local:1' AS member, 'rs-' || {_H.format("'rs'")} AS s, host AS plain, 'host-' || {_H.format('host')} || '.local' AS listed, 'host-' || {_H.format("host || '.a'")} || '.local' AS deep, host AS other FROM h""")
 def x8(spark, d):
-    doc = F.struct(F.col("host").alias("hostname"), F.col("ip").alias("note"), F.array(F.struct(F.concat("host", F.lit(":1")).alias("name"))).alias("members"), F.struct(F.lit("rs").alias("setName")).alias("repl"), F.col("host").alias("comment"))
+    doc = F.struct(F.col("host").alias("hostname"), F.col("ip").alias("note"), F.array(F.struct(F.concat("host", F.lit(":1")).alias("name"))).alias("members"), F.struct(F.lit("rs").alias("setName")).alias("repl"), F.col("host").alias("comment"),
+                   F.create_map(F.lit("primary"), F.array("host"), F.lit("tags"), F.array("host")).alias("lists"), F.create_map(F.lit("any"), F.create_map(F.lit("Me"), F.array(F.concat("host", F.lit(".a"))))).alias("maps"))
     done = X.redact(_hosts(spark, d).select("page_id", doc.alias("doc")))
-    return done.select("page_id", F.col("doc.hostname").alias("h"), F.col("doc.note").alias("note"), F.col("doc.members")[0]["name"].alias("member"), F.col("doc.repl.setName").alias("s"), F.col("doc.comment").alias("plain"))
+    return done.select("page_id", F.col("doc.hostname").alias("h"), F.col("doc.note").alias("note"), F.col("doc.members")[0]["name"].alias("member"), F.col("doc.repl.setName").alias("s"), F.col("doc.comment").alias("plain"),
+                       F.col("doc.lists")["primary"][0].alias("listed"), F.col("doc.maps")["any"]["Me"][0].alias("deep"), F.col("doc.lists")["tags"][0].alias("other"))
 
 
 @query("x9_redaction_map", HOSTS + f"SELECT DISTINCT host AS original, 'host-' || {_H.format('host')} || '.local' AS replacement FROM h")
@@ -588,6 +737,14 @@ def n5(spark, d):
     return N.project_paths(long, ["i"], {"uptime": "serverStatus/uptime", "resident": "serverStatus/mem/resident"})
 
 
+@query("n6_project_cpu", "SELECT event_id AS i, CAST(event_id AS BIGINT) AS ts_ms, CAST(round(value * 100) AS BIGINT) AS user_ms, CASE WHEN event_id % 3 = 0 THEN 0 ELSE CAST(user_id AS BIGINT) END AS idle_ms, CAST(0 AS BIGINT) AS steal_ms FROM events")
+def n6(spark, d):
+    path = lambda p, v, keep: F.when(keep, F.struct(F.lit(p).alias("path"), v.cast("bigint").alias("value")))
+    each = F.array(path("serverStatus/localTime", F.col("event_id"), F.lit(True)), path("systemMetrics/cpu/user_ms", F.col("cents"), F.lit(True)), path("systemMetrics/cpu/idle_ms", F.col("user_id"), F.col("event_id") % 3 != 0), path("other", F.lit(1), F.lit(True)))
+    long = V.events(spark, d).select(F.col("event_id").alias("i"), F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x")).select("i", "x.path", "x.value")
+    return N.project_cpu(long, ["i"]).select("i", "ts_ms", "user_ms", "idle_ms", "steal_ms")
+
+
 @query("n7_project_disks", """SELECT event_id AS i, 'd' || (user_id % 3) AS disk, CAST(round(value * 100) AS BIGINT) AS reads, CAST(0 AS BIGINT) AS writes, CAST(event_id AS BIGINT) AS io_time_ms FROM events""")
 def n7(spark, d):
     disk = F.concat(F.lit(N.DISK_PREFIX + "d"), (F.col("user_id") % 3).cast("string"))
@@ -597,7 +754,7 @@ def n7(spark, d):
 
 
 # Incremental
-_W = "WITH old AS (SELECT user_id AS host, max(ts) AS last FROM events WHERE ts < TIMESTAMP '2024-01-15' AND event_id % 3 <> 0 AND user_id % 10 <> 0 GROUP BY 1), new AS (SELECT user_id AS host, ts, event_id FROM events WHERE event_id % 3 = 0)\n"
+_W = "WITH old AS (SELECT user_id AS host, max(ts) AS last FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1), new AS (SELECT user_id AS host, ts, event_id FROM events WHERE ts >= TIMESTAMP '2024-01-12')\n"
 
 
 @query("w1_append_new", _W + "SELECT host, event_id FROM new LEFT JOIN old USING (host) WHERE last IS NULL OR ts > last")
@@ -612,8 +769,8 @@ def w1_left(spark, d):
 
 def _old_new(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = V.events(spark, d).select(F.col("user_id").alias("host"), "ts", "event_id")
-    old = rows.where((F.col("ts") < F.lit("2024-01-15").cast("timestamp")) & (F.col("event_id") % 3 != 0) & (F.col("host") % 10 != 0))
-    return old, rows.where(F.col("event_id") % 3 == 0)
+    at = lambda day: F.lit(day).cast("timestamp")
+    return rows.where(F.col("ts") < at("2024-01-15")), rows.where(F.col("ts") >= at("2024-01-12"))
 
 
 @query("entry_rate_scores", V2 + """, b AS (SELECT CAST(host AS VARCHAR) AS metric, greatest(0, counter - p_counter) / seconds AS value FROM ok WHERE p_ts IS NOT NULL)""" + PCT + """

@@ -12,15 +12,18 @@ def read_json_samples(spark: SparkSession, path: str, status: T.DataType | str,
 
     The first line of a cycle is an array of statuses, the second of replica
     statuses; the third line of a file is its server information. A last line
-    without a line end is dropped; rows carry file and line.
+    without a line end is dropped; rows carry file and line. A file of fewer
+    than three lines has its first status' version as information.
     """
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", "\n").alias("lines"))
     complete = F.slice("lines", F.lit(1), F.greatest(F.size("lines") - 1, F.lit(0)))
     lines = whole.select("file", F.posexplode(complete).alias("line", "text"))
+    version = F.to_json(F.struct(F.struct(F.get_json_object(F.get(complete, F.lit(0)), "$[0].version").alias("Version")).alias("BuildInfo")))
+    short = whole.select("file", F.when(F.size(complete) < 3, version).alias("text"), F.size(complete).alias("n")).where("n between 1 and 2").drop("n")
     kind = F.pmod("line", F.lit(3))
     array_of = lambda t: T.ArrayType(t) if isinstance(t, T.DataType) else f"array<{t}>"
     each = lambda rows, t: rows.select("file", "line", F.posexplode(F.from_json("text", array_of(t))).alias("position", "doc")).select("file", "line", "position", "doc.*")
-    return {"status": each(lines.where(kind == 0), status), "replica": each(lines.where(kind == 1), members), "info": lines.where("line = 2").select("file", "text")}
+    return {"status": each(lines.where(kind == 0), status), "replica": each(lines.where(kind == 1), members), "info": lines.where("line = 2").select("file", "text").union(short)}
 
 
 def server_info(info: DataFrame, schema: T.DataType | str) -> DataFrame:

@@ -29,14 +29,11 @@ def left_out(store: DataFrame, new: DataFrame, keys: Sequence[str] = ("host",),
 def reload(spark: SparkSession, source: str, store: str, checkpoint: str, schema, keys: Sequence[str] = ("host",), ts: str = "ts") -> None:
     """Take all new Parquet files of a folder into the store, once; files taken before are not read again."""
 
+    path = spark._jvm.org.apache.hadoop.fs.Path(store)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+
     def take(batch: DataFrame, _: int) -> None:
-        try:
-            held = spark.read.schema(schema).parquet(store)
-            fresh = append_new(held, batch, keys, ts)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            fresh = batch
+        fresh = append_new(spark.read.schema(schema).parquet(store), batch, keys, ts) if files.exists(path) else batch
         fresh.write.mode("append").parquet(store)
 
     stream = spark.readStream.schema(schema).parquet(source)

@@ -234,3 +234,32 @@ def test_disk_and_cpu_points(spark):
     frame = spark.createDataFrame(disks, "host string, ts timestamp, seq long, sample long, disk string, read_time_ms long, write_time_ms long, io_in_progress long, io_queued_ms long, io_time_ms long, reads long, writes long")
     found = {(r["metric"], r["ts"]): r["value"] for r in M.disk_points(frame).collect()}
     assert found["disk_util", at(2)] == 40 and found["disk_iops", at(4)] == 5 and found["disks_queue_length", at(4)] == 2 and ("disk_util", at(0)) not in found
+
+
+def test_diagnosis_says_when(spark):
+    """Connections over 1.5 times their median and lag over 5 s are told with their times."""
+    from diagspark.plans.diagnosis import diagnosis
+
+    begin = dt.datetime(2024, 1, 1)
+    rows = [("h", "conns_current", "", begin + dt.timedelta(seconds=i), i, 900.0 if 100 <= i < 160 else 500.0) for i in range(300)]
+    rows += [("h", "repl_lag", "host-1", begin + dt.timedelta(seconds=i), i, 60.0 if i >= 200 else 1.0) for i in range(300)]
+    points = spark.createDataFrame(rows, "host string, metric string, entity string, ts timestamp, seq long, value double")
+    info = spark.createDataFrame([("h", 1024, 4)], "host string, mem_size_mb int, num_cores int")
+    found = diagnosis(points, F.lit(begin), F.lit(begin + dt.timedelta(hours=1)), info)
+    texts = {s["name"]: s["timing"] for r in found["findings"].collect() for s in r["symptoms"]}
+    assert texts["conns_current"] == "00:01:40 to 00:02:39 (1m, peak: 900)" or texts["conns_current"].startswith("at 00:01:40")
+    assert "host-1" in texts["repl_lag"]
+    assert {r["label"] for r in found["anomalies"].collect()} == {"> 5s"}
+
+
+def test_map_keys_reach_lists_and_maps(spark):
+    from diagspark.operators.redact import redact
+
+    row = spark.range(1).select(
+        F.create_map(F.lit("primary"), F.array(F.lit("db1.example.com"))).alias("lists"),
+        F.create_map(F.lit("x"), F.create_map(F.lit("Host"), F.array(F.array(F.lit("db2.example.com"))))).alias("maps"),
+        F.create_map(F.lit("me"), F.array(F.struct(F.lit("db3.example.com").alias("note"), F.lit("rs").alias("setName")))).alias("structs"),
+    )
+    r = redact(row).first()
+    assert r["lists"]["primary"][0].startswith("host-") and r["maps"]["x"]["Host"][0][0].startswith("host-")
+    assert r["structs"]["me"][0]["note"] == "db3.example.com" and r["structs"]["me"][0]["setName"].startswith("rs-")

@@ -115,3 +115,10 @@ def test_points_are_stored_by_host_and_metric(spark, tmp_path):
     points = spark.range(6).select((F.col("id") % 2).cast("string").alias("host"), F.concat(F.lit("m"), F.col("id") % 3).alias("metric"), F.col("id").alias("value"))
     J.save_points(points, f"{tmp_path}/p")
     assert J.load_points(spark, f"{tmp_path}/p").where("metric = 'm1'").count() == 2
+
+
+def test_short_file_tells_its_version(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"version": "7.0.1", "uptime": 5}]\n')
+    found = J.read_json_samples(spark, str(tmp_path), "struct<version: string, uptime: bigint>", "struct<name: string>")
+    assert [r["version"] for r in found["status"].collect()] == ["7.0.1"]
+    assert J.server_info(found["info"], "BuildInfo struct<Version string>").first()["BuildInfo"]["Version"] == "7.0.1"
