@@ -37,8 +37,10 @@ def compute_stats(points: DataFrame, start: Column, end: Column, info: DataFrame
 
 def scored_stats(points: DataFrame, start: Column, end: Column, info: DataFrame, strict_parity: bool = False) -> DataFrame:
     """Statistics with scores by each host's watermarks, the allocator's fragmentation over the same range among them."""
-    stats = compute_stats(points, start, end, info)
-    scored = score(stats, core_watermarks(formula_table(points.sparkSession), stats.select("host").distinct().join(info, "host", "left")), strict_parity).select("host", "metric", "label", "score", *(n for n, _ in PERCENTILES))
+    stats, formulas = compute_stats(points, start, end, info), formula_table(points.sparkSession)
+    if "num_cores" in info.columns:
+        formulas = core_watermarks(formulas, stats.select("host").distinct().join(info, "host", "left"))
+    scored = score(stats, formulas, strict_parity).select("host", "metric", "label", "score", *(n for n, _ in PERCENTILES))
     held = points.where(F.col("metric").isin("tcmalloc_heap", "tcmalloc_in_use"))
     pairs = aligned(downsample(slice_range(held, start, end)), "tcmalloc_heap", "tcmalloc_in_use", ("heap", "in_use"))
     frag = fragmentation(pairs).select("host", F.lit("tcmalloc_fragmentation").alias("metric"), F.lit("tcmalloc_frag %").alias("label"), F.col("score").cast("int").alias("score"), *(n for n, _ in PERCENTILES))
