@@ -30,7 +30,7 @@ from ._common import stored
 SEQUENCE = 2048
 END_ID = 1
 #: Words that a generation of a worker's cache may hold.
-_GENERATION = 250_000
+_GENERATION = 100_000
 _PIECE_BYTES = 1 << 20
 #: Lower-case letters that are one character in normal form C; a word of them is one pre-token.
 _PLAIN = re.compile("[a-zà-öø-ÿ]+")

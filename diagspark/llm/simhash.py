@@ -31,13 +31,14 @@ from .graph import components
 BYTES = 8
 #: Rows of one posting list that are compared in one place; larger lists are split in blocks.
 BLOCK_ROWS = 4096
-_WIDE_GROUP = 64
+#: Rows of a posting list that are all paired, of fingerprints and of similar texts.
+_WIDE_GROUP, _FEW = 64, 4
 _BITS_AT_ONCE = 1 << 15
 
 #: The rule for similar texts: words of a shingle and the least Jaccard similarity of two texts' sets, in fifths.
 SIMILAR_SHINGLE, SIMILAR_FIFTHS = 5, 4
-#: Fingerprints of a text in that index, the radius in two and in all of them, and how many candidates of a text a long list gives in a first round, nearest first.
-PRINTS, RADIUS_TWO, RADIUS_ALL, NEAREST = 4, 36, 68, 4
+#: Fingerprints of a text in that index, the radius in two and in all of them, and how many candidates of a text a long list gives at first, nearest first, and how many of a text are checked at first.
+PRINTS, RADIUS_TWO, RADIUS_ALL, NEAREST, CHECKED = 4, 30, 68, 1, 8
 _PAIRS = list(combinations(range(BYTES), 2))
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -289,7 +290,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 def _similar_of(rows: dict[str, np.ndarray], nearest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Candidates inside whole posting lists: pairs within RADIUS_TWO that have no earlier list of the same fingerprint in common.
 
-    In lists of over _WIDE_GROUP rows these are the ``nearest`` ones of each
+    In lists of over _FEW rows these are the ``nearest`` ones of each
     row, with whether it had more.
     """
     node, side, starts = rows["node"], rows["side"], np.flatnonzero(rows["new"])
@@ -304,8 +305,8 @@ def _similar_of(rows: dict[str, np.ndarray], nearest: int) -> tuple[np.ndarray,
         same = (own[i] ^ own[j]).view(np.uint8).reshape(-1, BYTES) == 0
         return (same & below[i]).sum(axis=1) == 1
 
-    small = np.repeat(sizes <= _WIDE_GROUP, sizes)
-    for shift in range(1, min(int(sizes.max(initial=0)), _WIDE_GROUP + 1)):
+    small = np.repeat(sizes <= _FEW, sizes)
+    for shift in range(1, min(int(sizes.max(initial=0)), _FEW + 1)):
         i = np.flatnonzero(small[: len(node) - shift] & (np.arange(len(node) - shift) + shift < last[: len(node) - shift]))
         i = i[~crossed[i] | (side[i] != side[i + shift])]
         i = i[np.bitwise_count(own[i] ^ own[i + shift]) + np.bitwise_count(more[i] ^ more[i + shift]) <= RADIUS_TWO]
@@ -314,11 +315,11 @@ def _similar_of(rows: dict[str, np.ndarray], nearest: int) -> tuple[np.ndarray,
             left.append(node[x])
             right.append(node[y])
             cut.append(np.zeros(len(i), bool))
-    for at, size in zip(starts[sizes > _WIDE_GROUP], sizes[sizes > _WIDE_GROUP], strict=True):
+    for at, size in zip(starts[sizes > _FEW], sizes[sizes > _FEW], strict=True):
         here = slice(at, at + size)
         n, o, m, s = node[here], own[here], more[here], side[here]
-        for low in range(0, size, 256):
-            part = slice(low, low + 256)
+        for low in range(0, size, 64):
+            part = slice(low, low + 64)
             apart = np.bitwise_count(o[part, None] ^ o) + np.bitwise_count(m[part, None] ^ m)
             apart[(n[part, None] == n) | (crossed[at] & (s[part, None] == s))] = 255
             i, j = np.nonzero(apart <= RADIUS_TWO)
@@ -366,8 +367,8 @@ def similar_candidates(nodes: DataFrame, nearest: int = NEAREST) -> DataFrame:
     apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(PRINTS)), F.lit(0))
     near = pairs.join(other["a"], "a").join(other["b"], "b").withColumn("apart", apart).where(F.col("apart") <= RADIUS_ALL)
     rank = F.row_number().over(Window.partitionBy("a").orderBy("apart", "b"))
-    ranked = near.withColumn("rank", rank).where(F.col("rank") <= 2 * nearest + 1)
-    return ranked.select("a", F.when(F.col("rank") <= 2 * nearest, F.col("b")).alias("b"), (F.col("more") | (F.col("rank") > 2 * nearest)).alias("more"))
+    ranked = near.withColumn("rank", rank).where(F.col("rank") <= CHECKED + 1)
+    return ranked.select("a", F.when(F.col("rank") <= CHECKED, F.col("b")).alias("b"), (F.col("more") | (F.col("rank") > CHECKED)).alias("more"))
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:

@@ -99,7 +99,7 @@ def test_one_of_each_group_stays(spark):
 def test_crowds_of_similar_texts_are_one(spark, monkeypatch):
     """Large posting lists: a few nearest candidates first, then rounds for what they left out."""
     monkeypatch.setattr(S, "NEAREST", 1)
-    monkeypatch.setattr(S, "_WIDE_GROUP", 4)
+    monkeypatch.setattr(S, "_FEW", 2)
     rng = random.Random(11)
     word = lambda: "".join(rng.choices("abcdefghij", k=6))
     rows = []
