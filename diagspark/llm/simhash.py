@@ -38,7 +38,7 @@ _BITS_AT_ONCE = 1 << 15
 #: The rule for similar texts: words of a shingle and the least Jaccard similarity of two texts' sets, in fifths.
 SIMILAR_SHINGLE, SIMILAR_FIFTHS = 5, 4
 #: Fingerprints of a text in that index, the radius in two and in all of them, and how many candidates of a text a long list gives at first, nearest first, and how many of a text are checked at first.
-PRINTS, RADIUS_TWO, RADIUS_ALL, NEAREST, CHECKED = 4, 30, 68, 1, 8
+PRINTS, RADIUS_TWO, RADIUS_ALL, NEAREST, CHECKED = 4, 28, 68, 1, 8
 _PAIRS = list(combinations(range(BYTES), 2))
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
