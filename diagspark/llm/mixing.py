@@ -16,7 +16,7 @@ from __future__ import annotations
 import heapq
 import math
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -158,8 +158,8 @@ def source_weights(docs: DataFrame, block_docs: int = 8, temperature: float = 0.
     return dict(zip(blocks, target_weights(blocks, None, temperature), strict=True))
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = 8, temperature: float = 0.5, period: int = 1024) -> DataFrame:
-    """row (a struct of all columns of ``docs``), queue, block, slot, place; (slot, place) is the order of the mixture.
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = 8, temperature: float = 0.5, period: int = 1024, columns: Sequence[str] = ("*",)) -> DataFrame:
+    """row (a struct of the ``columns`` of ``docs``), queue, block, slot, place; (slot, place) is the order of the mixture.
 
     ``weights`` are the sources' target shares of blocks; without any a
     source's target is its number of blocks to the power ``temperature``.
@@ -172,7 +172,7 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_docs:
     """
     spread = F.xxhash64("doc_id", F.length("text"))
     dealt = docs.select(
-        F.struct("*").alias("row"), F.coalesce("source", F.lit("")).alias("queue"), F.pmod(spread, F.lit(BUCKETS)).cast("int").alias("bucket"),
+        F.struct(*columns).alias("row"), F.coalesce("source", F.lit("")).alias("queue"), F.pmod(spread, F.lit(BUCKETS)).cast("int").alias("bucket"),
         F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")).alias("order"),
     )
     # Several buckets a source, so a hot source is dealt to many tasks.
@@ -198,7 +198,7 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_docs:
 
 def mixture_plan(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = 8, temperature: float = 0.5) -> DataFrame:
     """doc_id, source, block, slot, place of every document (see ``mixed``)."""
-    placed = mixed(docs.select("doc_id", "source", "text"), weights, block_docs, temperature)
+    placed = mixed(docs, weights, block_docs, temperature, columns=("doc_id", "source"))
     return placed.select("row.doc_id", "row.source", "block", "slot", "place")
 
 
