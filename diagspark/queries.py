@@ -20,7 +20,9 @@ from .operators import stats as A
 from .plans import diagnosis as DG
 from .plans import metrics as M
 from .plans import views as V
-from .streaming.append import append_new, left_out
+from .plans.scratch import scratch
+from .sources import samples as J
+from .streaming.append import append_new, left_out, reload
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -773,6 +775,51 @@ def _old_new(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return rows.where(F.col("ts") < at("2024-01-15")), rows.where(F.col("ts") >= at("2024-01-12"))
 
 
+@query("w2_reload", _W + "SELECT user_id AS host, event_id FROM events WHERE ts < TIMESTAMP '2024-01-15' UNION ALL SELECT host, event_id FROM new LEFT JOIN old USING (host) WHERE last IS NULL OR ts > last")
+def w2(spark, d):
+    old, new = _old_new(spark, d)
+    base = scratch(spark, "reload")
+    old.write.parquet(f"{base}/store")
+    new.write.parquet(f"{base}/source")
+    for _ in range(2):  # files taken once are not taken again
+        reload(spark, f"{base}/source", f"{base}/store", f"{base}/progress", new.schema)
+    return spark.read.schema(old.schema).parquet(f"{base}/store").select("host", "event_id")
+
+
+# Stored samples
+def _json_samples(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The events as files of JSON samples, a cycle of three lines a user and day, read back."""
+    rows = V.events(spark, d).groupBy("user_id", F.to_date("ts").alias("day"))
+    status = F.to_json(F.collect_list(F.struct(F.col("user_id").alias("host"), F.col("event_id").alias("seq"), "cents")))
+    members = F.to_json(F.collect_list(F.struct(F.array(F.struct(F.col("event_type").alias("name"), F.col("event_id").alias("state"))).alias("members"))))
+    lines = rows.agg(F.concat_ws("\n", status, members, F.lit('{"version":"7"}')).alias("value")).select("value")
+    path = scratch(spark, "json-samples")
+    lines.write.text(path)
+    return J.read_json_samples(spark, path, "struct<host:long,seq:long,cents:long>", "struct<members:array<struct<name:string,state:long>>>")
+
+
+@query("s4_json_samples", "SELECT CAST(user_id AS BIGINT) AS host, CAST(event_id AS BIGINT) AS seq, CAST(round(value * 100) AS BIGINT) AS cents FROM events")
+def s4(spark, d):
+    return _json_samples(spark, d)["status"].select("host", "seq", "cents")
+
+
+@query("s5_server_info", "SELECT '7' AS version FROM (SELECT count(*) AS n FROM events) WHERE n > 0")
+def s5(spark, d):
+    return J.server_info(_json_samples(spark, d)["info"], "struct<version:string>")
+
+
+@query("s6_member_samples", "SELECT event_type AS name, CAST(event_id AS BIGINT) AS state FROM events")
+def s6(spark, d):
+    return J.member_samples(_json_samples(spark, d)["replica"]).select("member.name", "member.state")
+
+
+@query("s8_stored_points", "SELECT CAST(user_id AS BIGINT) AS host, event_type AS metric, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY 1, 2")
+def s8(spark, d):
+    path = scratch(spark, "points")
+    J.save_points(V.events(spark, d).select(F.col("user_id").alias("host"), F.col("event_type").alias("metric"), "ts", F.col("cents").alias("value")), path)
+    return J.load_points(spark, path).groupBy(F.col("host").cast("long").alias("host"), "metric").agg(F.count("*").alias("n"), F.sum("value").alias("cents"))
+
+
 @query("entry_rate_scores", V2 + """, b AS (SELECT CAST(host AS VARCHAR) AS metric, greatest(0, counter - p_counter) / seconds AS value FROM ok WHERE p_ts IS NOT NULL)""" + PCT + """
 SELECT CAST(metric AS BIGINT) AS host, n, round(p5, 6) AS p5, round(median, 6) AS median, round(p95, 6) AS p95, CASE WHEN p95 < 1 THEN 100 WHEN p95 > 20 THEN 0 ELSE CAST(floor(100 * (1 - (p95 - 1) / 19)) AS INTEGER) END AS score FROM st""")
 def rate_scores(spark: SparkSession, d: str) -> DataFrame:
