@@ -35,6 +35,8 @@ END = b"\n"
 CHUNK_BYTES = 6 << 20
 #: Hashes that one share of the count adds up, about.
 SHARE_KEYS = 1 << 21
+#: Messages of fewer keys go without a header.
+HEADED = 1024
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -161,20 +163,24 @@ def _encode(docs: DataFrame) -> DataFrame:
 
 
 def _dealt(keys: np.ndarray, shares: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order of the keys by share and, in a share, by key; and where each share begins."""
+    """An order of the keys by share and, in a share, by key; and the share of each in that order."""
     order = np.argsort(keys)
-    share = ((keys[order] >> np.uint64(20)) % np.uint64(shares)).astype(np.int64)
+    share = ((keys[order] >> np.uint64(20)) % np.uint64(shares)).astype(np.int32)
     by_share = np.argsort(share, kind="stable")
-    return order[by_share], np.searchsorted(share[by_share], np.arange(shares + 1))
+    return order[by_share], share[by_share]
 
 
 def _pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys: how many have each first byte, then the other seven bytes of each."""
+    """Sorted keys of eight bytes each; if many, how many have each first byte, then the other seven bytes of each."""
+    if len(keys) < HEADED:
+        return keys.astype("<u8").tobytes()
     heads = np.bincount((keys >> np.uint64(56)).astype(np.int64), minlength=256).astype("<u4").tobytes()
     return heads + keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
 
 
 def _unpack_keys(raw: bytes) -> np.ndarray:
+    if len(raw) < 8 * HEADED:
+        return np.frombuffer(raw, "<u8")
     heads = np.repeat(np.arange(256, dtype=np.uint8), np.frombuffer(raw, "<u4", 256))
     return np.concatenate([np.frombuffer(raw, np.uint8, offset=1024).reshape(-1, 7), heads[:, None]], axis=1).copy().view("<u8").ravel()
 
@@ -205,12 +211,12 @@ def _sent(chunks: DataFrame, shares: int) -> DataFrame:
                     (2, _pair_keys(chunk.hashes[pairs // words], chunk.hashes[pairs % words]), np.bincount(at[trained], minlength=len(pairs))),
                 )
                 for kind, keys, n in sets:
-                    order, cuts = _dealt(keys, shares)
-                    for s in range(shares):
-                        mine = order[cuts[s] : cuts[s + 1]]
-                        if len(mine):
-                            columns = {"share": s, "chunk": row["chunk"], "kind": kind, "size": len(mine), "keys": _pack_keys(keys[mine]), "n": _pack_counts(n[mine])}
-                            yield pa.RecordBatch.from_pydict({c: pa.array([v], pa.binary() if isinstance(v, bytes) else pa.int64()) for c, v in columns.items()})
+                    order, share = _dealt(keys, shares)
+                    begins = np.flatnonzero(np.diff(share, prepend=-1))
+                    for begin, end in zip(begins, np.append(begins[1:], len(share)), strict=True):
+                        mine = order[begin:end]
+                        columns = {"share": int(share[begin]), "chunk": row["chunk"], "kind": kind, "size": len(mine), "keys": _pack_keys(keys[mine]), "n": _pack_counts(n[mine])}
+                        yield pa.RecordBatch.from_pydict({c: pa.array([v], pa.binary() if isinstance(v, bytes) else pa.int64()) for c, v in columns.items()})
 
     return chunks.select("chunk", "train", "ends", "words", "hashes").mapInArrow(send, "share long, chunk long, kind long, size long, keys binary, n binary")
 
@@ -224,15 +230,15 @@ def _added(group: pd.DataFrame) -> pd.DataFrame:
         known, at = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(at, np.concatenate(n), minlength=len(known)).astype(np.int64)
         shared = np.bincount(at, minlength=len(known)) > 1
-        out.append((-1, share, kind, b"", np.array([total.sum(), (total > 0).sum()]).astype("<i8").tobytes()))
+        out.append((-1, share, kind, b"", b"", int(total.sum()), int((total > 0).sum())))
         end = 0
         for chunk, size in zip(rows["chunk"], rows["size"], strict=True):
             which = at[end : end + size]
             end += size
             also = shared[which]
             if also.any():
-                out.append((chunk, share, kind, np.packbits(also).tobytes(), _pack_counts(total[which[also]])))
-    return pd.DataFrame(out, columns=["chunk", "share", "kind", "also", "total"])
+                out.append((chunk, share, kind, np.packbits(also).tobytes(), _pack_counts(total[which[also]]), 0, 0))
+    return pd.DataFrame(out, columns=["chunk", "share", "kind", "also", "total", "seen", "different"])
 
 
 def _walk(row: dict, shares: int, seen_words: int, distinct: int, weight: float) -> dict[str, np.ndarray]:
@@ -244,10 +250,11 @@ def _walk(row: dict, shares: int, seen_words: int, distinct: int, weight: float)
     single = np.bincount(chunk.words[trained], minlength=words)
     double = np.bincount(at[trained], minlength=len(pairs))
     for kind, keys, counts in ((1, chunk.hashes, single), (2, _pair_keys(chunk.hashes[pairs // words], chunk.hashes[pairs % words]), double)):
-        order, cuts = _dealt(keys, shares)
+        order, share = _dealt(keys, shares)
         for a in row["answers"] or []:
             if a["kind"] == kind:
-                mine = order[cuts[a["share"]] : cuts[a["share"] + 1]]
+                begin, end = np.searchsorted(share, np.array([a["share"], a["share"] + 1], np.int32))
+                mine = order[begin:end]
                 also = mine[np.unpackbits(np.frombuffer(a["also"], np.uint8), count=len(mine)).astype(bool)]
                 counts[also] = _unpack_counts(a["total"], len(also))
     # A word is a context as often as it occurs: the end token stands before the first word of each text.
@@ -272,10 +279,10 @@ def lm_scores(docs: DataFrame, weight: float = 0.3) -> DataFrame:
     chunks = _encode(docs.select("doc_id", "text"))
     tokens = chunks.agg(F.sum(F.length("words") / 4)).first()[0] or 0
     shares = max(8, math.ceil(tokens / SHARE_KEYS))
-    totals = _sent(chunks, shares).groupBy("share").applyInPandas(_added, "chunk long, share long, kind long, also binary, total binary")
+    totals = _sent(chunks, shares).groupBy("share").applyInPandas(_added, "chunk long, share long, kind long, also binary, total binary, seen long, different long")
     answers = stored(totals, "answers")
-    sums = [np.frombuffer(r["total"], "<i8") for r in answers.where("chunk = -1 and kind = 1").select("total").collect()]
-    seen, distinct = (int(x) for x in np.sum(sums, axis=0)) if sums else (0, 0)
+    sums = answers.where("chunk = -1 and kind = 1").agg(F.sum("seen"), F.sum("different")).first()
+    seen, distinct = (int(x or 0) for x in sums)
     mine = answers.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("share", "kind", "also", "total")).alias("answers"))
 
     def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

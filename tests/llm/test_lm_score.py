@@ -69,3 +69,16 @@ def test_pair_hashes_differ():
     a, b = rng.integers(0, 1 << 63, (2, 10_000)).astype(np.uint64)
     keys = np.concatenate([M._pair_keys(a, b), M._pair_keys(b, a)])
     assert len(np.unique(keys)) == len(keys)
+
+
+def test_many_shares_give_the_same_scores(spark, monkeypatch):
+    monkeypatch.setattr(M, "CHUNK_BYTES", 50_000)
+    monkeypatch.setattr(M, "SHARE_KEYS", 500)
+    check(M.lm_scores(cases.documents(spark)).collect(), [(r[0], r[1]) for r in cases.rows()])
+
+
+@pytest.mark.parametrize("size", [0, 1, M.HEADED - 1, M.HEADED, 5000])
+def test_keys_come_back_from_messages(size):
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << 63, size).astype(np.uint64) * np.uint64(2))
+    raw = M._pack_keys(keys)
+    assert np.array_equal(M._unpack_keys(raw), keys) and len(raw) <= 8 * size
