@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -135,3 +135,19 @@ def redaction_map(df: DataFrame, column: str, key: str) -> DataFrame:
 def redact_dataset(df: DataFrame, path: str) -> None:
     """Write ``df`` redacted, as Parquet."""
     redact(df).write.mode("errorifexists").parquet(path)
+
+
+def redact_tree(spark: SparkSession, folder: str, schema: T.StructType, path: str) -> DataFrame:
+    """Write the JSON-lines files below ``folder`` redacted, as Parquet; returns the files that were skipped.
+
+    A file with a line that cannot be read is skipped whole, the others are
+    written; file, bad_lines of each skipped one are returned, for the log.
+    """
+    marked = T.StructType([*schema.fields, T.StructField("__corrupt", T.StringType())])
+    lines = spark.read.option("recursiveFileLookup", "true").text(folder).where("value <> ''")
+    read = F.from_json("value", marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__corrupt"})
+    rows = lines.select(F.col("_metadata.file_path").alias("__file"), read.alias("doc"))
+    skipped = rows.where("doc.__corrupt is not null").groupBy(F.col("__file").alias("file")).agg(F.count("*").alias("bad_lines"))
+    good = rows.join(skipped.select(F.col("file").alias("__file")), "__file", "left_anti")
+    redact_dataset(good.select(*(F.col(f"doc.`{f.name}`").alias(f.name) for f in schema.fields)), path)
+    return skipped

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .functions import scalars as P
 from .operators import anomalies as I
@@ -18,9 +19,11 @@ from .operators import scoring as C
 from .operators import series as T
 from .operators import stats as A
 from .plans import diagnosis as DG
+from .plans import fixtures as FX
 from .plans import metrics as M
 from .plans import views as V
 from .plans.scratch import scratch
+from .sources import captures as S
 from .sources import samples as J
 from .streaming.append import append_new, left_out, reload
 
@@ -716,9 +719,9 @@ def n3(spark, d):
     return N.expand_zero_runs(V.events(spark, d).select("event_id", (F.col("user_id") % 4).alias("zeros"))).select("event_id", "copy")
 
 
-@query("n4_explode_chunk", "SELECT host, CAST(n - 1 AS INTEGER) AS i, cents AS value FROM (SELECT user_id AS host, CAST(round(value * 100) AS BIGINT) AS cents, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, count(*) OVER (PARTITION BY user_id) AS c FROM events) WHERE n < c")
+@query("n4_explode_chunk", "SELECT host, CAST(n - 1 AS INTEGER) AS i, cents AS value FROM (SELECT user_id AS host, CAST(round(value * 100) AS BIGINT) AS cents, row_number() OVER w AS n, count(*) OVER (PARTITION BY user_id, CAST(ts AS DATE)) AS c FROM events WINDOW w AS (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id)) WHERE n < c")
 def n4(spark, d):
-    rows = V.events(spark, d).groupBy(F.col("user_id").alias("host")).agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "cents"))), lambda x: x["cents"]).alias("values"), F.lit("p").alias("path"))
+    rows = V.events(spark, d).groupBy(F.col("user_id").alias("host"), F.to_date("ts").alias("day")).agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "cents"))), lambda x: x["cents"]).alias("values"), F.lit("p").alias("path"))
     return N.explode_chunk(rows, ["host"]).select("host", "i", "value")
 
 
@@ -820,6 +823,75 @@ def s8(spark, d):
     return J.load_points(spark, path).groupBy(F.col("host").cast("long").alias("host"), "metric").agg(F.count("*").alias("n"), F.sum("value").alias("cents"))
 
 
+# Capture files
+_HOST_OF = r"host=(\d+)/"
+
+
+@query("s1_list_captures", "SELECT CAST(user_id AS BIGINT) AS host, 1 AS files, true AS filled FROM events GROUP BY 1")
+def s1(spark, d):
+    files = S.list_captures(spark, FX.capture_files(spark, d), prefixes=("part-",))
+    by_host = files.groupBy(F.regexp_extract("path", _HOST_OF, 1).cast("long").alias("host"))
+    return by_host.agg(F.count("*").cast("int").alias("files"), F.bool_and(F.col("length") > 0).alias("filled"))
+
+
+@query("s2_latest_captures", "SELECT host FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS host FROM events) ORDER BY host DESC LIMIT 10")
+def s2(spark, d):
+    files = S.latest(S.list_captures(spark, FX.capture_files(spark, d), prefixes=("part-",)))
+    return files.select(F.regexp_extract("path", _HOST_OF, 1).alias("host"))
+
+
+@query("s3_read_captures", "SELECT CAST(user_id AS BIGINT) AS host, CAST(event_id AS BIGINT) AS seq, CAST(round(value * 100) AS BIGINT) AS cents FROM events")
+def s3(spark, d):
+    chunks = S.read_captures(spark, FX.capture_files(spark, d), prefixes=("part-",))
+    samples = N.explode_chunk(chunks, ["file", "chunk_no"], drop_last=False)
+    return N.project_paths(samples, ["file", "chunk_no", "i"], {c: f"sample/{c}" for c in FX.COUNTERS}).select(*FX.COUNTERS)
+
+
+@query("s7_broken_captures", """SELECT CAST(user_id AS BIGINT) AS host, CASE WHEN user_id % 7 = 3 THEN count(DISTINCT CAST(ts AS DATE)) ELSE 0 END AS bad_chunks, CASE WHEN user_id % 7 = 3 THEN 0 ELSE count(*) END AS samples FROM events GROUP BY user_id""")
+def s7(spark, d):
+    folder = FX.capture_files(spark, d, broken=F.col("host") % 7 == 3)
+    chunks = S.read_captures(spark, folder, paths=["sample/seq"], mode="DROPMALFORMED", prefixes=("part-",))
+    by_host = chunks.groupBy(F.regexp_extract("file", _HOST_OF, 1).cast("long").alias("host"))
+    return by_host.agg(F.count("_corrupt").alias("bad_chunks"), F.coalesce(F.sum(F.size("values")), F.lit(0)).cast("long").alias("samples"))
+
+
+@query("s9_report_tables", STATS + """SELECT 'header' AS part, CAST(count(DISTINCT host) AS BIGINT) AS a, CAST(count(*) AS BIGINT) AS b FROM st
+UNION ALL SELECT 'stats', CAST(sum(host) AS BIGINT), CAST(sum(n) AS BIGINT) FROM st UNION ALL SELECT 'summary', CAST(count(*) AS BIGINT), CAST(min(host) AS BIGINT) FROM (SELECT DISTINCT host FROM st)""")
+def s9(spark, d):
+    points = M.status_points(V.status_samples(spark, d))
+    stats = DG.compute_stats(points, *when(), _info(spark, d))
+    tables = L.report(stats, I.anomalies(points, I.thresholds_table(spark)), stats.select("host").limit(0), stats.select("host").distinct())
+    folder = scratch(spark, "report")
+    for name in ("header", "stats", "summary"):
+        tables[name].write.parquet(f"{folder}/{name}")
+    read = {name: spark.read.parquet(f"{folder}/{name}") for name in ("header", "stats", "summary")}
+    header = read["header"].select(F.lit("header").alias("part"), F.col("hosts").alias("a"), F.col("metrics").alias("b"))
+    sums = read["stats"].agg(F.sum("host").alias("a"), F.sum("n").alias("b")).select(F.lit("stats").alias("part"), "a", "b")
+    return header.union(sums).union(read["summary"].agg(F.count("*").alias("a"), F.min("host").alias("b")).select(F.lit("summary"), "a", "b"))
+
+
+@query("x10_redacted_tree", HOSTS + f"SELECT page_id, 'host-' || {_H.format('host')} || '.local' AS hostname, host AS comment FROM h WHERE page_id % 64 % 9 <> 4")
+def x10(spark, d):
+    folder, out = _page_tree(spark, d), scratch(spark, "redacted")
+    X.redact_tree(spark, folder, _PAGE, out)
+    return spark.read.parquet(out)
+
+
+@query("x10_skipped_files", "SELECT CAST(page_id % 64 AS BIGINT) AS part, count(*) AS bad_lines FROM pages WHERE page_id % 64 % 9 = 4 GROUP BY 1")
+def x10_skipped(spark, d):
+    skipped = X.redact_tree(spark, _page_tree(spark, d), _PAGE, scratch(spark, "redacted"))
+    return skipped.select(F.regexp_extract("file", r"part=(\d+)/", 1).cast("long").alias("part"), "bad_lines")
+
+
+_PAGE = StructType().add("page_id", "long").add("hostname", "string").add("comment", "string")
+
+
+def _page_tree(spark: SparkSession, d: str) -> str:
+    """The pages' hosts as JSON lines in 64 folders; every ninth folder's file is broken."""
+    rows = _hosts(spark, d).select("page_id", F.col("host").alias("hostname"), F.col("host").alias("comment"), (F.col("page_id") % 64).alias("part"))
+    return FX.json_tree(rows, "page-tree", "part", F.col("part") % 9 == 4)
+
+
 @query("entry_rate_scores", V2 + """, b AS (SELECT CAST(host AS VARCHAR) AS metric, greatest(0, counter - p_counter) / seconds AS value FROM ok WHERE p_ts IS NOT NULL)""" + PCT + """
 SELECT CAST(metric AS BIGINT) AS host, n, round(p5, 6) AS p5, round(median, 6) AS median, round(p95, 6) AS p95, CASE WHEN p95 < 1 THEN 100 WHEN p95 > 20 THEN 0 ELSE CAST(floor(100 * (1 - (p95 - 1) / 19)) AS INTEGER) END AS score FROM st""")
 def rate_scores(spark: SparkSession, d: str) -> DataFrame:

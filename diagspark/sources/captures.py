@@ -6,6 +6,7 @@ import struct
 import zlib
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,20 +78,35 @@ def numeric_paths(data: bytes, prefix: str = "") -> Iterator[tuple[str, int]]:
             yield path, int(value)
 
 
-def _varints(data: bytes, at: int) -> Iterator[int]:
-    value = shift = 0
-    for byte in memoryview(data)[at:]:
-        value |= (byte & 0x7F) << shift
-        if byte < 0x80:
-            yield value
-            value = shift = 0
-        else:
-            shift += 7
-    while True:  # what is cut off reads as 0
-        yield 0
-
-
-def decode_chunk(data: bytes) -> dict[str, list[int]]:
+def _varints(data: bytes) -> np.ndarray:
+    """The whole variable-length numbers of ``data``, seven bits a byte from the lowest, modulo 2^64; one that is cut off is left out."""
+    octets = np.frombuffer(data, np.uint8)
+    ends = np.flatnonzero(octets < 0x80)
+    if not len(ends):
+        return np.zeros(0, np.uint64)
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    octets = octets[: ends[-1] + 1]
+    place = np.arange(len(octets)) - np.repeat(starts, ends - starts + 1)
+    bits = (octets & 0x7F).astype(np.uint64) << (7 * np.minimum(place, 9)).astype(np.uint64)
+    return np.add.reduceat(np.where(place < 10, bits, np.uint64(0)), starts)
+
+
+def _deltas(tokens: np.ndarray, wanted: int) -> np.ndarray:
+    """The first ``wanted`` deltas: a zero is followed by how many more zeros come; what is missing reads as 0."""
+    zero = tokens == 0
+    place = np.arange(len(tokens))
+    after = np.concatenate(([0], np.maximum.accumulate(np.where(zero, 0, place + 1))[:-1])) if len(tokens) else place
+    # Zeros that follow each other are by turns a delta and its number; so is what ends them.
+    number = (place - after) % 2 == 1
+    more = np.zeros(len(tokens), np.int64)
+    more[:-1] = np.where(zero[:-1] & ~number[:-1], np.minimum(tokens[1:], np.uint64(wanted)).astype(np.int64), 0)
+    kept = np.flatnonzero(~number)
+    kept = kept[: np.searchsorted(np.cumsum(1 + more[kept]), wanted) + 1]
+    found = np.repeat(tokens[kept], 1 + more[kept])[:wanted]
+    return np.concatenate((found, np.zeros(wanted - len(found), np.uint64)))
+
+
+def decode_chunk(data: bytes) -> dict[str, np.ndarray]:
     """path -> samples of one compressed chunk: the first document's values and all deltas; of duplicate paths the first counts."""
     raw = zlib.decompress(data[4:])
     (size,) = struct.unpack_from("<I", raw)
@@ -98,21 +114,10 @@ def decode_chunk(data: bytes) -> dict[str, list[int]]:
     paths = list(numeric_paths(raw[:size]))
     if len(paths) != count:
         raise ValueError("a chunk has another number of counters than it says")
-    tokens, zeros, out = _varints(raw, size + 8), 0, {}
-    for path, value in paths:
-        column = [value]
-        for _ in range(deltas):
-            if zeros:
-                zeros -= 1
-                delta = 0
-            else:
-                delta = next(tokens)
-                if not delta:
-                    zeros = next(tokens)
-            value = (value + delta) & (1 << 64) - 1
-            column.append(value - (1 << 64) if value >> 63 else value)
-        out.setdefault(path, column)
-    return out
+    first = np.array([v & (1 << 64) - 1 for _, v in paths], np.uint64).reshape(-1, 1)
+    grown = _deltas(_varints(raw[size + 8 :]), count * deltas).reshape(count, deltas)
+    columns = np.cumsum(np.hstack((first, grown)), axis=1, dtype=np.uint64).view(np.int64)
+    return {path: columns[i] for i, (path, _) in reversed(list(enumerate(paths)))}
 
 
 def frames(data: bytes) -> Iterator[tuple[int, int, bytes]]:

@@ -122,3 +122,40 @@ def test_short_file_tells_its_version(spark, tmp_path):
     found = J.read_json_samples(spark, str(tmp_path), "struct<version: string, uptime: bigint>", "struct<name: string>")
     assert [r["version"] for r in found["status"].collect()] == ["7.0.1"]
     assert J.server_info(found["info"], "BuildInfo struct<Version string>").first()["BuildInfo"]["Version"] == "7.0.1"
+
+
+def test_decoding_equals_a_plain_walk():
+    import random
+
+    rng = random.Random(5)
+    for length in (1, 2, 3, 40):
+        for _ in range(50):
+            step = lambda: rng.choice((0, 0, 0, 1, -1, 127, 128, 1 << 40, -(1 << 62)))
+            columns = []
+            for first in (5, 1, 7, 3, 2, 4, 9):
+                column = [first]
+                for _ in range(length - 1):
+                    column.append((column[-1] + step() + (1 << 63)) % (1 << 64) - (1 << 63))
+                columns.append(column)
+            found = S.decode_chunk(chunk(FIRST, columns))
+            assert {p: v.tolist() for p, v in found.items()} == {p: columns[PATHS.index(p)] for p in found} and len(found) == 6
+
+
+def test_cut_off_deltas_read_as_zero():
+    data = FIRST + struct.pack("<II", 7, 2) + varint(3) + b"\0" + varint(1) + b"\x85"
+    found = S.decode_chunk(struct.pack("<I", len(data)) + zlib.compress(data))
+    assert found["serverStatus/uptime"].tolist() == [5, 8, 8] and found["serverStatus/ok"].tolist() == [1, 1, 1] and found["list/0"].tolist() == [4, 4, 4]
+
+
+def test_redacted_tree(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    from diagspark.operators.redact import redact_tree
+
+    for name, lines in (("a/x.json", '{"host":"db1.example.com","n":1}\n\n{"n":2}\n'), ("b/c/y.json", '{"host":"db1.example.com","n":3}\n{"host":\n'), ("z.json", "")):
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_text(lines)
+    skipped = redact_tree(spark, f"{tmp_path}/in", StructType().add("host", "string").add("n", "long"), f"{tmp_path}/out")
+    assert [(r["file"].rsplit("/", 1)[1], r["bad_lines"]) for r in skipped.collect()] == [("y.json", 1)]
+    rows = {r["n"]: r["host"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert rows.keys() == {1, 2} and rows[1].startswith("host-") and rows[2] is None
