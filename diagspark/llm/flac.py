@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import whole
+from ._common import stored, whole
 
 BLOCK, RATE = 1024, 8000
 _SHIFT, _PRECISION = 6, 8
@@ -526,8 +526,9 @@ def pcm_blocks(media: DataFrame, key: str = "doc_id", column: str = "media") ->
 def media_round_trip(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of every document.
 
-    Every whole text goes through the stored form and is read back from it.
+    Every whole text's stored form is written to the shared folder and what
+    is read back from there is decoded.
     Equal texts give equal values; repeated rows give repeated rows; null is
     as empty; an empty table gives no rows.
     """
-    return media_features(text_media(docs.select("doc_id", "text")))
+    return media_features(stored(text_media(docs.select("doc_id", "text")), "media", "zstd"))
