@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from ..plans.scratch import scratch
 
 
-def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
     This cuts the lineage in a way that survives the loss of executors, and
     it fixes what is not deterministic (row order, partition numbers).
+    ``options`` are the Parquet writer's.
     """
     path = scratch(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -460,6 +460,10 @@ def _slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[tuple[int
         yield at, values[at:]
 
 
+#: How the streams are written: Parquet packs what a frame leaves of the text's redundancy.
+STORED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9"}
+
+
 def text_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: every text stored as a FLAC stream (null and empty: 64 bytes of 0)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -531,4 +535,4 @@ def media_round_trip(docs: DataFrame) -> DataFrame:
     Equal texts give equal values; repeated rows give repeated rows; null is
     as empty; an empty table gives no rows.
     """
-    return media_features(stored(text_media(docs.select("doc_id", "text")), "media", "zstd"))
+    return media_features(stored(text_media(docs.select("doc_id", "text")), "media", **STORED))
