@@ -859,9 +859,10 @@ def s7(spark, d):
 UNION ALL SELECT 'stats', CAST(sum(host) AS BIGINT), CAST(sum(n) AS BIGINT) FROM st UNION ALL SELECT 'summary', CAST(count(*) AS BIGINT), CAST(min(host) AS BIGINT) FROM (SELECT DISTINCT host FROM st)""")
 def s9(spark, d):
     points = M.status_points(V.status_samples(spark, d))
-    stats = DG.compute_stats(points, *when(), _info(spark, d))
-    tables = L.report(stats, I.anomalies(points, I.thresholds_table(spark)), stats.select("host").limit(0), stats.select("host").distinct())
     folder = scratch(spark, "report")
+    DG.compute_stats(points, *when(), _info(spark, d)).write.parquet(f"{folder}/computed")
+    stats = spark.read.parquet(f"{folder}/computed")
+    tables = L.report(stats, I.anomalies(points, I.thresholds_table(spark)), stats.select("host").limit(0), stats.select("host").distinct())
     for name in ("header", "stats", "summary"):
         tables[name].write.parquet(f"{folder}/{name}")
     read = {name: spark.read.parquet(f"{folder}/{name}") for name in ("header", "stats", "summary")}
