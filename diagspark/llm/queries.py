@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import warc
+from .conversation import repaired_conversations
 from .flac import media_round_trip
 from .html_extract import main_texts
 from .iblt import fingerprints
@@ -61,6 +62,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_mixing, op3_warc, op4_lm_scoring, op5_fingerprints, op6_html_extraction, op7_simhash_near_dedup, op8_media_flac, op9_packing, op10_language_id)}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_mixing, op3_warc, op4_lm_scoring, op5_fingerprints, op6_html_extraction, op7_simhash_near_dedup, op8_media_flac, op9_packing, op10_language_id, op13_conversation_repair)}
 
 ORACLE_SQL: dict[str, str] = {"op3_warc": warc.ORACLE_SQL}
