@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import warc
+from . import lexical_search, warc
+from .binpack import packed_best_fit
 from .conversation import repaired_conversations
 from .flac import media_round_trip
 from .html_extract import main_texts
 from .iblt import fingerprints
 from .langid import languages
+from .lexical_search import ranked
 from .lm_score import lm_scores
 from .mixing import mixture_plan
 from .packing import packed
@@ -62,10 +64,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_best_fit(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired_conversations(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_mixing, op3_warc, op4_lm_scoring, op5_fingerprints, op6_html_extraction, op7_simhash_near_dedup, op8_media_flac, op9_packing, op10_language_id, op13_conversation_repair)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_mixing, op3_warc, op4_lm_scoring, op5_fingerprints, op6_html_extraction, op7_simhash_near_dedup, op8_media_flac, op9_packing, op10_language_id, op11_lexical_search, op12_best_fit_packing, op13_conversation_repair)}
 
-ORACLE_SQL: dict[str, str] = {"op3_warc": warc.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_warc": warc.ORACLE_SQL, "op11_lexical_search": lexical_search.ORACLE_SQL}
