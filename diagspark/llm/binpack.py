@@ -30,6 +30,8 @@ END_ID = 0
 #: Pieces of a group, in the mean.
 GROUP = 1 << 13
 ROUNDS = 12
+#: Words that a generation of a worker's cache may hold: two of them take some 200 MB.
+WORDS = 500_000
 _PIECE_BYTES = 1 << 20
 #: A group's sequences are numbered within so many bits.
 _BIN_BITS = 24
@@ -104,7 +106,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> Data
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = shared_tokenizer(path)
+        tokenizer = shared_tokenizer(path, WORDS)
         end, part, nth = np.array([end_id], tokenizer.kind).tobytes(), TaskContext.get().partitionId(), 0
 
         def rows(ids: pa.Array, texts: list[str]) -> pa.RecordBatch:

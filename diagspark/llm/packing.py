@@ -120,14 +120,14 @@ class WordTokenizer:
         return [b"".join(found) if found is not None else self._packed(self.library.encode(t, add_special_tokens=False).ids) for t, found in zip(texts, ids, strict=True)]
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
+_tokenizers: dict[tuple[str, int], WordTokenizer] = {}
 
 
-def shared_tokenizer(path: str) -> WordTokenizer:
+def shared_tokenizer(path: str, generation: int = _GENERATION) -> WordTokenizer:
     """One tokenizer a worker process, so that what it has learned serves later tasks."""
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+    if (path, generation) not in _tokenizers:
+        _tokenizers[path, generation] = WordTokenizer(path, generation)
+    return _tokenizers[path, generation]
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:

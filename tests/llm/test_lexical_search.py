@@ -45,7 +45,7 @@ def test_terms():
         assert [t.decode() for t in L.terms_of(text.encode())] == words(text)
 
 
-@pytest.mark.parametrize("block", [1 << 16, 20])
+@pytest.mark.parametrize("block", [1 << 16, 12_000])
 def test_awkward_rows(spark, block):
     items = [(1, "Number of the cat."), (2, None), (3, ""), (4, "?!"), (None, "los gatos"), (5, cases.LONG), (6, "zzz nothing"), (1, "und die Kinder"), (7, "The thing"), (7, "The thing")]
     frame = spark.createDataFrame([(*i, 3, "x") for i in items], "item_id long, text string, doc_id long, term string")
