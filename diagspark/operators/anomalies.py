@@ -65,7 +65,8 @@ def anomalies(points: DataFrame, thresholds: DataFrame, least_seconds: float = 1
 def timeline(found: DataFrame, n: int = 10) -> DataFrame:
     """The first ``n`` anomalies in time, each with the number of those left out."""
     more = found.agg(F.greatest(F.lit(0).cast("long"), F.count("*") - n).alias("left_out"))
-    return found.orderBy("start", "metric", "entity").limit(n).withColumn("left_out", more.scalar())
+    order = [c for c in ("start", "metric", "entity", "host") if c in found.columns]
+    return found.orderBy(*order).limit(n).withColumn("left_out", more.scalar())
 
 
 def summarize_intervals(ranges: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:

@@ -86,18 +86,29 @@ def ticket_report(samples: DataFrame, span: float = DEFAULT_SPAN, keys: Sequence
     return interval_mean(samples, span, TICKETS, keys, order)
 
 
+def automatic_span(samples: DataFrame, ts: str = "ts") -> float:
+    """A twentieth of the time that the samples take, in whole seconds."""
+    edge = samples.agg(seconds_between(F.min(ts), F.max(ts)).alias("s")).first()["s"] or 0
+    return edge // 20
+
+
 def all_reports(samples: DataFrame, span: float = -1, keys: Sequence[str] = ("host",), order: Sequence[str] = ORDER) -> dict[str, DataFrame]:
-    """Every report; a negative span is a twentieth of the time that the samples take."""
+    """Every report; a negative span is the automatic one."""
     if span < 0:
-        edge = samples.agg(seconds_between(F.min(order[0]), F.max(order[0])).alias("s")).first()["s"] or 0
-        span = edge // 20
+        span = automatic_span(samples, order[0])
     made = {"ops": ops_report, "latency": latency_report, "documents": document_report, "locks": lock_report, "cache": cache_report, "tickets": ticket_report}
     return {name: f(samples, span, keys, order) for name, f in made.items()}
 
 
 def report(stats: DataFrame, anomalies: DataFrame, findings: DataFrame, summary: DataFrame) -> dict[str, DataFrame]:
-    """The tables of a diagnosis report by name, ready to be written as JSON or Parquet."""
+    """The tables of a diagnosis report by name."""
     from .anomalies import timeline
 
     head = stats.agg(F.countDistinct("host").alias("hosts"), F.count("*").alias("metrics"))
     return {"header": head, "summary": summary, "timeline": timeline(anomalies), "findings": findings, "stats": stats}
+
+
+def save_report(tables: dict[str, DataFrame], path: str, form: str = "parquet") -> None:
+    """Write each table to a folder of its name, as Parquet or JSON."""
+    for name, table in tables.items():
+        table.write.format(form).save(f"{path}/{name}")

@@ -6,13 +6,13 @@ A sample table has host, ts, seq and counters as columns; a series table
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp0, ratio, seconds_between
+from .thinning import thin
 from .windows import ORDER, numbered, previous
 
 SERIES = ("host", "metric", "entity")
@@ -99,20 +99,31 @@ def replication_lag(statuses: DataFrame, keys: Sequence[str] = ("host",), ts: st
     return each.select(*keys, ts, F.concat(F.lit("host-"), F.col("at").cast("string")).alias("entity"), behind.alias("value"))
 
 
+def slice_edges(points: DataFrame, start: Column, end: Column, keys: Sequence[str] = SERIES, order: Sequence[str] = ORDER) -> DataFrame:
+    """keys, __from, __to: the places in order where each series' slice begins and ends; series that begin after the end have none."""
+    ts, at = F.col(order[0]), F.struct(*order)
+    found = points.where(ts <= end).groupBy(*keys).agg(F.max(F.when(ts <= start, at)).alias("__a"), F.min(at).alias("__first"), F.max(at).alias("__to"))
+    return found.select(*keys, F.coalesce("__a", "__first").alias("__from"), "__to")
+
+
 def slice_range(points: DataFrame, start: Column, end: Column, keys: Sequence[str] = SERIES, order: Sequence[str] = ORDER) -> DataFrame:
     """The points from the last one at or before ``start`` up to, not with, the last one at or before ``end``.
 
     Where no point lies that early the series' first point counts; so the
     last point of a full range is left out. Adds ``n``, the place in the
-    slice, and ``total``, its size.
+    slice, and ``total``, its size. The order has to be unique in a series.
+
+    Only times and keys up to the end are read for the edges; of the points,
+    those from the earliest edge on (both bounds reach the scan of stored
+    points), and only the slice is numbered.
     """
-    keys, order = list(keys), list(order)
-    placed = numbered(points, keys, order, "__n", "__all")
-    ts = F.col(order[0])
-    last = lambda at: F.coalesce(F.max(F.when(ts <= at, F.col("__n"))), F.lit(0))
-    edges = placed.groupBy(*keys).agg(last(start).alias("__from"), last(end).alias("__to"))
-    kept = placed.join(edges, keys).where((F.col("__n") >= F.col("__from")) & (F.col("__n") < F.col("__to")))
-    return kept.select(*points.columns, (F.col("__n") - F.col("__from")).alias("n"), (F.col("__to") - F.col("__from")).alias("total"))
+    keys, order, names = list(keys), list(order), points.columns
+    edges = slice_edges(points, start, end, keys, order)
+    earliest = edges.agg(F.min(F.col(f"__from.{order[0]}")).alias("t")).scalar()
+    ts, at = F.col(order[0]), F.struct(*order)
+    near = points.where((ts <= end) & (ts >= earliest))
+    kept = near.join(edges, keys).where((at >= F.col("__from")) & (at < F.col("__to"))).select(*names)
+    return numbered(kept, keys, order, "n", "total")
 
 
 def bucket_avg(points: DataFrame, size: Column, keys: Sequence[str] = SERIES, ts: str = "ts") -> DataFrame:
@@ -136,49 +147,6 @@ def first_value(points: DataFrame, keys: Sequence[str] = SERIES, order: Sequence
     return points.groupBy(*keys).agg(F.min_by("value", F.struct(*order)).alias("value"))
 
 
-def thin(samples: DataFrame, span: float, keys: Sequence[str] = ("host",), order: Sequence[str] = ORDER, keep_last: bool = False) -> DataFrame:
-    """Of each key, the first row and every row at least ``span`` seconds after the last kept one (maybe the last row too).
-
-    Sequential by nature: rows stream through in order and only the last kept
-    time is held, so memory does not grow with a key.
-    """
-    keys, order = list(keys), list(order)
-    names, ts = samples.columns, order[0]
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = kept_at = held = None
-        held_kept = True
-        for batch in batches:
-            keep = []
-            ids = list(zip(*(batch[k] for k in keys), strict=True))
-            times = batch[ts].tolist()
-            extra = []
-            for i, (own, at) in enumerate(zip(ids, times, strict=True)):
-                if own != key:
-                    if keep_last and not held_kept:
-                        extra.append(held)
-                    key, kept_at = own, at
-                    keep.append(i)
-                    held_kept = True
-                elif (at - kept_at).total_seconds() >= span:
-                    kept_at = at
-                    keep.append(i)
-                    held_kept = True
-                else:
-                    held_kept = False
-                    if i + 1 < len(ids) and ids[i + 1] != own and keep_last:
-                        keep.append(i)
-                        held_kept = True
-            if keep_last and not held_kept:
-                held = batch.iloc[[len(batch) - 1]]
-            out = pd.concat([*extra, batch.iloc[keep]]) if extra else batch.iloc[keep]
-            yield out[names]
-        if keep_last and not held_kept:
-            yield held[names]
-
-    return samples.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(walk, samples.schema)
-
-
 def interval_mean(samples: DataFrame, span: float, columns: Sequence[str], keys: Sequence[str] = ("host",), order: Sequence[str] = ORDER) -> DataFrame:
     """Integer means of gauges over the rows after one kept row up to the next: keys, interval end, rows, means."""
     keys, order = list(keys), list(order)

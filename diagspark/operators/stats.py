@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,10 +28,32 @@ def index_percentiles(points: DataFrame, keys: Sequence[str] = SERIES) -> DataFr
     return placed.groupBy(*keys).agg(F.max("__n").alias("n"), *(F.max(F.when(here(p), F.col("value"))).alias(name) for name, p in PERCENTILES))
 
 
+def rank_percentiles(points: DataFrame, keys: Sequence[str] = SERIES, ranges: int = 256) -> DataFrame:
+    """The same as ``index_percentiles`` for series of any number of different values, without a task that sees a whole one.
+
+    A sketch of each series gives bounds that cut it into ``ranges`` of about
+    equal size, equal values are counted by range, and only the ranges in which a
+    wanted place lies are put in order. The sketch moves the bounds, not the result.
+    """
+    keys = list(keys)
+    counted = points.where("value is not null").groupBy(*keys, "value").agg(F.count("*").alias("__c"))
+    bounds = points.where("value is not null").groupBy(*keys).agg(F.array_distinct(F.percentile_approx("value", [i / ranges for i in range(1, ranges)], 20 * ranges)).alias("__bounds"))
+    dealt = counted.join(bounds, keys).withColumn("__range", F.size(F.filter("__bounds", lambda b: b < F.col("value")))).drop("__bounds")
+    sizes = dealt.groupBy(*keys, "__range").agg(F.sum("__c").alias("__size"))
+    up_to = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)
+    spans = sizes.select(*keys, "__range", (F.sum("__size").over(up_to) - F.col("__size")).alias("__from"), F.sum("__size").over(up_to).alias("__to"), F.sum("__size").over(Window.partitionBy(*keys)).alias("__n"))
+    place = lambda p: F.least(F.floor((F.col("__n") + 1) * F.lit(p)), F.col("__n") - 1)
+    inside = lambda p, low, high: (F.col(low) <= place(p)) & (place(p) < F.col(high))
+    wanted = spans.where(reduce(Column.__or__, [inside(p, "__from", "__to") for _, p in PERCENTILES]))
+    order = Window.partitionBy(*keys, "__range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    found = dealt.join(wanted, [*keys, "__range"]).withColumn("__end", F.col("__from") + F.sum("__c").over(order)).withColumn("__begin", F.col("__end") - F.col("__c"))
+    return found.groupBy(*keys).agg(F.max("__n").alias("n"), *(F.max(F.when(inside(p, "__begin", "__end"), F.col("value"))).alias(name) for name, p in PERCENTILES))
+
+
 def range_percentiles(points: DataFrame, start: Column, end: Column, keys: Sequence[str] = SERIES, max_points: int | None = MAX_POINTS) -> DataFrame:
-    """Percentiles over a time range, of the downsampled series unless ``max_points`` is None."""
+    """Percentiles over a time range, of the downsampled series or, with ``max_points`` None, of all its points."""
     cut = slice_range(points, start, end, keys)
-    return index_percentiles(cut if max_points is None else downsample(cut, max_points, keys), keys)
+    return rank_percentiles(cut, keys) if max_points is None else index_percentiles(downsample(cut, max_points, keys), keys)
 
 
 def rounded(stats: DataFrame) -> DataFrame:
@@ -63,8 +86,8 @@ def max_entity(stats: DataFrame, column: str = "p95", keys: Sequence[str] = ("ho
 
 #: The summary's metrics by the statistic that it shows.
 SUMMARY_MEDIANS = (
-    "ops_query", "ops_insert", "ops_update", "ops_delete", "ops_command", "doc_returned/s", "cpu_user", "cpu_system", "cpu_iowait",
-    "net_in", "net_out", "net_requests", "conns_current", "conns_created/s",
+    "ops_query", "ops_insert", "ops_update", "ops_delete", "ops_command", "doc_returned/s", "cpu_user", "cpu_system", "cpu_idle", "cpu_iowait",
+    "net_in", "net_out", "net_requests", "conns_active", "conns_current", "conns_created/s",
 )
 SUMMARY_P95 = ("latency_read", "latency_write", "latency_command", "scan_keys", "scan_objects")
 

@@ -48,24 +48,21 @@ def scored_stats(points: DataFrame, start: Column, end: Column, info: DataFrame,
 
 
 def symptom_times(points: DataFrame, stats: DataFrame) -> DataFrame:
-    """host, times: when connections were above 1.5 times their median, and each member's lag above 5 s, as texts by symptom.
-
-    A host's lag is told member by member, in order.
-    """
+    """host, times: when connections were above 1.5 times their median, and when each member's lag was above 5 s, as texts by metric."""
     medians = stats.where(F.col("metric") == "conns_current").select("host", (1.5 * F.col("median")).alias("bound"))
     many = points.where(F.col("metric") == "conns_current").join(medians, "host")
     late = points.where(F.col("metric") == "repl_lag")
     keys = ("host", "metric", "entity")
     texts = describe_intervals(intervals_above(many, F.col("bound")), keys).unionByName(describe_intervals(intervals_above(late, F.lit(5.0)), keys))
-    member = F.when(F.col("entity") == "", F.col("text")).otherwise(F.concat("entity", F.lit(": "), "text"))
-    one = texts.groupBy("host", "metric").agg(F.array_join(F.array_sort(F.collect_list(member)), "; ").alias("text"))
-    return one.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("metric", "text"))).alias("times"))
+    name = F.concat_ws("_", "metric", F.when(F.col("entity") != "", F.col("entity")))
+    return texts.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct(name.alias("metric"), "text"))).alias("times"))
 
 
 def diagnosis(points: DataFrame, start: Column, end: Column, info: DataFrame, rules: Sequence[Rule] | None = None, thresholds: DataFrame | None = None) -> dict[str, DataFrame]:
-    """stats, anomalies and findings of all hosts; the symptoms of connections and lag say when."""
+    """stats, anomalies and findings of all hosts; the symptoms of connections and of each member's lag say when."""
     stats = scored_stats(points, start, end, info)
     found = diagnose(stats, rules).join(symptom_times(points, stats), "host", "left")
-    timed = F.transform("symptoms", lambda s: s.withField("timing", F.col("times")[s["name"]]))
+    metric = lambda s: F.concat_ws("_", s["name"], F.when(s["entity"] != "", s["entity"]))
+    timed = F.transform("symptoms", lambda s: s.withField("timing", F.col("times")[metric(s)]))
     findings = found.withColumn("symptoms", timed).drop("times")
     return {"stats": stats, "anomalies": anomalies(points, thresholds if thresholds is not None else thresholds_table(points.sparkSession)), "findings": findings}

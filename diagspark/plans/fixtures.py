@@ -65,10 +65,22 @@ def capture_files(spark: SparkSession, sf_dir: str, broken: Column | None = None
     return path
 
 
-def json_tree(rows: DataFrame, name: str, folder: str, broken: Column) -> str:
-    """A tree of JSON-lines files, a folder for each value of ``folder``; where ``broken`` holds the lines are cut short."""
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The folders directly in a path, by name."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    return sorted(f.getPath().toString() for f in listed if f.isDirectory())
+
+
+def text_tree(rows: DataFrame, name: str, folder: str, broken: Column) -> str:
+    """A tree of files of lines (the column ``value``), a folder for each value of ``folder``; where ``broken`` holds the lines are cut short."""
     path = scratch(rows.sparkSession, name)
-    text = F.to_json(F.struct(*(c for c in rows.columns if c != folder)))
-    cut = F.when(broken, F.substr(text, F.lit(1), F.length(text) - 1)).otherwise(text)
+    cut = F.when(broken, F.substr("value", F.lit(1), F.length("value") - 1)).otherwise(F.col("value"))
     rows.select(folder, cut.alias("value")).repartition(folder).write.partitionBy(folder).text(path)
     return path
+
+
+def json_tree(rows: DataFrame, name: str, folder: str, broken: Column) -> str:
+    """A tree of JSON-lines files of the rows, as ``text_tree``."""
+    text = F.to_json(F.struct(*(c for c in rows.columns if c != folder)))
+    return text_tree(rows.select(folder, text.alias("value")), name, folder, broken)

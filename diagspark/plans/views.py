@@ -121,3 +121,33 @@ def disk_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     io, reads = F.col("io_time_ms"), F.col("reads")
     made = {"read_time_ms": 3 * reads, "write_time_ms": 5 * reads, "io_in_progress": reads % 7, "io_queued_ms": 2 * io, "io_time_ms": io, "reads": reads, "writes": 2 * reads}
     return devices(spark, sf_dir).select("host", "disk", "ts", "seq", "sample", *(c.alias(n) for n, c in made.items()))
+
+
+#: Series for the diagnosis of the test events, a share of each event's value: metric, entity, factor. Chosen so that every rule holds for some hosts.
+DIAGNOSED = (
+    ("conns_created/s", "", 0.1), ("conns_current", "", 1.0), ("cpu_idle", "", 40.0), ("cpu_iowait", "", 0.06), ("cpu_system", "", 0.05), ("cpu_user", "", 0.5),
+    ("disk_util", "sda", 0.5), ("disk_util", "sdb", 0.6), ("disk_iops", "sda", 1.0), ("disk_iops", "sdb", 0.9), ("latency_read", "", 0.5), ("latency_write", "", 0.3),
+    ("latency_command", "", 0.2), ("mem_page_faults", "", 0.1), ("mem_resident", "", 0.005), ("ops_insert", "", 10.0), ("ops_update", "", 8.0), ("ops_query", "", 6.0),
+    ("q_queued_read", "", 0.05), ("q_queued_write", "", 0.06), ("scan_keys", "", 5000.0), ("scan_objects", "", 20000.0), ("scan_sort", "", 3.0), ("wt_cache_max", "", 0.05),
+    ("wt_cache_used", "", 0.01), ("wt_cache_dirty", "", 0.002), ("wt_dhandles_active", "", 120.0), ("wt_modified_evicted", "", 1000.0), ("wt_unmodified_evicted", "", 1200.0),
+    ("query_targeting_keys", "", 0.3), ("query_targeting_objects", "", 0.5), ("write_conflicts/s", "", 0.3), ("repl_lag", "host-0", 0.05), ("repl_lag", "host-1", 0.1),
+    ("repl_lag", "host-2", 0.02), ("queues_read_out", "", 0.2), ("queues_read_total", "", 1.0), ("queues_write_out", "", 0.25), ("queues_write_total", "", 1.0),
+    ("txn_inactive", "", 0.1), ("txn_aborted/s", "", 0.2), ("tcmalloc_heap", "", 1.0), ("tcmalloc_in_use", "", 0.6), ("flowctl_lagged_count", "", 0.01),
+    ("flowctl_acquiring_us", "", 1000.0), ("conns_active", "", 0.4), ("net_in", "", 0.01), ("unscored", "", 1.0),
+)
+#: Hosts in turn are idle, calm, busy and overloaded.
+LOADS = (0.1, 0.5, 1.0, 4.0)
+
+
+def diagnosed_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series of twelve hosts (user_id % 12): every event is a sample of each of DIAGNOSED, by its host's load."""
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.lit(e).alias("entity"), F.lit(f).alias("factor")) for m, e, f in DIAGNOSED)))
+    load = F.element_at(F.array(*map(F.lit, LOADS)), (F.col("user_id") % 12 % 4 + 1).cast("int"))
+    rows = events(spark, sf_dir).select((F.col("user_id") % 12).cast("bigint").alias("host"), "ts", F.col("event_id").alias("seq"), (F.col("value") * load).alias("value"), each.alias("s"))
+    return rows.select("host", "s.metric", "s.entity", "ts", "seq", (F.col("value") * F.col("s.factor")).alias("value"))
+
+
+def diagnosed_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memory and cores of the hosts of ``diagnosed_points``."""
+    hosts = events(spark, sf_dir).select((F.col("user_id") % 12).cast("bigint").alias("host")).distinct()
+    return hosts.select("host", (F.col("host") * 64 + 1024).alias("mem_size_mb"), (F.col("host") % 8 + 1).alias("num_cores"))

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .functions import scalars as P
 from .operators import anomalies as I
+from .operators import documents as N1
 from .operators import nested as N
 from .operators import query as Q
 from .operators import redact as X
@@ -25,7 +27,7 @@ from .plans import views as V
 from .plans.scratch import scratch
 from .sources import captures as S
 from .sources import samples as J
-from .streaming.append import append_new, left_out, reload
+from .streaming.append import append_new, left_out, reload_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -260,6 +262,11 @@ def a1(spark, d):
     return A.range_percentiles(V.points(spark, d), *when(), max_points=100).select("metric", "n", *(r6(c).alias(c) for c in ("p5", "median", "p95")))
 
 
+@query("a1_whole_series", _sliced().replace("b AS (SELECT metric, n //", "unused AS (SELECT metric, n //") + ", b AS (SELECT metric, value FROM s)" + PCT + "SELECT metric, n, p5, median, p95 FROM st")
+def a1_whole(spark, d):
+    return A.range_percentiles(V.points(spark, d), *when(), max_points=None).select("metric", "n", "p5", "median", "p95")
+
+
 @query("a3_rounded_stats", _sliced() + PCT + "SELECT metric, round(round(p5, 6)) AS p5, round(round(median, 6)) AS median, round(round(p95, 6)) AS p95 FROM st")
 def a3(spark, d):
     stats = A.range_percentiles(V.points(spark, d), *when(), max_points=100)
@@ -573,6 +580,129 @@ def q4(spark, d):
     return Q.host_info(info)
 
 
+# Diagnosis from series to findings: every scoring branch and every rule
+_SERIES_SQL = ", ".join(f"('{m}', '{e}', CAST({f} AS DOUBLE))" for m, e, f in V.DIAGNOSED)
+_LOADS_SQL = ", ".join(f"CAST({x} AS DOUBLE)" for x in V.LOADS)
+_PLACE = "least(CAST(floor((n + 1) * CAST({} AS DOUBLE)) AS BIGINT), n - 1)"
+
+
+def _percentiles_sql(source: str, keys: str) -> str:
+    """n, p5, median, p95 of ``value`` by index."""
+    at = ", ".join(f"max(CASE WHEN pos = {_PLACE.format(p)} THEN value END) AS {c}" for c, p in (("p5", 0.05), ("median", 0.5), ("p95", 0.95)))
+    return f"(SELECT {keys}, max(n) AS n, {at} FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY value) - 1 AS pos, count(*) OVER (PARTITION BY {keys}) AS n FROM {source}) GROUP BY {keys})"
+
+
+DIAGNOSED = f"""WITH m(metric, entity, factor) AS (VALUES {_SERIES_SQL}),
+pt AS (SELECT CAST(user_id % 12 AS BIGINT) AS host, metric, entity, ts, event_id AS seq, value * [{_LOADS_SQL}][1 + user_id % 12 % 4] * factor AS value FROM events CROSS JOIN m),
+info AS (SELECT DISTINCT CAST(user_id % 12 AS BIGINT) AS host, 1024 + 64 * CAST(user_id % 12 AS BIGINT) AS mem, 1 + CAST(user_id % 12 AS BIGINT) % 8 AS cores FROM events),
+p AS (SELECT *, row_number() OVER (PARTITION BY host, metric, entity ORDER BY ts, seq) - 1 AS i FROM pt),
+e AS (SELECT host, metric, entity, coalesce(max(CASE WHEN ts <= TIMESTAMP '{_FROM}' THEN i END), 0) AS a, coalesce(max(CASE WHEN ts <= TIMESTAMP '{_TO}' THEN i END), 0) AS b FROM p GROUP BY ALL),
+sl AS (SELECT host, metric, entity, ts, value, i - a AS n, b - a AS total FROM p JOIN e USING (host, metric, entity) WHERE i >= a AND i < b),
+ds AS (SELECT host, metric, entity, n // (CASE WHEN total > 1800 THEN total // 1800 ELSE 1 END) AS bucket, avg(value) AS value, max(ts) AS ts FROM sl GROUP BY ALL),
+st AS {_percentiles_sql("ds", "host, metric, entity")},
+fact AS (SELECT host, arg_min(value, (ts, seq)) FILTER (metric = 'wt_cache_max') AS cache, arg_min(value, (ts, seq)) FILTER (metric = 'queues_read_total') AS rt, arg_min(value, (ts, seq)) FILTER (metric = 'queues_write_total') AS wt FROM pt GROUP BY 1),
+mr AS (SELECT o.host, avg(o.value / k.value) AS ratio FROM pt o JOIN pt k ON o.host = k.host AND o.ts = k.ts AND o.metric = 'scan_objects' AND k.metric = 'scan_keys' WHERE k.value > 0 GROUP BY 1),
+nm AS (SELECT st.*, CASE metric WHEN 'disk_util' THEN 'disku_' || entity WHEN 'disk_iops' THEN 'iops_' || entity WHEN 'repl_lag' THEN 'repl_lag_' || entity ELSE metric END AS name, mem, cores, cache, rt, wt, ratio,
+  floor(CAST(0.05 AS DOUBLE) * cache * 1024 * 1024 * 1024 / 4096) AS pages FROM st JOIN info USING (host) LEFT JOIN fact USING (host) LEFT JOIN mr USING (host)),
+vv AS (SELECT *, CASE WHEN name = 'conns_created/s' THEN median WHEN name = 'conns_current' THEN 100 * p95 / mem WHEN name = 'cpu_idle' THEN p5 WHEN name LIKE 'iops_%' THEN CASE WHEN p95 >= 100 THEN p95 / median END
+  WHEN name = 'scan_objects' THEN CASE WHEN p95 < 1000 THEN -1e300 ELSE ratio END WHEN name LIKE 'wt_%modified_evicted' THEN p95 / pages WHEN name LIKE 'query_targeting%' OR name = 'flowctl_lagged_count' THEN CASE WHEN p95 > 0 THEN p95 END
+  WHEN name = 'queues_read_out' THEN 100 * p95 / rt WHEN name = 'queues_write_out' THEN 100 * p95 / wt WHEN name = 'flowctl_acquiring_us' THEN p95 / 1000 WHEN name IN ('wt_cache_used', 'wt_cache_dirty') THEN 100 * p95 / cache
+  WHEN name = 'mem_resident' THEN 100 * p95 / (mem / CAST(1024 AS DOUBLE)) ELSE p95 END AS v,
+  CASE WHEN name IN ('wt_cache_used', 'wt_cache_dirty') THEN 100 / cache WHEN name = 'mem_resident' THEN 100 / (mem / CAST(1024 AS DOUBLE)) ELSE CAST(1 AS DOUBLE) END AS unit,
+  CASE WHEN name LIKE 'disku%' THEN 'disku_' WHEN name LIKE 'iops%' THEN 'iops_' WHEN name LIKE 'ops%' THEN 'ops_' WHEN name LIKE 'repl%' THEN 'repl_lag_' WHEN name LIKE 'q_queued%' THEN name[3:] ELSE name END AS key FROM nm),
+f(key, low, high) AS (VALUES {_FORMULAS}),
+fh AS (SELECT host, key, CASE WHEN key LIKE 'queued%' THEN CAST(cores AS DOUBLE) ELSE CAST(low AS DOUBLE) END AS low, CASE WHEN key LIKE 'queued%' THEN CAST(5 * cores AS DOUBLE) ELSE CAST(high AS DOUBLE) END AS high FROM info CROSS JOIN f),
+ps AS (SELECT vv.*, CASE WHEN low IS NULL OR v IS NULL THEN 101 WHEN v < low THEN 100 WHEN v > high THEN 0 ELSE CAST(floor(100 * (1 - (v - low) / (high - low))) AS INTEGER) END AS plain FROM vv LEFT JOIN fh USING (host, key)),
+fr AS (SELECT h.host, 100 * (h.value - u.value) / h.value AS value FROM ds h JOIN ds u ON h.host = u.host AND h.ts = u.ts AND h.metric = 'tcmalloc_heap' AND u.metric = 'tcmalloc_in_use' WHERE h.value > 0),
+fs AS {_percentiles_sql("fr", "host")},
+sc AS (SELECT host, name, entity, CASE WHEN name = 'wt_modified_evicted' THEN 'wt_mod_evicted' WHEN name = 'wt_unmodified_evicted' THEN 'wt_unmod_evicted' ELSE name END || CASE WHEN unit <> 1 OR name LIKE 'cpu%' OR name LIKE 'disku%' THEN ' %' ELSE '' END AS label,
+  CASE WHEN name = 'cpu_idle' AND plain < 101 THEN 100 - plain ELSE plain END AS score, round(p5 * unit) AS p5, round(median * unit) AS median, round(p95 * unit) AS p95 FROM ps
+  UNION ALL SELECT host, 'tcmalloc_fragmentation', '', 'tcmalloc_frag %', CASE WHEN p95 < 20 THEN 100 WHEN p95 > 50 THEN 0 ELSE CAST(floor(100 * (1 - (p95 - 20) / 30)) AS INTEGER) END, round(p5), round(median), round(p95) FROM fs)
+"""
+
+
+def _diagnosed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return V.diagnosed_points(spark, d), V.diagnosed_hosts(spark, d)
+
+
+@query("c2_scored_branches", DIAGNOSED + "SELECT host, name AS metric, label, CAST(score AS INTEGER) AS score, p5, median, p95 FROM sc")
+def c2(spark, d):
+    points, info = _diagnosed(spark, d)
+    return DG.scored_stats(points, *when(), info).select("host", "metric", "label", "score", "p5", "median", "p95")
+
+
+_WIDE = ("conns_current", "mem_resident", "conns_created/s", "latency_read", "ops_insert", "ops_update", "wt_cache_used", "wt_modified_evicted", "wt_unmodified_evicted", "mem_page_faults", "write_conflicts/s", "txn_aborted/s", "txn_inactive",
+         "q_queued_write", "query_targeting_keys", "query_targeting_objects", "scan_keys", "scan_objects", "tcmalloc_fragmentation", "cpu_idle", "cpu_user", "cpu_system", "cpu_iowait", "flowctl_lagged_count", "flowctl_acquiring_us", "queues_read_out", "queues_write_out")
+_BELOW = lambda t, *names: [(n, f'"{n} s" < {t}', f'"{n} v"') for n in names]
+_OVER = lambda t, *names: [(n, f'"{n} s" < 101 AND "{n} v" > {t}', f'"{n} v"') for n in names]
+#: rule, severity, condition, symptoms of single metrics (name, condition, value) and of entities (prefix, condition)
+_RULES_SQL = (
+    ("Connection Pool Misconfiguration", "warning", '"conns_current s" < 50 OR ("conns_current s" < 70 AND "mem_resident s" < 50)', [*_BELOW(70, "conns_current", "mem_resident"), ("conns_created/s", '"conns_created/s s" < 50', '"conns_created/s m"'), *_BELOW(50, "latency_read")], []),
+    ("Replication Lag Issues", "critical", "EXISTS (SELECT 1 FROM sc WHERE sc.host = w.host AND name LIKE 'repl_lag%' AND score < 50)", [("ops_insert", '"ops_insert v" > 1000', '"ops_insert v"'), ("ops_update", '"ops_update v" > 1000', '"ops_update v"')], [("repl_lag_", "score < 101 AND p95 > 0")]),
+    ("Working Set Exceeds RAM", "critical", '"wt_cache_used s" < 30 OR ("wt_modified_evicted s" < 50 AND "wt_unmodified_evicted s" < 50) OR "mem_page_faults s" < 50', _BELOW(50, "wt_cache_used", "wt_modified_evicted", "wt_unmodified_evicted", "mem_page_faults"), [("disku_", "score < 50")]),
+    ("Write Contention", "warning", '"write_conflicts/s s" < 50 OR "txn_aborted/s s" < 50', [*_OVER(0, "write_conflicts/s", "txn_aborted/s", "txn_inactive"), *_BELOW(50, "q_queued_write")], []),
+    ("Missing Indexes", "warning", '"query_targeting_keys s" < 50 OR "query_targeting_objects s" < 50 OR "scan_keys s" < 50', [*_OVER(1, "query_targeting_keys", "query_targeting_objects"), *_BELOW(50, "scan_keys", "scan_objects")], []),
+    ("Memory Fragmentation", "info", '"tcmalloc_fragmentation s" < 50', _BELOW(101, "tcmalloc_fragmentation"), []),
+    ("CPU Saturation", "warning", '"cpu_idle s" < 30 OR "cpu_user s" < 30 OR "cpu_system s" < 30', [("cpu_idle", '"cpu_idle s" < 50 AND "cpu_idle l" < 100', '"cpu_idle l"'), *_BELOW(50, "cpu_user", "cpu_system", "cpu_iowait")], []),
+    ("Disk I/O Bottleneck", "warning", "EXISTS (SELECT 1 FROM sc WHERE sc.host = w.host AND name LIKE 'disku%' AND score < 30)", _BELOW(50, "cpu_iowait"), [("disku_", "score < 50"), ("iops_", "score < 50")]),
+    ("Flow Control Activated", "warning", '("flowctl_lagged_count s" < 101 AND "flowctl_lagged_count v" > 0) OR "flowctl_acquiring_us s" < 50', [*_OVER(0, "flowctl_lagged_count"), ("flowctl_acquiring_us", '"flowctl_acquiring_us s" < 101 AND "flowctl_acquiring_us v" > 0', '"flowctl_acquiring_us v" / 1000')], []),
+    ("Admission Control Queuing", "warning", '"queues_read_out s" < 50 OR "queues_write_out s" < 50', _OVER(0, "queues_read_out", "queues_write_out"), []),
+)
+
+
+def _findings_sql(within: str | None = None) -> str:
+    """The findings with their symptoms; with ``within`` a table ``fdx`` of them for a query that goes on."""
+    wide = ", ".join(f"coalesce(max(CASE WHEN name = '{n}' THEN score END), 101) AS \"{n} s\", " + ", ".join(f"coalesce(max(CASE WHEN name = '{n}' THEN {c} END), 0) AS \"{n} {a}\"" for a, c in (("l", "p5"), ("m", "median"), ("v", "p95"))) for n in _WIDE)
+    single = [f"SELECT host, '{rule}' AS rule, '{severity}' AS severity, '{n}' AS name, '' AS entity, \"{n} s\" AS symptom_score, CAST({v} AS DOUBLE) AS value FROM w WHERE ({holds}) AND {c}" for rule, severity, holds, own, _ in _RULES_SQL for n, c, v in own]
+    many = [f"SELECT sc.host, '{rule}', '{severity}', '{prefix[:-1]}', sc.entity, sc.score, sc.p95 FROM sc JOIN w USING (host) WHERE ({holds}) AND sc.name LIKE '{prefix}%' AND {c}" for rule, severity, holds, _, each in _RULES_SQL for prefix, c in each]
+    text = "CASE WHEN c > 1 THEN c || ' occurrences over ' || {m} || 'm (peak: ' || {p} || ')' WHEN s < 60 THEN 'at ' || strftime(a, '%H:%M:%S') || ' (peak: ' || {p} || ')' ELSE strftime(a, '%H:%M:%S') || ' to ' || strftime(b, '%H:%M:%S') || ' (' || {m} || 'm, peak: ' || {p} || ')' END"
+    text = text.format(m="printf('%.0f', CAST(round(CAST(s / 60 AS DECIMAL(18, 6))) AS DOUBLE))", p="CASE WHEN metric = 'repl_lag' THEN printf('%.1fs', CAST(round(CAST(peak AS DECIMAL(18, 6)), 1) AS DOUBLE)) WHEN peak >= 1000 THEN printf('%.1fK', CAST(round(CAST(peak / 1000 AS DECIMAL(18, 6)), 1) AS DOUBLE)) ELSE printf('%.0f', CAST(round(CAST(peak AS DECIMAL(18, 6))) AS DOUBLE)) END")
+    last = "SELECT fd.host, fd.rule, severity, CAST(CASE WHEN own < 100 THEN own ELSE coalesce(worst, 100) END AS INTEGER) AS score, fd.name, fd.entity, CAST(symptom_score AS INTEGER) AS symptom_score, value, timing FROM fd JOIN kin USING (host, rule) LEFT JOIN ht ON ht.host = fd.host AND ht.name = fd.name AND ht.entity = fd.entity"
+    return f""", w AS (SELECT host, {wide} FROM sc GROUP BY host),
+fd AS ({" UNION ALL ".join(single + many)}),
+kin AS (SELECT r.host, r.rule, min(CASE WHEN contains(lower(r.rule), split_part(sc.name, '_', 1)) THEN sc.score END) AS own, min(sc.score) AS worst FROM (SELECT DISTINCT host, rule FROM fd) r JOIN sc ON sc.host = r.host AND sc.entity = '' AND sc.score < 101 GROUP BY ALL),
+hb AS (SELECT pt.*, CASE WHEN metric = 'repl_lag' THEN 5.0 ELSE 1.5 * "conns_current m" END AS bound FROM pt JOIN w USING (host) WHERE metric IN ('repl_lag', 'conns_current')),
+hr AS (SELECT *, sum(CASE WHEN value > bound THEN 0 ELSE 1 END) OVER (PARTITION BY host, metric, entity ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM hb),
+hi AS (SELECT host, metric, entity, min(ts) AS a, max(ts) AS b, max(value) AS peak, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS s FROM hr WHERE value > bound GROUP BY host, metric, entity, run),
+hs AS (SELECT host, metric, entity, count(*) AS c, sum(s) AS s, max(peak) AS peak, min(a) AS a, max(b) AS b FROM hi GROUP BY ALL),
+ht AS (SELECT host, metric AS name, entity, {text} AS timing FROM hs)
+""" + (f", fdx AS ({last})\n" if within else last)
+
+
+@query("r_diagnosis", DIAGNOSED + _findings_sql())
+def r_diagnosis(spark, d):
+    points, info = _diagnosed(spark, d)
+    found = DG.diagnosis(points, *when(), info)["findings"]
+    return found.select("host", "rule", "severity", "score", F.explode("symptoms").alias("s")).select("host", "rule", "severity", "score", "s.name", "s.entity", F.col("s.score").alias("symptom_score"), "s.value", "s.timing")
+
+
+@query("r13_is_problem", DIAGNOSED + "SELECT host, name AS metric, score < 50 AS problem, score < 101 AS known FROM sc")
+def r13(spark, d):
+    points, info = _diagnosed(spark, d)
+    return DG.scored_stats(points, *when(), info).select("host", "metric", P.is_problem(F.col("score"), 50).alias("problem"), P.is_problem(F.col("score"), 200).alias("known"))
+
+
+_MEDIAN_SQL = ", ".join(f"coalesce(max(CASE WHEN metric = '{m}' THEN median END), 0.0) AS \"{m.replace('/', '_per_')}\"" for m in A.SUMMARY_MEDIANS)
+_P95_SQL = ", ".join(f"coalesce(max(CASE WHEN metric = '{m}' THEN p95 END), 0.0) AS {m}" for m in A.SUMMARY_P95)
+_SUMMARY_COLUMNS = [m.replace("/", "_per_") for m in (*A.SUMMARY_MEDIANS, *A.SUMMARY_P95)]
+SUMMARY = DIAGNOSED + f""", sm AS (SELECT host, {_MEDIAN_SQL}, {_P95_SQL}, coalesce(max(CASE WHEN metric = 'disk_util' THEN p95 END), 0.0) AS worst_disk_util,
+  max(CASE WHEN metric = 'mem_resident' THEN median END) AS mm, max(CASE WHEN metric = 'wt_cache_used' THEN median END) AS cm FROM st GROUP BY 1),
+su AS (SELECT sm.*, ops_query + ops_insert + ops_update + ops_delete + ops_command AS ops_total, 100 * mm / (mem / CAST(1024 AS DOUBLE)) AS ram_percent, 100 * cm / cache AS cache_percent FROM sm JOIN info USING (host) JOIN fact USING (host))
+"""
+
+
+def _summary(points: DataFrame, info: DataFrame) -> DataFrame:
+    stats = A.range_percentiles(points, *when())
+    cache = T.first_value(points.where("metric = 'wt_cache_max'"), ("host",)).withColumnRenamed("value", "cache_gb")
+    return A.activity_summary(stats, info.join(cache, "host", "left"))
+
+
+@query("a8_whole_summary", SUMMARY + "SELECT host, " + ", ".join(f"round({c}, 6) AS {c}" for c in (*_SUMMARY_COLUMNS, "ops_total", "worst_disk_util", "ram_percent", "cache_percent")) + " FROM su")
+def a8_whole(spark, d):
+    found = _summary(*_diagnosed(spark, d))
+    return found.select("host", *(r6(c).alias(c) for c in found.columns if c != "host"))
+
+
 # Reports
 SPAN = 2 * 86400.0
 KEPT = V2.replace("WITH marked", "WITH RECURSIVE marked") + """, e AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY ts, seq) AS i FROM v2),
@@ -629,6 +759,19 @@ def l6(spark, d):
     return L.ticket_report(V.reported(spark, d), SPAN).select("host", us("until").alias("until"), "rows", "read_available", "write_total")
 
 
+@query("l7_automatic_span", """WITH s AS (SELECT floor(floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6) / 20) AS span FROM events) SELECT count(*) AS rows, CAST(min(gap) >= (SELECT span FROM s) AS BOOLEAN) AS apart, CAST((SELECT span FROM s) AS DOUBLE) AS span, count(DISTINCT host) AS hosts
+FROM (SELECT host, (epoch_us(ts) - epoch_us(b_ts)) / 1e6 AS gap FROM (SELECT host, ts, lag(ts) OVER (PARTITION BY host ORDER BY i) AS b_ts FROM kept))""".replace("WITH s AS", V2.replace("WITH marked", "WITH RECURSIVE marked") + """, sp AS (SELECT floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 / 20) AS span FROM events), e AS (SELECT host, ts, row_number() OVER (PARTITION BY host ORDER BY ts, seq) AS i FROM v2),
+nx AS (SELECT a.host, a.i, min(b.i) AS j FROM e a LEFT JOIN e b ON a.host = b.host AND epoch_us(b.ts) >= epoch_us(a.ts) + CAST((SELECT span FROM sp) * 1e6 AS BIGINT) GROUP BY 1, 2),
+k AS (SELECT host, CAST(1 AS BIGINT) AS i FROM e WHERE i = 1 UNION ALL SELECT k.host, nx.j FROM k JOIN nx ON k.host = nx.host AND k.i = nx.i WHERE nx.j IS NOT NULL), kept AS (SELECT e.* FROM e JOIN k USING (host, i)), s AS"""))
+def l7(spark, d):
+    samples = V.reported(spark, d)
+    kept = L.all_reports(samples)["latency"]
+    span = L.automatic_span(samples)
+    gap = (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(Window.partitionBy("host").orderBy("ts", "seq")))) / 1e6
+    rows = kept.select("host", gap.alias("gap"))
+    return rows.agg(F.count("*").alias("rows"), (F.min("gap") >= span).alias("apart"), F.lit(float(span)).alias("span"), F.countDistinct("host").alias("hosts"))
+
+
 # Redaction
 _H = "substr(sha256({0}), 1, 8)"
 HOSTS = "WITH h AS (SELECT page_id, split_part(url, '/', 3) AS host, '10.' || (page_id % 256) || '.3.' || (page_id % 100) AS ip FROM pages)\n"
@@ -780,13 +923,28 @@ def _old_new(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query("w2_reload", _W + "SELECT user_id AS host, event_id FROM events WHERE ts < TIMESTAMP '2024-01-15' UNION ALL SELECT host, event_id FROM new LEFT JOIN old USING (host) WHERE last IS NULL OR ts > last")
 def w2(spark, d):
+    base, name = scratch(spark, "reload"), "status"
     old, new = _old_new(spark, d)
-    base = scratch(spark, "reload")
-    old.write.parquet(f"{base}/store")
-    new.write.parquet(f"{base}/source")
-    for _ in range(2):  # files taken once are not taken again
-        reload(spark, f"{base}/source", f"{base}/store", f"{base}/progress", new.schema)
-    return spark.read.schema(old.schema).parquet(f"{base}/store").select("host", "event_id")
+    for part in (old, new, None):  # the third time there is no new file
+        if part is not None:
+            part.write.mode("append").parquet(f"{base}/source/{name}")
+        found = reload_tables(spark, f"{base}/source", f"{base}/store", f"{base}/progress", {name: old.schema})
+    return found[name].select("host", "event_id")
+
+
+@query("w2_reload_of_two_tables", """WITH a AS (SELECT 'clicks' AS part, user_id AS host, ts, event_id FROM events WHERE event_type = 'click' UNION ALL SELECT 'others', user_id, ts, event_id FROM events WHERE event_type <> 'click'),
+old AS (SELECT part, host, max(ts) AS last FROM a WHERE ts < TIMESTAMP '2024-01-15' GROUP BY ALL), kept AS (SELECT a.part, a.host FROM a LEFT JOIN old USING (part, host) WHERE a.ts < TIMESTAMP '2024-01-15' OR (a.ts >= TIMESTAMP '2024-01-12' AND (last IS NULL OR a.ts > last)))
+SELECT part, host, count(*) AS n FROM kept GROUP BY ALL""")
+def w2_tables(spark, d):
+    base, rows = scratch(spark, "reload"), V.events(spark, d).select(F.col("user_id").alias("host"), "ts", "event_id", "event_type")
+    at = lambda day: F.lit(day).cast("timestamp")
+    kinds = {"clicks": F.col("event_type") == "click", "others": F.col("event_type") != "click"}
+    for part in (F.col("ts") < at("2024-01-15"), F.col("ts") >= at("2024-01-12")):
+        for name, kind in kinds.items():
+            rows.where(kind & part).write.mode("append").parquet(f"{base}/source/{name}")
+        found = reload_tables(spark, f"{base}/source", f"{base}/store", f"{base}/progress", dict.fromkeys(kinds, rows.schema))
+    each = [f.groupBy(F.lit(name).alias("part"), "host").agg(F.count("*").alias("n")) for name, f in found.items()]
+    return each[0].unionByName(each[1])
 
 
 # Stored samples
@@ -827,48 +985,129 @@ def s8(spark, d):
 _HOST_OF = r"host=(\d+)/"
 
 
+def _captures(spark: SparkSession, d: str, broken: Column | None = None) -> list[str]:
+    """A folder of captures for each user, and a path that does not exist."""
+    base = FX.capture_files(spark, d, broken)
+    return [*FX.folders(spark, base), f"{base}/missing"]
+
+
 @query("s1_list_captures", "SELECT CAST(user_id AS BIGINT) AS host, 1 AS files, true AS filled FROM events GROUP BY 1")
 def s1(spark, d):
-    files = S.list_captures(spark, FX.capture_files(spark, d), prefixes=("part-",))
+    inputs = _captures(spark, d)
+    # One folder by its file, and one twice.
+    first = S.list_captures(spark, inputs[0], ("part-",)).first()["path"]
+    files = S.list_captures(spark, [first, *inputs[1:], inputs[1]], ("part-",))
     by_host = files.groupBy(F.regexp_extract("path", _HOST_OF, 1).cast("long").alias("host"))
     return by_host.agg(F.count("*").cast("int").alias("files"), F.bool_and(F.col("length") > 0).alias("filled"))
 
 
 @query("s2_latest_captures", "SELECT host FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS host FROM events) ORDER BY host DESC LIMIT 10")
 def s2(spark, d):
-    files = S.latest(S.list_captures(spark, FX.capture_files(spark, d), prefixes=("part-",)))
+    files = S.latest(S.list_captures(spark, _captures(spark, d), ("part-",)))
     return files.select(F.regexp_extract("path", _HOST_OF, 1).alias("host"))
 
 
 @query("s3_read_captures", "SELECT CAST(user_id AS BIGINT) AS host, CAST(event_id AS BIGINT) AS seq, CAST(round(value * 100) AS BIGINT) AS cents FROM events")
 def s3(spark, d):
-    chunks = S.read_captures(spark, FX.capture_files(spark, d), prefixes=("part-",))
+    chunks = S.read_captures(spark, _captures(spark, d), prefixes=("part-",))
     samples = N.explode_chunk(chunks, ["file", "chunk_no"], drop_last=False)
     return N.project_paths(samples, ["file", "chunk_no", "i"], {c: f"sample/{c}" for c in FX.COUNTERS}).select(*FX.COUNTERS)
 
 
 @query("s7_broken_captures", """SELECT CAST(user_id AS BIGINT) AS host, CASE WHEN user_id % 7 = 3 THEN count(DISTINCT CAST(ts AS DATE)) ELSE 0 END AS bad_chunks, CASE WHEN user_id % 7 = 3 THEN 0 ELSE count(*) END AS samples FROM events GROUP BY user_id""")
 def s7(spark, d):
-    folder = FX.capture_files(spark, d, broken=F.col("host") % 7 == 3)
-    chunks = S.read_captures(spark, folder, paths=["sample/seq"], mode="DROPMALFORMED", prefixes=("part-",))
+    inputs = _captures(spark, d, F.col("host") % 7 == 3)
+    chunks = S.read_captures(spark, inputs, paths=["sample/seq"], mode="DROPMALFORMED", prefixes=("part-",))
     by_host = chunks.groupBy(F.regexp_extract("file", _HOST_OF, 1).cast("long").alias("host"))
     return by_host.agg(F.count("_corrupt").alias("bad_chunks"), F.coalesce(F.sum(F.size("values")), F.lit(0)).cast("long").alias("samples"))
 
 
-@query("s9_report_tables", STATS + """SELECT 'header' AS part, CAST(count(DISTINCT host) AS BIGINT) AS a, CAST(count(*) AS BIGINT) AS b FROM st
-UNION ALL SELECT 'stats', CAST(sum(host) AS BIGINT), CAST(sum(n) AS BIGINT) FROM st UNION ALL SELECT 'summary', CAST(count(*) AS BIGINT), CAST(min(host) AS BIGINT) FROM (SELECT DISTINCT host FROM st)""")
+@query("s7_loaded_captures", """WITH h AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), c AS (SELECT count(DISTINCT (user_id, CAST(ts AS DATE))) FILTER (user_id % 7 = 3) AS failed, max(CAST(user_id AS VARCHAR)) FILTER (user_id % 7 = 3) AS last FROM events)
+SELECT CAST(user_id AS BIGINT) AS host, n AS samples, failed, last FROM h CROSS JOIN c WHERE user_id % 7 <> 3""")
+def s7_load(spark, d):
+    path = scratch(spark, "loaded")
+    told = S.load_captures(spark, _captures(spark, d, F.col("host") % 7 == 3), path, ["sample/seq"], ("part-",))
+    by_host = spark.read.parquet(f"{path}/samples").groupBy(F.regexp_extract("file", _HOST_OF, 1).cast("long").alias("host")).agg(F.sum(F.size("values")).cast("long").alias("samples"))
+    return by_host.withColumns({"failed": F.lit(told["failed_chunks"]).cast("long"), "last": F.regexp_extract(F.lit(told["last_file"]), _HOST_OF, 1)})
+
+
+@query("s9_report_tables", SUMMARY + _findings_sql("fdx") + """, an AS (SELECT host, metric, entity, a AS start, peak, s FROM hi WHERE metric = 'repl_lag' AND s >= 10)
+SELECT 'header' AS part, CAST(count(DISTINCT host) AS BIGINT) AS a, CAST(count(*) AS BIGINT) AS b, 0.0 AS c FROM sc
+UNION ALL SELECT 'stats', CAST(sum(host) AS BIGINT), CAST(sum(score) AS BIGINT), CAST(sum(p95) AS DOUBLE) FROM sc
+UNION ALL SELECT 'summary', CAST(sum(host) AS BIGINT), count(*), round(sum(ops_total), 3) FROM su
+UNION ALL SELECT 'findings', CAST(sum(host) AS BIGINT), CAST(sum(symptom_score) AS BIGINT), round(sum(value), 3) FROM fdx
+UNION ALL SELECT 'timeline', CAST(sum(host) AS BIGINT), CAST(max(greatest(0, (SELECT count(*) FROM an) - 10)) AS BIGINT), round(sum(peak), 3) FROM (SELECT * FROM an ORDER BY start, metric, entity, host LIMIT 10)""")
 def s9(spark, d):
-    points = M.status_points(V.status_samples(spark, d))
-    folder = scratch(spark, "report")
-    DG.compute_stats(points, *when(), _info(spark, d)).write.parquet(f"{folder}/computed")
-    stats = spark.read.parquet(f"{folder}/computed")
-    tables = L.report(stats, I.anomalies(points, I.thresholds_table(spark)), stats.select("host").limit(0), stats.select("host").distinct())
-    for name in ("header", "stats", "summary"):
-        tables[name].write.parquet(f"{folder}/{name}")
-    read = {name: spark.read.parquet(f"{folder}/{name}") for name in ("header", "stats", "summary")}
-    header = read["header"].select(F.lit("header").alias("part"), F.col("hosts").alias("a"), F.col("metrics").alias("b"))
-    sums = read["stats"].agg(F.sum("host").alias("a"), F.sum("n").alias("b")).select(F.lit("stats").alias("part"), "a", "b")
-    return header.union(sums).union(read["summary"].agg(F.count("*").alias("a"), F.min("host").alias("b")).select(F.lit("summary"), "a", "b"))
+    points, info = _diagnosed(spark, d)
+    lag = I.thresholds_table(spark).where("metric = 'repl_lag'")
+    made = DG.diagnosis(points, *when(), info, thresholds=lag)
+    folder, names = scratch(spark, "report"), ("header", "summary", "timeline", "findings", "stats")
+    L.save_report(L.report(made["stats"], made["anomalies"], made["findings"], _summary(points, info)), folder)
+    read = {name: spark.read.parquet(f"{folder}/{name}") for name in names}
+    sums = {
+        "header": ("hosts", "metrics", F.lit(0.0)), "stats": ("host", "score", F.col("p95")), "summary": ("host", F.lit(1), F.col("ops_total")),
+        "findings": ("host", "symptoms.score", F.col("symptoms.value")), "timeline": ("host", "left_out", F.col("peak")),
+    }
+    read["findings"] = read["findings"].withColumn("symptoms", F.explode("symptoms"))
+    rows = []
+    for name, (a, b, c) in sums.items():
+        second = F.max(b) if name == "timeline" else F.sum(b)
+        rows.append(read[name].agg(F.sum(a).cast("long").alias("a"), second.cast("long").alias("b"), F.round(F.sum(c), 3).cast("double").alias("c")).select(F.lit(name).alias("part"), "a", "b", "c"))
+    return reduce(DataFrame.union, rows)
+
+
+# Documents of unknown schema
+_SHAPES = """CASE event_id % 4 WHEN 0 THEN '{"u":' || user_id || ',"t":"' || event_type || '","n":{"v":' || event_id || '.75,"list":[1,"x",{"deep":' || user_id || '},true,null]}}'
+  WHEN 1 THEN '{"u":"' || user_id || '","a/b":1,"a":{"b":' || event_id || '},"big":' || event_id || '123456789012345678901}' WHEN 2 THEN '[' || event_id || ',{"x":[' || user_id || ',-2.5]},[[' || event_id || ']]]' ELSE '{"k":' || event_id || ',"k":"again","o":{"z":' || user_id || ',"z":7}}' END"""
+_SHAPE_PATHS = {
+    0: (("u", "user_id"), ("n/v", "event_id"), ("n/list/0", "1"), ("n/list/2/deep", "user_id"), ("n/list/3", "1")), 1: (("a/b", "{first}"),),
+    2: (("0", "event_id"), ("1/x/0", "user_id"), ("1/x/1", "-2"), ("2/0/0", "event_id")), 3: (("k", "event_id"), ("o/z", "user_id")),
+}
+
+
+def _shapes(spark: SparkSession, d: str, kinds: str = "true") -> DataFrame:
+    return V.events(spark, d).where(kinds).select("event_id", F.expr(_SHAPES).alias("text"))
+
+
+def _shape_sql(first: str, kinds: tuple[int, ...]) -> str:
+    return " UNION ALL ".join(f"SELECT event_id, '{p}' AS path, CAST({v.format(first=first)} AS BIGINT) AS value FROM events WHERE event_id % 4 = {k}" for k in kinds for p, v in _SHAPE_PATHS[k])
+
+
+@query("n1_flatten_text_documents", _shape_sql("1", (0, 1, 2, 3)))
+def n1_text(spark, d):
+    return N1.flatten_documents(_shapes(spark, d), "text", ["event_id"])
+
+
+@query("n1_flatten_variant_documents", _shape_sql("event_id", (0, 1, 2)))
+def n1_variant(spark, d):
+    # Members of a VARIANT are in the order of their names, so here "a" comes before "a/b"; it has no key twice.
+    return N1.flatten_documents(_shapes(spark, d, "event_id % 4 < 3").withColumn("document", F.parse_json("text")), "document", ["event_id"])
+
+
+_NESTED = """CASE page_id % 3 WHEN 0 THEN '{"hostInfo":{"hostname":"' || host || '","n":' || page_id || '},"note":"' || ip || '"}'
+  WHEN 1 THEN '{"members":[{"name":"' || host || ':1","state":1},{"name":"Linux"}],"primary":["' || host || '",["' || host || '"]],"comment":"' || host || '"}' ELSE '{"repl":{"setName":"' || host || '","ok":true,"x":null},"dbPath":"/srv/shard-1/x"}' END"""
+
+
+@query("x8_redact_documents", HOSTS + f"""SELECT page_id, coalesce(CASE page_id % 3 WHEN 0 THEN 'host-' || {_H.format('host')} || '.local|' || page_id || '|' || {_ip_sql('ip')}
+  WHEN 1 THEN 'host-' || {_H.format('host')} || '.local:1|Linux|host-' || {_H.format('host')} || '.local|host-' || {_H.format('host')} || '.local|' || host
+  ELSE 'rs-' || {_H.format('host')} || '|true|/srv/server-' || {_H.format("'shard-1'")} || '/x' END, '') AS v FROM h""")
+def x8_documents(spark, d):
+    rows = _hosts(spark, d).select("page_id", F.expr(_NESTED).alias("document"))
+    done = N1.redact_documents(rows, "document")
+    at = lambda *paths: F.concat_ws("|", *(F.get_json_object("document", p) for p in paths))
+    kind = F.col("page_id") % 3
+    return done.select("page_id", F.when(kind == 0, at("$.hostInfo.hostname", "$.hostInfo.n", "$.note")).when(kind == 1, at("$.members[0].name", "$.members[1].name", "$.primary[0]", "$.primary[1][0]", "$.comment")).otherwise(at("$.repl.setName", "$.repl.ok", "$.dbPath")).alias("v"))
+
+
+@query("x10_redacted_document_tree", HOSTS + f"SELECT page_id % 64 AS part, count(*) AS lines, count(*) FILTER (page_id % 3 = 2) AS sets, CAST(0 AS BIGINT) AS clear FROM h WHERE page_id % 64 % 9 <> 4 GROUP BY 1")
+def x10_documents(spark, d):
+    rows = _hosts(spark, d).select((F.col("page_id") % 64).alias("part"), F.expr(_NESTED).alias("value"))
+    folder, out = FX.text_tree(rows, "document-tree", "part", F.col("part") % 9 == 4), scratch(spark, "redacted")
+    N1.redact_document_tree(spark, folder, out)
+    # No name is left in clear; comments are not among what is redacted.
+    clear = F.regexp_replace("document", '"comment":"[^"]*"', "").rlike(r"example\.(com|org|net)")
+    done = spark.read.parquet(out).groupBy(F.regexp_extract("file", r"part=(\d+)/", 1).cast("long").alias("part"))
+    return done.agg(F.count("*").alias("lines"), F.count_if(F.get_json_object("document", "$.repl.setName").startswith("rs-")).alias("sets"), F.count_if(clear).alias("clear"))
 
 
 @query("x10_redacted_tree", HOSTS + f"SELECT page_id, 'host-' || {_H.format('host')} || '.local' AS hostname, host AS comment FROM h WHERE page_id % 64 % 9 <> 4")

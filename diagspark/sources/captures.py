@@ -2,23 +2,41 @@
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 CAPTURE_PREFIXES = ("metrics.",)
 
 
-def list_captures(spark: SparkSession, folder: str, prefixes: Sequence[str] = CAPTURE_PREFIXES) -> DataFrame:
-    """path, length of the capture files directly in a folder, by path."""
-    pattern = "{" + ",".join(f"{p}*" for p in prefixes) + "}"
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    return files.select("path", "length").orderBy("path")
+def list_captures(spark: SparkSession, inputs: str | Sequence[str], prefixes: Sequence[str] = CAPTURE_PREFIXES) -> DataFrame:
+    """path, length of the capture files among files and directly in folders, by path.
+
+    A file, named or found, counts if its name begins with one of ``prefixes``;
+    inputs that do not exist or cannot be read are left out, and one that is
+    named twice counts once.
+    """
+    fs = spark._jvm.org.apache.hadoop.fs
+    found: dict[str, int] = {}
+    for name in [inputs] if isinstance(inputs, str) else inputs:
+        try:
+            path = fs.Path(name)
+            files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+            own = files.getFileStatus(path)
+            listed = files.listStatus(path) if own.isDirectory() else [own]
+        except Py4JJavaError:
+            continue
+        for status in listed:
+            if not status.isDirectory() and status.getPath().getName().startswith(tuple(prefixes)):
+                found[status.getPath().toString()] = status.getLen()
+    return spark.createDataFrame(sorted(found.items()), "path string, length long").orderBy("path")
 
 
 def latest(files: DataFrame, n: int = 10) -> DataFrame:
@@ -134,14 +152,21 @@ def frames(data: bytes) -> Iterator[tuple[int, int, bytes]]:
         at += size
 
 
-def read_captures(spark: SparkSession, folder: str, paths: Sequence[str] | None = None, mode: str = "FAILFAST", prefixes: Sequence[str] = CAPTURE_PREFIXES) -> DataFrame:
-    """file, chunk_no, path, values array<bigint>, _corrupt of every chunk in a folder's captures.
+def _binary(spark: SparkSession, inputs: str | Sequence[str], prefixes: Sequence[str]) -> DataFrame:
+    """path, content of the capture files among the inputs. The driver lists the files, as Spark does for any source."""
+    listed = [r["path"] for r in list_captures(spark, inputs, prefixes).collect()]
+    if not listed:
+        return spark.createDataFrame([], "path string, content binary")
+    return spark.read.format("binaryFile").load(listed).select("path", "content")
+
+
+def read_captures(spark: SparkSession, inputs: str | Sequence[str], paths: Sequence[str] | None = None, mode: str = "FAILFAST", prefixes: Sequence[str] = CAPTURE_PREFIXES) -> DataFrame:
+    """file, chunk_no, path, values array<bigint>, _corrupt of every chunk in the captures of files and folders.
 
     ``paths`` keeps only some counters. A chunk that cannot be read fails the
     job, or with ``mode='DROPMALFORMED'`` gives a row whose _corrupt says why.
     """
-    pattern = "{" + ",".join(f"{p}*" for p in prefixes) + "}"
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content")
+    files = _binary(spark, inputs, prefixes)
     wanted = set(paths) if paths is not None else None
     strict = mode == "FAILFAST"
 
@@ -179,3 +204,67 @@ def read_captures(spark: SparkSession, folder: str, paths: Sequence[str] | None
     # Chunks of one large file are decoded in many tasks.
     dealt = chunks.repartition("file", "chunk_no")
     return dealt.mapInArrow(decoded, "file string, chunk_no int, path string, values array<bigint>, _corrupt string")
+
+
+def load_captures(spark: SparkSession, inputs: str | Sequence[str], path: str, paths: Sequence[str] | None = None, prefixes: Sequence[str] = CAPTURE_PREFIXES) -> dict[str, object]:
+    """Write the samples of all captures that can be read whole, as Parquet; then say what went wrong.
+
+    A file with a chunk that cannot be read is left out. The result has
+    ``failed_chunks``, and ``last_file`` and ``last_error`` of the last such
+    file by name (None if all are good), taken from the run that decodes, so
+    nothing is read twice.
+    """
+    seen = Observation("captures")
+    why = F.when(F.col("_corrupt").isNotNull(), F.struct("file", F.col("_corrupt").alias("error")))
+    chunks = read_captures(spark, inputs, paths, "DROPMALFORMED", prefixes)
+    chunks.observe(seen, F.count("_corrupt").alias("failed"), F.max(why).alias("last")).write.parquet(f"{path}/chunks")
+    whole = spark.read.parquet(f"{path}/chunks")
+    bad = whole.where("_corrupt is not null").select("file").distinct()
+    whole.join(bad, "file", "left_anti").drop("_corrupt").write.parquet(f"{path}/samples")
+    last = seen.get["last"]
+    return {"failed_chunks": seen.get["failed"], "last_file": last and last["file"], "last_error": last and last["error"]}
+
+
+def _json(data: bytes, is_list: bool = False) -> object:
+    """A document as objects and lists of Python; times are milliseconds, identifiers and bytes are in hex."""
+    out: list[tuple[str, object]] = []
+    for name, kind, value in _document(data):
+        if kind in (0x03, 0x04):
+            out.append((name, _json(value, kind == 0x04)))
+        elif kind == 0x08:
+            out.append((name, bool(value)))
+        elif kind == 0x11:
+            out.append((name, {"t": value >> 32, "i": value & 0xFFFFFFFF}))
+        elif isinstance(value, bytes):
+            out.append((name, value.hex()))
+        else:
+            out.append((name, value))
+    return [v for _, v in out] if is_list else dict(reversed(out))
+
+
+def capture_documents(spark: SparkSession, inputs: str | Sequence[str], prefixes: Sequence[str] = CAPTURE_PREFIXES) -> DataFrame:
+    """file, position, kind, document, _corrupt: the plain documents of captures as JSON text.
+
+    ``kind`` is ``metadata`` for a metadata document and ``sample`` for the
+    first document of a chunk, which holds the names and texts that the chunk's
+    samples share. A file that cannot be read gives a row whose _corrupt says why.
+    """
+    files = _binary(spark, inputs, prefixes)
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                rows: list[tuple] = []
+                try:
+                    for position, (_, kind, body) in enumerate(frames(content.as_py())):
+                        if kind == 1:
+                            raw = zlib.decompress(body[4:])
+                            body = raw[: struct.unpack_from("<I", raw)[0]]
+                        rows.append((file, position, "sample" if kind else "metadata", json.dumps(_json(body)), None))
+                except (ValueError, struct.error, zlib.error) as e:
+                    rows = [(file, -1, None, None, str(e))]
+                if rows:
+                    columns = zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()), strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], ["file", "position", "kind", "document", "_corrupt"])
+
+    return files.mapInArrow(told, "file string, position int, kind string, document string, _corrupt string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +15,8 @@ def read_json_samples(spark: SparkSession, path: str, status: T.DataType | str,
     The first line of a cycle is an array of statuses, the second of replica
     statuses; the third line of a file is its server information. A last line
     without a line end is dropped; rows carry file and line. A file of fewer
-    than three lines has its first status' version as information.
+    than three lines has its first status' version as information. A file is one
+    row while it is split, so it has to stay under 2 GB.
     """
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", "\n").alias("lines"))
     complete = F.slice("lines", F.lit(1), F.greatest(F.size("lines") - 1, F.lit(0)))
@@ -37,9 +40,23 @@ def member_samples(statuses: DataFrame, column: str = "members") -> DataFrame:
 
 
 def save_points(points: DataFrame, path: str) -> None:
-    """Write series as Parquet, dealt by host and metric so that a query reads only what it asks for."""
-    points.repartition("host", "metric").write.mode("overwrite").partitionBy("host", "metric").parquet(path)
-
+    """Write series as Parquet, in order of host, metric, entity and time; the path must not exist.
 
-def load_points(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    Files are ranges of that order and grow with the bytes, not with the number
+    of series, so a filter on host and metric (and a time range) leaves out all row
+    groups but a few by their bounds, and by bloom filters.
+    """
+    order = [c for c in ("host", "metric", "entity", "ts", "seq") if c in points.columns]
+    writer = points.repartitionByRange(*order).sortWithinPartitions(*order).write
+    for column in ("host", "metric"):
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+    writer.parquet(path)
+
+
+def load_points(spark: SparkSession, path: str, hosts: Sequence | None = None, metrics: Sequence[str] | None = None) -> DataFrame:
+    """Stored series, of some hosts or metrics only if they are named."""
+    found = spark.read.parquet(path)
+    for column, wanted in (("host", hosts), ("metric", metrics)):
+        if wanted is not None:
+            found = found.where(F.col(column).isin(*wanted))
+    return found

@@ -161,16 +161,32 @@ def test_runs_are_maximal(spark):
     assert sorted((r["start"], r["peak"]) for r in low) == [(at(0), 1), (at(3), 1)]
 
 
+SCORED = "host string, metric string, score int, p5 double, median double, p95 double"
+
+
 def test_rules(spark):
     rows = [("h", "conns_current", 60, 0.0, 0.0, 900.0), ("h", "mem_resident", 40, 0.0, 0.0, 88.0), ("h", "repl_lag_host-1", 10, 0.0, 0.0, 28.0), ("h", "cpu_user", 100, 0.0, 0.0, 1.0), ("g", "cpu_user", 20, 0.0, 0.0, 66.0), ("g", "tcmalloc_fragmentation", 0, 0.0, 0.0, 70.0)]
-    found = R.diagnose(spark.createDataFrame(rows, "host string, metric string, score int, p5 double, median double, p95 double")).collect()
+    found = R.diagnose(spark.createDataFrame(rows, SCORED)).collect()
+    # Members' lag supports a finding, but a rule's score comes from the server's own metrics.
     assert [(r["host"], r["rule"], r["severity"], r["score"]) for r in found] == [
-        ("g", "CPU Saturation", "warning", 20), ("g", "Memory Fragmentation", "info", 0), ("h", "Replication Lag Issues", "critical", 10), ("h", "Connection Pool Misconfiguration", "warning", 10),
+        ("g", "CPU Saturation", "warning", 20), ("g", "Memory Fragmentation", "info", 0), ("h", "Replication Lag Issues", "critical", 40), ("h", "Connection Pool Misconfiguration", "warning", 40),
     ]
-    assert {s["name"]: s["value"] for s in found[2]["symptoms"]} == {"repl_lag": 28.0}
+    assert [tuple(s) for s in found[2]["symptoms"]] == [("repl_lag", "host-1", 10, 28.0)]
     assert {s["name"] for s in found[3]["symptoms"]} == {"conns_current", "mem_resident"}
     own = R.Rule("Mine", "info", "", R.Metrics().score("cpu_user") < 50, [("u", F.lit(True), R.Metrics().value("cpu_user"))])
-    assert [r["host"] for r in R.diagnose(spark.createDataFrame(rows, "host string, metric string, score int, p5 double, median double, p95 double"), [own]).collect()] == ["g"]
+    assert [r["host"] for r in R.diagnose(spark.createDataFrame(rows, SCORED), [own]).collect()] == ["g"]
+
+
+def test_every_disk_and_member_is_a_symptom(spark):
+    rows = [("h", f"disku_{d}", s, 0.0, 0.0, v) for d, s, v in (("sdb", 0, 93.0), ("sda", 0, 97.0), ("sdc", 60, 66.0))]
+    rows += [("h", f"repl_lag_host-{i}", s, 0.0, 0.0, v) for i, s, v in ((2, 0, 40.0), (0, 4, 29.0), (1, 100, 1.0), (3, 100, 0.0), (4, 101, 9.0))]
+    rows += [("h", "iops_sda", 10, 0.0, 0.0, 500.0), ("h", "cpu_user", 80, 0.0, 0.0, 55.0), ("h", "mem_page_faults", 30, 0.0, 0.0, 17.0)]
+    found = {r["rule"]: r for r in R.diagnose(spark.createDataFrame(rows, SCORED)).collect()}
+    shown = lambda rule: [(s["name"], s["entity"], s["value"]) for s in found[rule]["symptoms"]]
+    assert shown("Disk I/O Bottleneck") == [("disku", "sda", 97), ("disku", "sdb", 93), ("iops", "sda", 500)]
+    assert shown("Replication Lag Issues") == [("repl_lag", "host-0", 29), ("repl_lag", "host-1", 1), ("repl_lag", "host-2", 40)]
+    assert shown("Working Set Exceeds RAM") == [("mem_page_faults", "", 17), ("disku", "sda", 97), ("disku", "sdb", 93)]
+    assert {r["score"] for r in found.values()} == {30}
 
 
 def test_redaction_truth_tables(spark):
@@ -208,8 +224,32 @@ def test_append_takes_only_later_rows(spark, tmp_path):
     S.reload(spark, source, store, f"{tmp_path}/check", schema)
     rows((2, 9), (3, 4)).coalesce(1).write.mode("append").parquet(source)
     S.reload(spark, source, store, f"{tmp_path}/check", schema)
-    S.reload(spark, source, store, f"{tmp_path}/check", schema)
-    assert sorted(r["v"] for r in spark.read.parquet(store).collect()) == [1, 2, 4]
+    assert sorted(r["v"] for r in S.reload(spark, source, store, f"{tmp_path}/check", schema).collect()) == [1, 2, 4]
+
+
+def test_a_repeated_batch_adds_nothing(spark, tmp_path):
+    schema = "host string, ts timestamp, v long"
+    rows = lambda *xs: spark.createDataFrame([(h, at(t), v) for h, t, v in xs], schema)
+    store = S.Store(spark, f"{tmp_path}/store")
+    first, second, third = rows(("a", 1, 1), ("b", 5, 2)), rows(("a", 1, 3), ("a", 2, 4), ("b", 4, 5), ("c", 0, 6)), rows(("c", 0, 7), ("c", 1, 8))
+    for number, batch in enumerate((first, second, second, third)):
+        store.take(batch, min(number, 1) if number < 3 else 2)
+    assert sorted(r["v"] for r in store.rows().collect()) == [1, 2, 4, 6, 8]
+    assert {r["host"]: r["__last"] for r in spark.read.parquet(f"{store.path}/last/batch=2").collect()} == {"a": at(2), "b": at(5), "c": at(1)}
+
+
+def test_a_batch_reads_no_stored_sample(spark, tmp_path, monkeypatch):
+    """Of the rows, only those that the batch itself has written are read."""
+    schema = "host string, ts timestamp, v long"
+    store = S.Store(spark, f"{tmp_path}/store")
+    for n in range(3):
+        store.take(spark.createDataFrame([("a", at(n), n)], schema), n)
+    files = lambda n: list((tmp_path / f"store/rows/batch={n}").glob("*.parquet"))
+    for n in (0, 1, 2):
+        for f in files(n):
+            f.unlink()  # the next batch works without them
+    store.take(spark.createDataFrame([("a", at(2), 8), ("a", at(3), 9)], schema), 3)
+    assert [r["v"] for r in spark.read.parquet(f"{store.path}/rows/batch=3").collect()] == [9]
 
 
 def test_catalogue_and_diagnosis(spark):
@@ -246,9 +286,9 @@ def test_diagnosis_says_when(spark):
     points = spark.createDataFrame(rows, "host string, metric string, entity string, ts timestamp, seq long, value double")
     info = spark.createDataFrame([("h", 1024, 4)], "host string, mem_size_mb int, num_cores int")
     found = diagnosis(points, F.lit(begin), F.lit(begin + dt.timedelta(hours=1)), info)
-    texts = {s["name"]: s["timing"] for r in found["findings"].collect() for s in r["symptoms"]}
+    texts = {s["name"] + s["entity"]: s["timing"] for r in found["findings"].collect() for s in r["symptoms"]}
     assert texts["conns_current"] == "00:01:40 to 00:02:39 (1m, peak: 900)" or texts["conns_current"].startswith("at 00:01:40")
-    assert "host-1" in texts["repl_lag"]
+    assert texts["repl_laghost-1"].startswith("00:03:20 to 00:04:59") and "peak: 60.0s" in texts["repl_laghost-1"]
     assert {r["label"] for r in found["anomalies"].collect()} == {"> 5s"}
 
 
@@ -263,3 +303,117 @@ def test_map_keys_reach_lists_and_maps(spark):
     r = redact(row).first()
     assert r["lists"]["primary"][0].startswith("host-") and r["maps"]["x"]["Host"][0][0].startswith("host-")
     assert r["structs"]["me"][0]["note"] == "db3.example.com" and r["structs"]["me"][0]["setName"].startswith("rs-")
+
+
+def walked(times, span):
+    """The greedy rows, one after the other."""
+    kept = []
+    for t in times:
+        if not kept or t - kept[-1] >= span:
+            kept.append(t)
+    return kept
+
+
+@pytest.mark.parametrize("span", [1.0, 40.0, 1000.0, 90_000.0])
+def test_thinning_by_stretches_equals_the_walk(spark, span):
+    rng = random.Random(int(span))
+    rows = []
+    for host in ("a", "b", None):
+        t = rng.uniform(0, 5000)
+        for i in range(400):
+            # Dense stretches, gaps of hours and of several days, and equal times.
+            t += rng.choice((0, 0.5, 1, 30, 70, 700, 30_000 if i % 9 == 0 else 2, 400_000 if i % 50 == 0 else 3))
+            rows.append((host, at(round(t, 3)), i, round(t, 3)))
+    frame = spark.createDataFrame(rows, "host string, ts timestamp, seq long, t double").repartition(5)
+    for keep_last in (False, True):
+        found = sorted((r["host"] or "", r["t"]) for r in T.thin(frame, span, keep_last=keep_last).collect())
+        want = []
+        for host in ("a", "b", None):
+            times = [r[3] for r in rows if r[0] == host]
+            kept = walked(times, span)
+            last_seq_kept = kept[-1] == times[-1] and times[-2:-1] != times[-1:]
+            want += [(host or "", t) for t in kept + ([times[-1]] if keep_last and not last_seq_kept else [])]
+        assert found == sorted(want)
+
+
+def test_outlets_of_a_stretch():
+    from diagspark.operators.thinning import outlets
+
+    rng = random.Random(2)
+    for _ in range(200):
+        times = sorted(rng.randint(1000, 1400) for _ in range(rng.randint(1, 60)))
+        pairs = outlets(iter(times), 1000, 50)
+        for before in range(900, 1000, 7):
+            entry = next((f for f, _ in pairs if f >= before + 50), None)
+            kept = walked([t for t in times if t >= before + 50], 50)
+            assert (dict(pairs)[entry] if entry is not None else None) == (kept[-1] if kept else None)
+        assert dict(pairs)[times[0]] == walked(times, 50)[-1]
+
+
+def test_slice_reads_only_its_times(spark, tmp_path):
+    rows = [("h", m, "", at(60 * i), i, float(i)) for m in "ab" for i in range(500)]
+    spark.createDataFrame(rows, "host string, metric string, entity string, ts timestamp, seq long, value double").write.parquet(f"{tmp_path}/points")
+    points = spark.read.parquet(f"{tmp_path}/points")
+    cut = T.slice_range(points, F.lit(at(600)), F.lit(at(6000)))
+    assert sorted((r["metric"], r["seq"], r["n"], r["total"]) for r in cut.collect()) == [(m, i, i - 10, 90) for m in "ab" for i in range(10, 100)]
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert scans and all("LessThanOrEqual(ts," in line for line in scans)
+    assert any("subquery" in line for line in scans)
+
+
+@pytest.mark.parametrize("ranges", [2, 7, 256])
+def test_rank_selection_equals_the_whole_order(spark, ranges):
+    rng = random.Random(ranges)
+    rows = [(k, v) for k, n, make in (("few", 3, lambda: rng.random()), ("one", 1, lambda: 5.0), ("ties", 900, lambda: float(rng.randint(0, 3))), ("many", 5000, lambda: rng.gauss(0, 1e6)), ("odd", 50, lambda: rng.choice((None, 1e300, -1.0)))) for v in (make() for _ in range(n))]
+    frame = spark.createDataFrame(rows, "metric string, value double").repartition(4)
+    plain = {r["metric"]: tuple(r) for r in A.index_percentiles(frame, ["metric"]).collect()}
+    assert {r["metric"]: tuple(r) for r in A.rank_percentiles(frame, ["metric"], ranges).collect()} == plain and plain["many"][1] == 5000
+
+
+DOCUMENTS = [
+    '{"b":true,"f":-2.9,"s":"5","n":null,"l":[{"x":5},[6,"7",{"y":[]}]],"m":{"a/b":3}}', '{"k":1,"k":2,"o":{"z":"x","z":4,"z":5}}', "7", '"7"', "[]", "{}", '{"e":1e30,"d":12345678901234567890123,"ok":9223372036854775807}',
+    "not json", None, "", '{"q":"{\\"x\\":[1]}","u":"\u00e9","w":{"\u00e9":8}}', "[[[[[[[[[[12]]]]]]]]]]",
+]
+PATHS = [
+    {"b": 1, "f": -2, "l/0/x": 5, "l/1/0": 6, "m/a/b": 3}, {"k": 1, "o/z": 4}, {"": 7}, {}, {}, {}, {"ok": 9223372036854775807},
+    {}, {}, {}, {"w/\u00e9": 8}, {"/".join("0" * 10): 12},
+]
+
+
+def test_numeric_paths_of_any_document(spark):
+    from diagspark.operators.documents import flatten_documents
+
+    frame = spark.createDataFrame(list(enumerate(DOCUMENTS)), "i int, text string")
+    for source, column in ((frame, "text"), (frame.where("i <> 1").withColumn("v", F.try_parse_json("text")), "v")):
+        found = [{} for _ in DOCUMENTS]
+        for r in flatten_documents(source, column, ["i"]).collect():
+            assert r["path"] not in found[r["i"]]
+            found[r["i"]][r["path"]] = r["value"]
+        assert found == [p if column == "text" or i != 1 else {} for i, p in enumerate(PATHS)]
+
+
+def test_redaction_of_any_document(spark):
+    import json
+
+    from diagspark.operators.documents import redact_documents
+
+    clear = {"host": "db1.example.com", "n": 1, "members": [{"name": "db2.example.com:27017", "tags": {"primary": ["db3.example.com", ["db4.example.com"], {"note": "db5"}]}}, None, 2.5, False], "at": "10.0.0.1", "empty": {}, "none": []}
+    frame = spark.createDataFrame([(1, json.dumps(clear)), (2, "[1]"), (3, '"x"'), (4, "{"), (5, None)], "i int, d string")
+    done = {r["i"]: r["d"] for r in redact_documents(frame, "d").collect()}
+    assert done[2] == "[1]" and done[3] == '"x"' and done[4] is None and done[5] is None
+    found = json.loads(done[1])
+    one = found["members"][0]
+    assert found["host"].startswith("host-") and found["n"] == 1 and one["name"].startswith("host-") and one["name"].endswith(".local:27017") and found["at"].startswith("10.") and found["at"] != "10.0.0.1"
+    assert one["tags"]["primary"][0].startswith("host-") and one["tags"]["primary"][1][0].startswith("host-") and one["tags"]["primary"][2] == {"note": "db5"}
+    assert found["members"][1:] == [None, 2.5, False] and found["empty"] == {} and found["none"] == [] and "example.com" not in done[1]
+    typed = redact_documents(frame.where("i < 3").withColumn("d", F.parse_json("d")), "d")
+    assert typed.schema["d"].dataType.simpleString() == "variant" and {r["j"] for r in typed.select(F.to_json("d").alias("j")).collect()} == {done[1], done[2]}
+
+
+def test_automatic_span_and_saved_report(spark, tmp_path):
+    from diagspark.operators import reports as L
+
+    assert L.automatic_span(samples(spark, [(0, 1, 1), (205, 2, 2)])) == 10
+    L.save_report({"stats": spark.range(3)}, f"{tmp_path}/r", "json")
+    assert spark.read.json(f"{tmp_path}/r/stats").count() == 3

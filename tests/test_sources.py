@@ -111,10 +111,66 @@ def test_json_samples(spark, tmp_path):
     assert J.server_info(found["info"], "struct<version:string>").collect() == [("7",)]
 
 
-def test_points_are_stored_by_host_and_metric(spark, tmp_path):
-    points = spark.range(6).select((F.col("id") % 2).cast("string").alias("host"), F.concat(F.lit("m"), F.col("id") % 3).alias("metric"), F.col("id").alias("value"))
+def test_stored_points_grow_by_bytes_and_are_pruned(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    points = spark.range(60_000).select((F.col("id") % 20).cast("string").alias("host"), F.concat(F.lit("m"), F.col("id") % 30).alias("metric"), F.lit("").alias("entity"), F.timestamp_seconds("id").alias("ts"), F.col("id").alias("seq"), F.rand(1).alias("value"))
     J.save_points(points, f"{tmp_path}/p")
-    assert J.load_points(spark, f"{tmp_path}/p").where("metric = 'm1'").count() == 2
+    files = sorted((tmp_path / "p").glob("*.parquet"))
+    assert len(files) <= 8  # not one for each of 60 series
+    read = J.load_points(spark, f"{tmp_path}/p", hosts=["7"], metrics=["m17"])
+    assert read.count() == 1000
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(host, [7]), In(metric, [m17])" in plan or "EqualTo(host,7)" in plan
+    # Ranges of row groups do not overlap in host, but at their edges.
+    bounds = []
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        bounds += [(c.statistics.min, c.statistics.max) for g in range(meta.num_row_groups) for c in [meta.row_group(g).column(0)]]
+    assert sum(low <= "7" <= high for low, high in bounds) <= 2
+    with pytest.raises(Exception, match="ALREADY_EXISTS|already exists"):
+        J.save_points(points, f"{tmp_path}/p")
+
+
+def test_inputs_may_be_files_folders_and_missing(spark, folder, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "metrics.z").write_bytes(capture(chunk(FIRST, COLUMNS)))
+    (tmp_path / "metrics.folder").mkdir()
+    names = lambda inputs: [r["path"].rsplit("/", 1)[1] for r in S.list_captures(spark, inputs).collect()]
+    assert names([f"{folder}/sub", f"{folder}/none", f"{folder}/metrics.b", f"{folder}/other.c"]) == ["metrics.b", "metrics.z"]
+    assert names([folder, f"{folder}/metrics.a"]) == ["metrics.a", "metrics.b"]
+    assert names([f"{folder}/none"]) == [] and S.read_captures(spark, f"{folder}/none").collect() == []
+    assert S.read_captures(spark, [f"{folder}/sub", f"{folder}/metrics.a"], ["serverStatus/uptime"]).count() == 2
+
+
+def test_good_captures_are_loaded_and_the_last_error_told(spark, folder, tmp_path):
+    (tmp_path / "metrics.c").write_bytes(capture(chunk(FIRST, COLUMNS), chunk(FIRST, COLUMNS[:-1])))
+    (tmp_path / "metrics.aa").write_bytes(capture(chunk(FIRST, COLUMNS))[:-9])
+    told = S.load_captures(spark, folder, f"{tmp_path}/out")
+    assert told["failed_chunks"] == 2 and told["last_file"].endswith("metrics.c") and "another number" in told["last_error"]
+    kept = spark.read.parquet(f"{tmp_path}/out/samples")
+    assert {r["file"].rsplit("/", 1)[1] for r in kept.select("file").distinct().collect()} == {"metrics.a", "metrics.b"} and kept.count() == 18
+    (tmp_path / "metrics.c").unlink()
+    (tmp_path / "metrics.aa").unlink()
+    assert S.load_captures(spark, folder, f"{tmp_path}/out2") == {"failed_chunks": 0, "last_file": None, "last_error": None}
+
+
+def test_captures_without_clear_names(spark, tmp_path):
+    from diagspark.operators.documents import redact_captures
+
+    first = document(("host", 0x02, "db1.example.com"), ("uptime", 0x12, 5), ("repl", 3, document(("setName", 0x02, "rs-main"), ("hosts", 4, document(("0", 0x02, "10.0.0.7"))))))
+    meta = document(("type", 0x10, 0), ("doc", 3, document(("hostInfo", 3, document(("hostname", 0x02, "db1.example.com"), ("memSizeMB", 0x10, 512), ("up", 0x08, 1))))))
+    good = meta + document(("type", 0x10, 1), ("data", 5, chunk(first, [[5, 6, 7]])))
+    (tmp_path / "metrics.1").write_bytes(good)
+    (tmp_path / "metrics.2").write_bytes(good[:-3])
+    bad = redact_captures(spark, str(tmp_path), f"{tmp_path}/out").collect()
+    assert len(bad) == 1 and bad[0]["file"].endswith("metrics.2")
+    rows = spark.read.parquet(f"{tmp_path}/out/documents").orderBy("position").collect()
+    told = " ".join(r["document"] for r in rows)
+    assert [r["kind"] for r in rows] == ["metadata", "sample"] and "example.com" not in told and "rs-main" not in told and "10.0.0.7" not in told
+    assert '"memSizeMB":512' in told and '"up":true' in told and '"hostname":"host-' in told
+    samples = spark.read.parquet(f"{tmp_path}/out/samples").collect()
+    assert [(r["path"], r["values"]) for r in samples] == [("uptime", [5, 6, 7])]
 
 
 def test_short_file_tells_its_version(spark, tmp_path):
