@@ -137,13 +137,27 @@ def differences(sets: DataFrame, keys: list[str], seed: int, scale: int = 1) ->
     return peeled(_summed(placed, keys), keys, seed)
 
 
+def _numbers(values: list, kind: str) -> Column:
+    """A list as one literal, however long: the plan does not get a node for each value."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+
+
 def _place(edges: list[int], value: Column) -> tuple[Column, Column]:
-    """The last of the sorted edges that is at most the value, as a place from 0; and whether it equals the value."""
-    step = 32
-    all_edges, coarse = F.array(*map(F.lit, edges)), F.array(*map(F.lit, edges[::step]))
-    first = F.size(F.filter(coarse, lambda b: b <= value)) - 1
-    place = first * step + F.size(F.filter(F.slice(all_edges, first * step + 1, F.lit(step)), lambda b: b <= value)) - 1
-    return place, F.get(all_edges, place) == value
+    """The last of the sorted edges that is at most the value, as a place from 0; and whether it equals the value.
+
+    Found in levels of every 32nd edge, so a row looks at 32 edges a level.
+    """
+    step, levels = 32, [edges]
+    while len(levels[-1]) > step:
+        levels.append(levels[-1][::step])
+    place = None
+    for level in reversed(levels):
+        part = _numbers(level, "long")
+        if place is not None:
+            part = F.slice(part, place * step + 1, F.lit(step))
+        here = F.size(F.filter(part, lambda b: b <= value)) - 1
+        place = here if place is None else place * step + here
+    return place, F.get(_numbers(edges, "long"), place) == value
 
 
 def with_next(docs: DataFrame, tasks: int) -> DataFrame:
@@ -156,7 +170,7 @@ def with_next(docs: DataFrame, tasks: int) -> DataFrame:
     """
     ranges = 8 * tasks
     rows = docs.select("doc_id", whole("text").alias("text")).withColumn("hash", F.xxhash64("text"))
-    found = rows.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 100 * ranges).alias("q"), F.min("doc_id").alias("least"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    found = rows.agg(F.percentile_approx("doc_id", _numbers([i / ranges for i in range(1, ranges)], "double"), 100 * ranges).alias("q"), F.min("doc_id").alias("least"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
     bounds = sorted({*(found["q"] or []), *([] if found["least"] is None else [found["least"]])})
     slots = rows.where("doc_id is null").groupBy(F.floor((F.col("hash") / 2.0**64 + 0.5) * ranges)).agg(F.min("hash").alias("least"))
     unnamed = sorted(r["least"] for r in slots.collect()) if found["nulls"] else []
