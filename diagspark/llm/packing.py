@@ -105,6 +105,10 @@ class WordTokenizer:
         self.young.update(known)
         self.young.update((w, known[a] + known[b]) for w, (a, b) in halves.items())
 
+    def forget(self) -> None:
+        """Give back the memory of what was learned."""
+        self.young, self.old = {}, {}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
         split: list = [None if self.special.search(t) else t.encode("utf-8", "replace").lower().split() for t in texts]
@@ -130,10 +134,12 @@ def shared_tokenizer(path: str, generation: int = _GENERATION) -> WordTokenizer:
     return _tokenizers[path, generation]
 
 
-def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
+def tokenized(docs: DataFrame, path: str, end_id: int = END_ID, keep_words: bool = True) -> DataFrame:
     """doc_id, queue, part, before, n, ids: each document's ids and its place in its queue's share of a part.
 
     The rows are written to the shared folder, which fixes parts and places.
+    Workers keep the words they have learned for later tasks unless
+    ``keep_words`` is off, which leaves more memory to what runs next.
     """
     schema = docs.select("doc_id").schema
     out_type = f"doc_id {schema['doc_id'].dataType.simpleString()}, queue string, part long, before long, n long, ids binary"
@@ -163,6 +169,8 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
                     at, size = i + 1, 0
             if at < len(texts):
                 yield finish(ids[at:], queues[at:], texts[at:])
+        if not keep_words:
+            tokenizer.forget()
 
     rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("queue"), F.coalesce("text", F.lit("")).alias("text"))
     return stored(rows.mapInArrow(encoded, out_type), "tokens")
@@ -238,7 +246,7 @@ def _pieces(quanta: Quanta, queue: int, first: int, n: int, sequence: int, share
     return out
 
 
-def packed(docs: DataFrame, path: str | None = None, weights: dict[str, float] | None = None, sequence: int = SEQUENCE, window_sequences: int = 64, temperature: float = 1.0) -> DataFrame:
+def packed(docs: DataFrame, path: str | None = None, weights: dict[str, float] | None = None, sequence: int = SEQUENCE, window_sequences: int = 64, temperature: float = 1.0, keep_words: bool = True) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
 
     ``weights`` are the sources' target token proportions; without any they
@@ -248,7 +256,7 @@ def packed(docs: DataFrame, path: str | None = None, weights: dict[str, float] |
     as they occur; an empty table gives no rows. The driver sees one row a
     source (its total).
     """
-    tokens = tokenized(docs, path or tokenizer_path())
+    tokens = tokenized(docs, path or tokenizer_path(), keep_words=keep_words)
     kind = shared_tokenizer(path or tokenizer_path()).kind.str
     parts = tokens.groupBy("queue", "part").agg(F.sum("n").alias("n"))
     earlier = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
