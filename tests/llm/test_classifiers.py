@@ -73,3 +73,53 @@ def test_long_texts_are_read_whole(monkeypatch):
     assert counts.sum() == len(text.encode())
     model = L.fit_languages(np.stack([L.trigram_counts(t) for t in (cases.ENGLISH, cases.GERMAN)]), ["en", "de"])
     assert np.allclose(model.margins([text]), counts @ model.weights / counts.sum(), atol=1e-6)
+
+
+def test_quality_query_equals_plain_look_ups(spark):
+    """Every document of a table: its features, one table entry each, summed one by one."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = Q.train_quality(docs, labels)
+    want = {}
+    for r in docs.select("doc_id", "text").collect():
+        bins = [sum(e < v for e in edges.tolist()) for edges, v in zip(model.edges, Q.text_features(r["text"]), strict=True)]
+        total = model.constant + sum(float(t[k]) for t, k in zip(model.single, bins, strict=True)) + sum(float(t[bins[i], bins[j]]) for (i, j), t in model.pairs.items())
+        want[r["doc_id"]] = 1 / (1 + np.exp(-total))
+    found = Q.quality_scores(docs, labels).collect()
+    assert model.pairs and len(found) == len(want) and all(np.isclose(r["score"], want[r["doc_id"]], atol=1e-12) for r in found)
+
+
+def test_cuts_are_the_best_of_all():
+    rng = np.random.default_rng(4)
+    gain = lambda g, h: g.sum() ** 2 / (h.sum() + 2.0)
+    for _ in range(50):
+        n = int(rng.integers(2, 12))
+        g, h = rng.normal(size=n), rng.uniform(0.1, 1, n)
+        every = [gain(g[:c], h[:c]) + gain(g[c:], h[c:]) - gain(g, h) for c in range(1, n)]
+        best, cut = Q._split(g, h, 2.0)
+        assert np.isclose(best, max(every)) and cut == int(np.argmax(every)) + 1
+
+
+def plain_language(model, text):
+    """The family of the best chance, then every pair of its languages: most won, then the greatest sum."""
+    if not L.has_letter(text):
+        return "und", 0.0
+    counts = L.trigram_counts(text)
+    margins = [sum(float(c) * float(w) for c, w in zip(counts[counts > 0], column[counts > 0], strict=True)) / max(counts.sum(), 1) for column in model.weights.T]
+    chance = [1 / (1 + np.exp(-min(max(m * s, -20), 20))) for m, s in zip(margins, model.scale, strict=True)]
+    family = max(range(len(model.families)), key=lambda k: (chance[k], -k))
+    names, wins = model.members[family], {}
+    for name in names:
+        odds = [chance[len(model.families) + k] if a == name else 1 - chance[len(model.families) + k] for k, (a, b) in enumerate(model.pairs) if name in (a, b)]
+        wins[name] = (sum(o > 0.5 for o in odds), sum(odds), min(odds, default=1.0))
+    best = max(names, key=lambda n: wins[n][:2])
+    return best, (chance[family] if len(model.families) > 1 else 1.0) * wins[best][2]
+
+
+def test_languages_equal_the_plain_decision(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = L.train_languages(docs)
+    want = {r["doc_id"]: plain_language(model, r["text"]) for r in docs.select("doc_id", "text").collect()}
+    assert len(model.families) > 1 and model.pairs
+    for r in L.languages(docs).collect():
+        lang, score = want[r["doc_id"]]
+        assert r["lang_pred"] == lang and np.isclose(r["score"], score, atol=1e-4)

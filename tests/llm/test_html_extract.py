@@ -48,6 +48,15 @@ def test_awkward_pages(spark):
     assert Counter((r["page_id"], r["url"], r["text"], r["n_chars"]) for r in found.collect()) == Counter((r[0], r[1], w, len(w)) for r, w in zip(rows, want, strict=True))
 
 
+def test_a_very_long_page_is_read_whole(spark):
+    body = [f"Paragraph {i} with words of its own {i * i}" for i in range(40_000)]
+    page = "<nav>" + "<a>Menu</a>" * 5000 + "</nav><article>" + "".join(f"<p>{b}</p>" for b in body) + "</article>"
+    deep = "<div>" * 3000 + "<article>" + "<section>" * 300 + "x" * 200_000 + "</section>" * 300 + "</article>" + "</div>" * 3000
+    rows = [(1, "http://a/1", page), (2, "http://a/2", deep), (3, "http://a/3", "<p>" + " ".join(body) + "</p>")]
+    found = {r["page_id"]: r["text"] for r in H.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {1: "\n".join(body), 2: "x" * 200_000, 3: " ".join(body)}
+
+
 def test_articles_of_whole_table(spark):
     """Against a plain reading of the pages of the tables, whose articles hold paragraphs, line ends and bold text only."""
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")

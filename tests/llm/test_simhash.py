@@ -115,6 +115,36 @@ def test_crowds_of_similar_texts_are_one(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1000, 2000]
 
 
+def similar_pairs(texts):
+    """All pairs of different texts whose five-word shingle sets have a Jaccard similarity of 0.8 or more, by their rarest shingles: exact."""
+    sets = []
+    for text in texts:
+        words = (text or "").encode().lower().split()
+        sets.append(frozenset(b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))))
+    often = defaultdict(int)
+    for s in sets:
+        for gram in s:
+            often[gram] += 1
+    lists, found = defaultdict(list), set()
+    for i, s in enumerate(sets):
+        # Similar sets share one of the rarest fifth of both, and one more.
+        for gram in sorted(s, key=lambda g: (often[g], g))[: len(s) - -(-4 * len(s) // 5) + 1]:
+            for j in lists[gram]:
+                if sets[j] != s and 5 * len(sets[j] & s) >= 4 * len(sets[j] | s):
+                    found.add((j, i))
+            lists[gram].append(i)
+    return found
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_no_similar_pair_of_a_table_stays(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
+    texts = [r["text"] for r in docs.select("text").collect()]
+    assert sf == "0.001" or similar_pairs(texts)
+    kept = [r["text"] for r in S.without_similar(docs).select("text").collect()]
+    assert not similar_pairs(kept) and len({" ".join((t or "").lower().split()) for t in kept}) == len(kept)
+
+
 def test_empty_table(spark):
     docs = cases.documents(spark).where(F.lit(False))
     assert S.near_duplicates(docs).collect() == []
