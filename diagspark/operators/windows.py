@@ -32,20 +32,27 @@ def previous(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("host
     return found.select(*df.columns, *(F.col(f"__found.{c}").alias(f"prev_{c}") for c in columns))
 
 
-def running(df: DataFrame, value: Column, name: str, keys: Sequence[str], order: Sequence[str] = ORDER, total: str | None = None, stretch: Column | None = None) -> DataFrame:
-    """``df`` with the running sum of ``value`` up to and with each row, and maybe the key's total.
+def runnings(df: DataFrame, values: dict[str, Column], keys: Sequence[str], order: Sequence[str] = ORDER, totals: dict[str, str] | None = None, stretch: Column | None = None) -> DataFrame:
+    """``df`` with the running sum of each value, up to and with each row, and the key's totals of those in ``totals``.
 
     Rows are dealt by day, or by ``stretch``, which must not fall along the order.
     """
-    keys, order = list(keys), list(order)
-    dealt = df.withColumns({"__day": _day(order[0]) if stretch is None else stretch, "__value": value})
+    keys, order, names = list(keys), list(order), list(values)
+    dealt = df.withColumns({"__day": _day(order[0]) if stretch is None else stretch, **{f"__value_{n}": v for n, v in values.items()}})
     inside = Window.partitionBy(*keys, "__day").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    days = dealt.groupBy(*keys, "__day").agg(F.sum("__value").alias("__sum"))
+    days = dealt.groupBy(*keys, "__day").agg(*(F.sum(f"__value_{n}").alias(f"__sum_{n}") for n in names))
     earlier = Window.partitionBy(*keys).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = days.select(*keys, "__day", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__offset"), F.sum("__sum").over(Window.partitionBy(*keys)).alias("__total"))
-    joined = dealt.withColumn("__run", F.sum("__value").over(inside)).join(offsets, [*keys, "__day"])
-    more = [F.col("__total").alias(total)] if total else []
-    return joined.select(*df.columns, (F.col("__run") + F.col("__offset")).alias(name), *more)
+    all_days = Window.partitionBy(*keys)
+    whole = [F.sum(f"__sum_{n}").over(all_days).alias(f"__total_{n}") for n in totals or ()]
+    offsets = days.select(*keys, "__day", *(F.coalesce(F.sum(f"__sum_{n}").over(earlier), F.lit(0)).alias(f"__offset_{n}") for n in names), *whole)
+    summed = dealt.withColumns({f"__run_{n}": F.sum(f"__value_{n}").over(inside) for n in names})
+    joined = summed.join(offsets, [*keys, "__day"])
+    return joined.select(*df.columns, *((F.col(f"__run_{n}") + F.col(f"__offset_{n}")).alias(n) for n in names), *(F.col(f"__total_{n}").alias(t) for n, t in (totals or {}).items()))
+
+
+def running(df: DataFrame, value: Column, name: str, keys: Sequence[str], order: Sequence[str] = ORDER, total: str | None = None, stretch: Column | None = None) -> DataFrame:
+    """``df`` with the running sum of one value, and maybe the key's total."""
+    return runnings(df, {name: value}, keys, order, {name: total} if total else None, stretch)
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ORDER, name: str = "n", total: str = "total") -> DataFrame:

@@ -6,9 +6,11 @@ restart, running sums are counters.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.windows import numbered, running, runnings
+
 #: Columns of ``counters`` that stand for the source paths of status records, in turn, and what each is raised by.
 SOURCES = ("counter", "ops", "n_view", "n_click", "n_error", "n_purchase", "n_signup", "cents")
 TYPES = ("click", "error", "purchase", "signup", "view")
@@ -32,34 +34,33 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counters with restarts: host, ts, seq, uptime, counter, ops, and a running count of each type."""
-    rows = events(spark, sf_dir)
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    marked = rows.withColumn("epoch", F.sum(F.when(F.col("event_type") == "error", 1).otherwise(0)).over(order))
-    inside = Window.partitionBy("user_id", "epoch").orderBy("ts", "event_id")
-    started = F.first("ts").over(inside)
-    return marked.select(
-        F.col("user_id").alias("host"), "ts", F.col("event_id").alias("seq"), F.floor((F.unix_micros("ts") - F.unix_micros(started)) / 1e6).alias("uptime"),
-        F.sum("cents").over(inside).alias("counter"), F.count("*").over(inside).alias("ops"), "cents", "value",
-        *(F.sum(F.when(F.col("event_type") == t, 1).otherwise(0)).over(inside).alias(f"n_{t}") for t in TYPES),
-    )
+    """Counters with restarts: host, ts, seq, uptime, counter, ops, and a running count of each type. Rows are dealt by (user, day)."""
+    rows = events(spark, sf_dir).withColumnsRenamed({"user_id": "host", "event_id": "seq"})
+    marked = running(rows, F.when(F.col("event_type") == "error", 1).otherwise(0).cast("long"), "epoch", ["host"])
+    started = marked.groupBy("host", "epoch").agg(F.min("ts").alias("started"))
+    one = lambda hit: F.when(hit, 1).otherwise(0).cast("long")
+    sums = {"counter": F.col("cents"), "ops": F.lit(1).cast("long"), **{f"n_{t}": one(F.col("event_type") == t) for t in TYPES}}
+    counted = runnings(marked, sums, ["host", "epoch"]).join(started, ["host", "epoch"])
+    uptime = F.floor((F.unix_micros("ts") - F.unix_micros("started")) / 1e6)
+    return counted.select("host", "ts", "seq", uptime.alias("uptime"), "counter", "ops", "cents", "value", *(f"n_{t}" for t in TYPES))
 
 
 def hourly_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component counters: an hour's running count of each type."""
     hour = F.date_trunc("hour", F.col("ts"))
     rows = events(spark, sf_dir).groupBy(hour.alias("ts")).agg(*(F.sum(F.when(F.col("event_type") == t, 1).otherwise(0)).alias(f"x_{t}") for t in TYPES))
-    order = Window.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select(F.lit("h").alias("host"), "ts", F.lit(0).cast("bigint").alias("seq"), *(F.sum(f"x_{t}").over(order).alias(t) for t in TYPES))
+    named = rows.select(F.lit("h").alias("host"), "ts", F.lit(0).cast("bigint").alias("seq"), *(f"x_{t}" for t in TYPES))
+    return runnings(named, {t: F.col(f"x_{t}") for t in TYPES}, ["host"]).drop(*(f"x_{t}" for t in TYPES))
 
 
 def devices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Disk-like entities: device user_id % 5, running cents and counts an hour; an hour without events makes a device absent."""
     hour = F.date_trunc("hour", F.col("ts"))
     rows = events(spark, sf_dir).groupBy((F.col("user_id") % 5).cast("string").alias("disk"), hour.alias("ts")).agg(F.count("*").alias("x"), F.sum("cents").alias("c"))
-    order = Window.partitionBy("disk").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    counted = rows.select("disk", "ts", F.sum("x").over(order).alias("reads"), F.sum("c").over(order).alias("io_time_ms"))
-    return counted.select(F.lit("h").alias("host"), "disk", "ts", F.lit(0).cast("bigint").alias("seq"), F.dense_rank().over(Window.orderBy("ts")).cast("bigint").alias("sample"), "reads", "io_time_ms").withColumn("sample", F.col("sample") - 1)
+    named = rows.select(F.lit("h").alias("host"), "disk", "ts", F.lit(0).cast("bigint").alias("seq"), "x", "c")
+    counted = runnings(named, {"reads": F.col("x"), "io_time_ms": F.col("c")}, ["host", "disk"])
+    hours = numbered(named.select("host", "ts", "seq").distinct(), ["host"], name="sample", total="samples").select("host", "ts", "sample")
+    return counted.join(hours, ["host", "ts"]).select("host", "disk", "ts", "seq", "sample", "reads", "io_time_ms")
 
 
 def statuses(spark: SparkSession, sf_dir: str) -> DataFrame:

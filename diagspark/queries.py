@@ -20,6 +20,7 @@ from .operators import rules as R
 from .operators import scoring as C
 from .operators import series as T
 from .operators import stats as A
+from .operators.windows import numbered
 from .plans import diagnosis as DG
 from .plans import fixtures as FX
 from .plans import metrics as M
@@ -682,6 +683,65 @@ def r13(spark, d):
     return DG.scored_stats(points, *when(), info).select("host", "metric", P.is_problem(F.col("score"), 50).alias("problem"), P.is_problem(F.col("score"), 200).alias("known"))
 
 
+@query("p4_score_label", """WITH m AS (SELECT event_id, ['cpu_user','disku_sda','wt_modified_evicted','wt_unmodified_evicted','wt_cache_used','latency_read'][1 + event_id % 6] AS metric, user_id % 2 = 0 AS normal FROM events)
+SELECT event_id, CASE WHEN metric LIKE '%modified_evicted' THEN metric[:-17] || 'mod_evicted' ELSE metric END || CASE WHEN metric LIKE 'cpu%' OR metric LIKE 'disku%' OR normal THEN ' %' ELSE '' END AS label FROM m""")
+def p4(spark, d):
+    names = F.array(*map(F.lit, ("cpu_user", "disku_sda", "wt_modified_evicted", "wt_unmodified_evicted", "wt_cache_used", "latency_read")))
+    rows = V.events(spark, d).select("event_id", F.element_at(names, (F.col("event_id") % 6 + 1).cast("int")).alias("metric"), (F.col("user_id") % 2 == 0).alias("normal"))
+    return rows.select("event_id", P.score_label(F.col("metric"), F.col("normal")).alias("label"))
+
+
+@query("p10_percent_or_unknown", "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount > 0 THEN round(100 * CAST(l_tax AS DOUBLE) / CAST(l_discount AS DOUBLE), 6) ELSE -1.0 END AS percent FROM lineitem")
+def p10(spark, d):
+    part, whole = (F.col(c).cast("double") for c in ("l_tax", "l_discount"))
+    return V.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", r6(P.percent_or_unknown(part, whole)).alias("percent"))
+
+
+@query("t11_time_order", "SELECT user_id AS host, event_id AS seq, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS n, count(*) OVER (PARTITION BY user_id) AS total FROM events")
+def t11(spark, d):
+    rows = V.events(spark, d).select(F.col("user_id").alias("host"), "ts", F.col("event_id").alias("seq"))
+    return numbered(rows, ["host"]).select("host", "seq", "n", "total")
+
+
+@query("a2_bucket_average", """WITH p AS (SELECT event_type AS metric, ts, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS n FROM events)
+SELECT metric, CAST(n // 7 AS BIGINT) AS bucket, round(avg(value), 6) AS value, epoch_us(max(ts)) AS ts FROM p GROUP BY 1, 2""")
+def a2(spark, d):
+    placed = numbered(V.points(spark, d), T.SERIES)
+    return T.bucket_avg(placed, F.lit(7)).select("metric", "bucket", r6("value").alias("value"), us("ts").alias("ts"))
+
+
+@query("q5_assessment_in_range", DIAGNOSED + "SELECT label, CAST(score AS INTEGER) AS score, p5, median, p95 FROM sc WHERE score < 101 AND NOT ((name LIKE 'iops%' OR name LIKE 'repl_lag%') AND p95 = 0)")
+def q5(spark, d):
+    points, info = _diagnosed(spark, d)
+    return C.assessment(DG.scored_stats(points, *when(), info), 24)
+
+
+@query("c5_verbose_assessment", DIAGNOSED + "SELECT label, CAST(score AS INTEGER) AS score, p5, median, p95 FROM sc WHERE NOT ((name LIKE 'iops%' OR name LIKE 'repl_lag%') AND p95 = 0)")
+def c5_verbose(spark, d):
+    points, info = _diagnosed(spark, d)
+    return C.assessment(DG.scored_stats(points, *when(), info), 24, verbose=True)
+
+
+@query("u1_own_rule", DIAGNOSED + """, w AS (SELECT host, max(CASE WHEN name = 'latency_read' THEN score END) AS s, max(CASE WHEN name = 'latency_read' THEN p95 END) AS v FROM sc GROUP BY 1)
+SELECT host, 'Slow Reads' AS rule, 'info' AS severity, 'latency_read' AS name, '' AS entity, v AS value FROM w WHERE s < 80 UNION ALL SELECT w.host, 'Slow Reads', 'info', 'iops', entity, p95 FROM w JOIN sc USING (host) WHERE s < 80 AND sc.name LIKE 'iops%' AND p95 > 100""")
+def u1(spark, d):
+    points, info = _diagnosed(spark, d)
+    m = R.Metrics()
+    rule = R.Rule("Slow Reads", "info", "Reads wait for disks", m.score("latency_read") < 80, [("latency_read", m.score("latency_read") < 80, m.value("latency_read")), m.each("iops_", lambda x: x["p95"] > 100)])
+    found = R.diagnose(DG.scored_stats(points, *when(), info), [rule])
+    return found.select("host", "rule", "severity", F.explode("symptoms").alias("s")).select("host", "rule", "severity", "s.name", "s.entity", "s.value")
+
+
+_OWN = (("cpu_user", 1.0, 300.0), ("latency_read", 0.0, 50.0), ("ops_", 10.0, 20.0))
+
+
+@query("u2_own_formulas", DIAGNOSED.replace(_FORMULAS, ", ".join(f"('{m}', {lo}, {hi})" for m, lo, hi in _OWN)) + "SELECT host, name AS metric, CAST(score AS INTEGER) AS score FROM sc WHERE name <> 'tcmalloc_fragmentation'")
+def u2(spark, d):
+    points, info = _diagnosed(spark, d)
+    formulas = spark.createDataFrame([(m, lo, hi, "") for m, lo, hi in _OWN], C.FORMULA_SCHEMA)
+    return C.score(DG.compute_stats(points, *when(), info), formulas).select("host", "metric", "score")
+
+
 _MEDIAN_SQL = ", ".join(f"coalesce(max(CASE WHEN metric = '{m}' THEN median END), 0.0) AS \"{m.replace('/', '_per_')}\"" for m in A.SUMMARY_MEDIANS)
 _P95_SQL = ", ".join(f"coalesce(max(CASE WHEN metric = '{m}' THEN p95 END), 0.0) AS {m}" for m in A.SUMMARY_P95)
 _SUMMARY_COLUMNS = [m.replace("/", "_per_") for m in (*A.SUMMARY_MEDIANS, *A.SUMMARY_P95)]
