@@ -362,10 +362,15 @@ def similar_candidates(nodes: DataFrame, nearest: int = NEAREST) -> DataFrame:
     place = ["list", "key", "low", "high"]
     compared = _by_place(place, (*light, "list"), lambda rows: _similar_of(rows, nearest), ("a", "b", "more"))
     found = placed.repartition(*place).sortWithinPartitions(*place).mapInArrow(compared, "a long, b long, more boolean")
-    pairs = stored(found.groupBy("a", "b").agg(F.bool_or("more").alias("more")), "met")
-    other = {side: nodes.select(F.col("node").alias(side), *(F.col(f"p{i}").alias(f"{side}{i}") for i in range(PRINTS))) for side in "ab"}
-    apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(PRINTS)), F.lit(0))
-    near = pairs.join(other["a"], "a").join(other["b"], "b").withColumn("apart", apart).where(F.col("apart") <= RADIUS_ALL)
+    # Of each pair one row, with who of the two has met whom: its distance is computed once.
+    up, more = F.col("a") < F.col("b"), F.col("more")
+    sides = {"met_u": up, "met_v": ~up, "more_u": up & more, "more_v": ~up & more}
+    pairs = stored(found.groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(*(F.bool_or(c).alias(n) for n, c in sides.items())), "met")
+    other = {side: nodes.select(F.col("node").alias(side), *(F.col(f"p{i}").alias(f"{side}{i}") for i in range(PRINTS))) for side in "uv"}
+    apart = sum((F.bit_count(F.col(f"u{i}").bitwiseXOR(F.col(f"v{i}"))) for i in range(PRINTS)), F.lit(0))
+    close = stored(pairs.join(other["u"], "u").join(other["v"], "v").withColumn("apart", apart).where(F.col("apart") <= RADIUS_ALL).select(*pairs.columns, "apart"), "near")
+    one = lambda x, y: close.where(f"met_{x}").select(F.col(x).alias("a"), F.col(y).alias("b"), F.col(f"more_{x}").alias("more"), "apart")
+    near = one("u", "v").union(one("v", "u"))
     rank = F.row_number().over(Window.partitionBy("a").orderBy("apart", "b"))
     ranked = near.withColumn("rank", rank).where(F.col("rank") <= CHECKED + 1)
     return ranked.select("a", F.when(F.col("rank") <= CHECKED, F.col("b")).alias("b"), (F.col("more") | (F.col("rank") > CHECKED)).alias("more"))
