@@ -623,7 +623,10 @@ sc AS (SELECT host, name, entity, CASE WHEN name = 'wt_modified_evicted' THEN 'w
 
 
 def _diagnosed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return V.diagnosed_points(spark, d), V.diagnosed_hosts(spark, d)
+    """Series, stored once and read as often as the job needs them, and what is known of their hosts."""
+    path = scratch(spark, "points")
+    J.save_points(V.diagnosed_points(spark, d), path)
+    return J.load_points(spark, path), V.diagnosed_hosts(spark, d)
 
 
 @query("c2_scored_branches", DIAGNOSED + "SELECT host, name AS metric, label, CAST(score AS INTEGER) AS score, p5, median, p95 FROM sc")
