@@ -153,7 +153,7 @@ def fit_languages(x: np.ndarray, langs: list[str]) -> LanguageModel:
     pairs = [pair for group in members for pair in combinations(group, 2)]
     label, kin = np.array(langs, dtype=object), np.array([family_of(n) for n in langs], dtype=object)
     sums = np.maximum(x.sum(axis=1), 1e-12)
-    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12).astype(x.dtype)
+    unit = x / np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12).astype(x.dtype)[:, None]
     columns, tasks = [], [(np.ones(len(x), bool), kin == f) for f in families] + [((label == a) | (label == b), label == a) for a, b in pairs]
     scale = []
     for rows, positive in tasks:
@@ -186,9 +186,13 @@ def train_languages(docs: DataFrame, sample: int = 2_000) -> LanguageModel:
             yield pd.DataFrame({"lang": batch["lang"], "x": vectors})
 
     known = rows.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"]).select("lang", "text")
-    table = known.mapInPandas(counted, "lang string, x binary").orderBy("lang", "x").limit(2 * sample).toPandas()
-    x = np.frombuffer(b"".join(table["x"]), np.float32).reshape(-1, DIMENSIONS)
-    return fit_languages(x, list(table["lang"]))
+    table = known.mapInPandas(counted, "lang string, x binary").orderBy("lang", "x").limit(2 * sample).toArrow()
+    # One copy of the vectors on the driver.
+    langs, x = table.column("lang").to_pylist(), np.empty((table.num_rows, DIMENSIONS), np.float32)
+    for row, vector in zip(x, table.column("x"), strict=True):
+        row[:] = np.frombuffer(vector.as_buffer(), np.float32)
+    del table
+    return fit_languages(x, langs)
 
 
 def add_language(docs: DataFrame, model: LanguageModel, text: str = "text", name: str = "language") -> DataFrame:
