@@ -37,10 +37,18 @@ def panel_disks(points: DataFrame, start: Column, end: Column) -> DataFrame:
 
 
 def storage_size(number: Column) -> Column:
-    """Bytes in the largest unit of which there is one at least, with one decimal."""
+    """Bytes in the largest unit of which there is one at least, with one decimal; a tie goes to the even digit."""
+    number = number.cast("bigint")
+    whole = lambda a, b: ((a - a % b) / b).cast("bigint")
     out = F.format_string("%.0f", number.cast("double"))
     for power, unit in enumerate(("KB", "MB", "GB", "TB", "PB"), 1):
-        out = F.when(number >= 1024**power, F.concat(F.format_string("%.1f", number / float(1024**power)), F.lit(unit))).otherwise(out)
+        size = 1024**power
+        rest = number % size * 10  # in whole numbers: format_string rounds ties up
+        digit, twice = whole(rest, size), rest % size * 2
+        up = (twice > size) | ((twice == size) & (digit % 2 == 1))
+        tenths = whole(number, size) * 10 + digit + F.when(up, 1).otherwise(0)
+        text = F.concat(whole(tenths, F.lit(10)).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(unit))
+        out = F.when(number >= size, text).otherwise(out)
     return out
 
 

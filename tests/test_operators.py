@@ -417,3 +417,16 @@ def test_automatic_span_and_saved_report(spark, tmp_path):
     assert L.automatic_span(samples(spark, [(0, 1, 1), (205, 2, 2)])) == 10
     L.save_report({"stats": spark.range(3)}, f"{tmp_path}/r", "json")
     assert spark.read.json(f"{tmp_path}/r/stats").count() == 3
+
+
+def test_storage_sizes_round_ties_to_even(spark):
+    from diagspark.operators.query import storage_size
+
+    sizes = [0, 1023, 1280, 1280 << 20, 1408 << 20, 1792 << 20, 1331 << 20, (1 << 20) - 1, (1 << 30) - 1, 1300 << 40, 5 << 50, *range(1 << 30, 12 << 30, 77_777_777), *range(1024, 6000)]
+    found = [r["t"] for r in spark.createDataFrame([(n,) for n in sizes], "n long").select(storage_size(F.col("n")).alias("t")).collect()]
+
+    def printed(n):
+        power = max(p for p in range(6) if n >= 1024**p or p == 0)
+        return f"{n / 1024**power:.1f}" + ("", "KB", "MB", "GB", "TB", "PB")[power] if power else str(n)
+
+    assert found == [printed(n) for n in sizes]
