@@ -60,18 +60,13 @@ def capture_files(spark: SparkSession, sf_dir: str, broken: Column | None = None
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([m[:-1] for m in made], pa.binary())], ["host", "document"])
 
     path = scratch(spark, "captures")
-    documents = rows.mapInArrow(coded, "host long, document binary").repartition("host")
-    documents.select("host", F.col("document").cast("string").alias("value")).write.partitionBy("host").option("lineSep", "\0").text(path)
+    # Chunks and files cost by number, not by bytes: they are dealt to a given number of tasks, and each task moves its own files to their place.
+    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "host")
+    values = dealt.mapInArrow(coded, "host long, document binary").select("host", F.col("document").cast("string").alias("value"))
+    values.write.partitionBy("host").option("lineSep", "\0").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
     return path
 
 
-def folders(spark: SparkSession, path: str) -> list[str]:
-    """The folders directly in a path, by name."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    listed = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
-    return sorted(f.getPath().toString() for f in listed if f.isDirectory())
-
-
 def text_tree(rows: DataFrame, name: str, folder: str, broken: Column) -> str:
     """A tree of files of lines (the column ``value``), a folder for each value of ``folder``; where ``broken`` holds the lines are cut short."""
     path = scratch(rows.sparkSession, name)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator, Sequence
@@ -14,29 +15,47 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 CAPTURE_PREFIXES = ("metrics.",)
+#: Bytes of chunks or samples that a batch holds, about.
+_BATCH_BYTES = 1 << 20
 
 
-def list_captures(spark: SparkSession, inputs: str | Sequence[str], prefixes: Sequence[str] = CAPTURE_PREFIXES) -> DataFrame:
-    """path, length of the capture files among files and directly in folders, by path.
+def _batch(rows: list[tuple], names: list[str], types: Sequence[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(types)], names)
 
-    A file, named or found, counts if its name begins with one of ``prefixes``;
-    inputs that do not exist or cannot be read are left out, and one that is
-    named twice counts once.
+
+def _found(spark: SparkSession, inputs: str | Sequence[str], prefixes: Sequence[str]) -> DataFrame | None:
+    """path, length, content of the capture files among inputs, as often as they are named; None if no input exists.
+
+    The driver asks for each input whether it is there; what lies in folders is listed by Spark's tasks.
     """
     fs = spark._jvm.org.apache.hadoop.fs
-    found: dict[str, int] = {}
-    for name in [inputs] if isinstance(inputs, str) else inputs:
+    named = []
+    for name in dict.fromkeys([inputs] if isinstance(inputs, str) else inputs):
         try:
             path = fs.Path(name)
-            files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-            own = files.getFileStatus(path)
-            listed = files.listStatus(path) if own.isDirectory() else [own]
+            matched = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
         except Py4JJavaError:
             continue
-        for status in listed:
-            if not status.isDirectory() and status.getPath().getName().startswith(tuple(prefixes)):
-                found[status.getPath().toString()] = status.getLen()
-    return spark.createDataFrame(sorted(found.items()), "path string, length long").orderBy("path")
+        if matched is not None and len(matched):
+            named.append(name)
+    if not named:
+        return None
+    escaped = (re.sub(r"([\\*?\[\]{},^])", r"\\\1", p) for p in prefixes)
+    pattern = "{" + ",".join(f"{p}*" for p in escaped) + "}"
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(named)
+
+
+def list_captures(spark: SparkSession, inputs: str | Sequence[str], prefixes: Sequence[str] = CAPTURE_PREFIXES) -> DataFrame:
+    """path, length of the capture files among files and directly in folders, by path.
+
+    A file, named or found, counts if its name begins with one of ``prefixes``;
+    inputs that do not exist or cannot be read are left out, and one that is
+    named twice counts once. An input may be a pattern of many folders or files.
+    """
+    found = _found(spark, inputs, prefixes)
+    if found is None:
+        return spark.createDataFrame([], "path string, length long")
+    return found.select("path", "length").distinct().orderBy("path")
 
 
 def latest(files: DataFrame, n: int = 10) -> DataFrame:
@@ -153,11 +172,18 @@ def frames(data: bytes) -> Iterator[tuple[int, int, bytes]]:
 
 
 def _binary(spark: SparkSession, inputs: str | Sequence[str], prefixes: Sequence[str]) -> DataFrame:
-    """path, content of the capture files among the inputs. The driver lists the files, as Spark does for any source."""
-    listed = [r["path"] for r in list_captures(spark, inputs, prefixes).collect()]
-    if not listed:
+    """path, content of the capture files among the inputs, each once."""
+    found = _found(spark, inputs, prefixes)
+    if found is None:
         return spark.createDataFrame([], "path string, content binary")
-    return spark.read.format("binaryFile").load(listed).select("path", "content")
+    if not found.groupBy("path").count().where("count > 1").isEmpty():  # inputs that overlap
+        found = spark.read.format("binaryFile").load([r["path"] for r in found.select("path").distinct().collect()])
+    return found.select("path", "content")
+
+
+def _tasks(spark: SparkSession) -> int:
+    """Number of tasks for work that the size of its rows says little about; adaptive execution leaves a given number as it is."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def read_captures(spark: SparkSession, inputs: str | Sequence[str], paths: Sequence[str] | None = None, mode: str = "FAILFAST", prefixes: Sequence[str] = CAPTURE_PREFIXES) -> DataFrame:
@@ -170,39 +196,54 @@ def read_captures(spark: SparkSession, inputs: str | Sequence[str], paths: Seque
     wanted = set(paths) if paths is not None else None
     strict = mode == "FAILFAST"
 
+    frame_names = ["file", "chunk_no", "data", "_corrupt"]
+    frame_types = (pa.string(), pa.int32(), pa.binary(), pa.string())
+
     def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
         for batch in batches:
             for file, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                rows: list[tuple] = []
                 try:
-                    rows += [(file, n, body, None) for n, kind, body in frames(content.as_py()) if kind == 1]
+                    rows = [(file, n, body, None) for n, kind, body in frames(content.as_py()) if kind == 1]
                 except (ValueError, struct.error) as e:
                     if strict:
                         raise
-                    rows.append((file, -1, None, str(e)))
+                    rows = [(file, -1, None, str(e))]
                 for row in rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.string(), pa.int32(), pa.binary(), pa.string()), strict=True)], ["file", "chunk_no", "data", "_corrupt"])
+                    out.append(row)
+                    size += len(row[2] or b"")
+                    if size >= _BATCH_BYTES:
+                        yield _batch(out, frame_names, frame_types)
+                        out, size = [], 0
+        yield _batch(out, frame_names, frame_types)
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["file", "chunk_no", "path", "values", "_corrupt"]
         types = (pa.string(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.string())
         for batch in batches:
-            for row in batch.to_pylist():
-                out: list[tuple] = []
-                if row["data"] is None:
-                    out.append((row["file"], row["chunk_no"], None, None, row["_corrupt"]))
+            out: list[tuple] = []
+            size = 0
+            for file, number, data, corrupt in zip(*(batch.column(c) for c in frame_names), strict=True):
+                file, number, before = file.as_py(), number.as_py(), len(out)
+                if not data.is_valid:
+                    out.append((file, number, None, None, corrupt.as_py()))
                 else:
                     try:
-                        out += [(row["file"], row["chunk_no"], p, v, None) for p, v in decode_chunk(row["data"]).items() if wanted is None or p in wanted]
+                        out += [(file, number, p, v, None) for p, v in decode_chunk(data.as_py()).items() if wanted is None or p in wanted]
                     except (ValueError, struct.error, zlib.error) as e:
                         if strict:
                             raise
-                        out.append((row["file"], row["chunk_no"], None, None, str(e)))
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(types)], names)
+                        out.append((file, number, None, None, str(e)))
+                    else:
+                        size += sum(v.nbytes for _, _, _, v, _ in out[before:])
+                if size >= _BATCH_BYTES:
+                    yield _batch(out, names, types)
+                    out, size = [], 0
+            yield _batch(out, names, types)
 
     chunks = files.mapInArrow(framed, "file string, chunk_no int, data binary, _corrupt string")
     # Chunks of one large file are decoded in many tasks.
-    dealt = chunks.repartition("file", "chunk_no")
+    dealt = chunks.repartition(_tasks(spark), "file", "chunk_no")
     return dealt.mapInArrow(decoded, "file string, chunk_no int, path string, values array<bigint>, _corrupt string")
 
 

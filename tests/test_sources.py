@@ -143,6 +143,21 @@ def test_inputs_may_be_files_folders_and_missing(spark, folder, tmp_path):
     assert S.read_captures(spark, [f"{folder}/sub", f"{folder}/metrics.a"], ["serverStatus/uptime"]).count() == 2
 
 
+def test_many_folders_are_named_by_a_pattern(spark, tmp_path):
+    for host in range(3):
+        (tmp_path / f"host={host}").mkdir()
+        (tmp_path / f"host={host}" / "metrics.1").write_bytes(capture(chunk(FIRST, COLUMNS)))
+        (tmp_path / f"host={host}" / "metricsX1").write_bytes(b"not a capture")
+    inputs = [f"{tmp_path}/host=*", f"{tmp_path}/host=1/metrics.1", f"{tmp_path}/none=*"]
+    assert [r["path"].split("host=")[1] for r in S.list_captures(spark, inputs).collect()] == [f"{h}/metrics.1" for h in range(3)]
+    assert S.read_captures(spark, inputs, ["serverStatus/uptime"]).count() == 3
+
+
+def test_decoding_has_as_many_tasks_as_shuffles(spark, folder):
+    # Chunks are small and slow to decode, so their bytes must not decide how many tasks there are.
+    assert S.read_captures(spark, folder).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_good_captures_are_loaded_and_the_last_error_told(spark, folder, tmp_path):
     (tmp_path / "metrics.c").write_bytes(capture(chunk(FIRST, COLUMNS), chunk(FIRST, COLUMNS[:-1])))
     (tmp_path / "metrics.aa").write_bytes(capture(chunk(FIRST, COLUMNS))[:-9])
