@@ -430,3 +430,23 @@ def test_storage_sizes_round_ties_to_even(spark):
         return f"{n / 1024**power:.1f}" + ("", "KB", "MB", "GB", "TB", "PB")[power] if power else str(n)
 
     assert found == [printed(n) for n in sizes]
+
+
+def test_wide_series_equal_long_ones(spark):
+    from diagspark.operators.wide import Wide
+
+    rows = spark.range(9000).select((F.col("id") % 2).alias("host"), F.timestamp_seconds(F.col("id") % 4000).alias("ts"), F.col("id").alias("seq"), F.when(F.col("id") % 7 > 0, F.pmod(F.hash("id"), F.lit(50)).cast("double")).alias("x"))
+    wide = Wide(rows, (("a", "", F.col("x")), ("b", "e", F.col("x") * 2), ("none", "", F.lit(None).cast("double"))))
+    edges = F.timestamp_seconds(F.lit(100)), F.timestamp_seconds(F.lit(3900))
+    told = lambda found: sorted(tuple(r) for r in found.select("host", "metric", "entity", "n", "p5", "median", "p95").collect())
+    for most in (50, 1800):
+        assert told(wide.percentiles(*edges, most)) == told(A.range_percentiles(wide.points(), *edges, max_points=most))
+
+
+def test_the_mean_ratio_makes_no_pairs(spark):
+    rows = [("h", m, 1 + i % 3, float(v)) for m in ("part", "whole") for i, v in enumerate((1, 2, 0, 4, 5, 6, 7))]
+    points = spark.createDataFrame(rows, "host string, metric string, ts long, value double")
+    pairs = A.mean_ratio(A.aligned(points, "part", "whole", ("p", "w")), "p", "w").first()["mean_ratio"]
+    found = A.mean_ratio_in_time(points, "part", "whole")
+    assert found.first()["mean_ratio"] == pytest.approx(pairs)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
