@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import UNITS, clamp0, ratio
 from ..operators.series import guarded, replication_lag, share_of_delta
+from ..operators.wide import Wide
 from ..operators.windows import previous
+from .scratch import scratch
 
 #: Metric, kind, source paths below serverStatus, unit. Kinds: gauge, rate, cum-ratio, delta-ratio.
 STATUS_METRICS = (
@@ -81,6 +83,8 @@ STATUS_METRICS = (
     ("flowctl_acquiring_us", "rate", ("flowControl/timeAcquiringMicros",), ""),
     ("flowctl_lagged_count", "rate", ("flowControl/isLaggedCount",), ""),
 )
+#: Kinds that need no sample before.
+GAUGES = ("gauge", "cum-ratio")
 STATUS_PATHS = tuple(dict.fromkeys(p for _, _, paths, _ in STATUS_METRICS for p in paths))
 CPU_METRICS = {"idle_ms": "cpu_idle", "iowait_ms": "cpu_iowait", "system_ms": "cpu_system", "user_ms": "cpu_user", "nice_ms": "cpu_nice", "steal_ms": "cpu_steal", "softirq_ms": "cpu_softirq"}
 DISK_COUNTERS = ("read_time_ms", "write_time_ms", "io_queued_ms", "io_time_ms", "reads", "writes")
@@ -96,27 +100,39 @@ def status_points(samples: DataFrame, metrics=STATUS_METRICS) -> DataFrame:
 
     ``samples`` has host, ts, seq, uptime and a column for each source path.
     """
-    paths = list(dict.fromkeys(p for _, _, ps, _ in metrics for p in ps))
-    found = guarded(samples, paths)
-    here, before = (lambda p: F.col(f"`{p}`")), (lambda p: F.col(f"`prev_{p}`"))
-
-    def value(kind: str, paths: tuple[str, ...], unit: str) -> Column:
-        scale = F.lit(UNITS[unit])
-        if kind == "gauge":
-            return here(paths[0]).cast("double") / scale
-        if kind == "cum-ratio":
-            return F.when(here(paths[1]) > 0, ratio(here(paths[0]), here(paths[1])) / scale).otherwise(0.0)
-        grown = [here(p) - before(p) for p in paths]
-        if kind == "rate":
-            return clamp0(grown[0]) / scale / F.col("seconds")
-        return F.when(grown[1] > 0, clamp0(ratio(grown[0], grown[1]))).otherwise(0.0)
-
     has_before = F.col("prev_ts").isNotNull()
-    rows = [F.when(has_before | F.lit(kind in ("gauge", "cum-ratio")), F.struct(F.lit(m).alias("metric"), value(kind, ps, unit).alias("value"))) for m, kind, ps, unit in metrics]
-    each = found.select("host", "ts", "seq", F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("x"))
+    rows = [F.when(has_before | F.lit(kind in GAUGES), F.struct(F.lit(m).alias("metric"), _value(kind, ps, unit).alias("value"))) for m, kind, ps, unit in metrics]
+    each = _guarded(samples, metrics).select("host", "ts", "seq", F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("x"))
     return each.select("host", "x.metric", F.lit("").alias("entity"), "ts", "seq", "x.value")
 
 
+def _guarded(samples: DataFrame, metrics) -> DataFrame:
+    return guarded(samples, list(dict.fromkeys(p for _, _, ps, _ in metrics for p in ps)))
+
+
+def _value(kind: str, paths: tuple[str, ...], unit: str) -> Column:
+    """A metric at a sample that has the sample before beside it."""
+    here, before, scale = (lambda p: F.col(f"`{p}`")), (lambda p: F.col(f"`prev_{p}`")), F.lit(UNITS[unit])
+    if kind == "gauge":
+        return here(paths[0]).cast("double") / scale
+    if kind == "cum-ratio":
+        return F.when(here(paths[1]) > 0, ratio(here(paths[0]), here(paths[1])) / scale).otherwise(0.0)
+    grown = [here(p) - before(p) for p in paths]
+    if kind == "rate":
+        return clamp0(grown[0]) / scale / F.col("seconds")
+    return F.when(grown[1] > 0, clamp0(ratio(grown[0], grown[1]))).otherwise(0.0)
+
+
+def status_series(samples: DataFrame, metrics=STATUS_METRICS) -> list[Wide]:
+    """The series of ``status_points`` side by side: those with a point at every sample, and those that need a sample before. The values are stored, as they are read several times."""
+    path = scratch(samples.sparkSession, "status")
+    values = [_value(kind, ps, unit).cast("double").alias(f"v{i}") for i, (_, kind, ps, unit) in enumerate(metrics)]
+    _guarded(samples, metrics).select("host", "ts", "seq", F.col("prev_ts").isNotNull().alias("grown"), *values).write.parquet(path)
+    stored = samples.sparkSession.read.parquet(path)
+    kinds = [tuple((m, "", F.col(f"v{i}")) for i, (m, kind, _, _) in enumerate(metrics) if (kind in GAUGES) == gauges) for gauges in (True, False)]
+    return [Wide(rows, series) for rows, series in zip((stored, stored.where("grown")), kinds, strict=True) if series]
+
+
 def cpu_points(samples: DataFrame) -> DataFrame:
     """The processor shares as series."""
     shares = share_of_delta(samples, list(CPU_METRICS))
