@@ -134,18 +134,19 @@ def shared_tokenizer(path: str, generation: int = _GENERATION) -> WordTokenizer:
     return _tokenizers[path, generation]
 
 
-def tokenized(docs: DataFrame, path: str, end_id: int = END_ID, keep_words: bool = True) -> DataFrame:
+def tokenized(docs: DataFrame, path: str, end_id: int = END_ID, keep_words: bool = True, generation: int = _GENERATION) -> DataFrame:
     """doc_id, queue, part, before, n, ids: each document's ids and its place in its queue's share of a part.
 
     The rows are written to the shared folder, which fixes parts and places.
     Workers keep the words they have learned for later tasks unless
-    ``keep_words`` is off, which leaves more memory to what runs next.
+    ``keep_words`` is off, which leaves more memory to what runs next;
+    ``generation`` is how many words each half of a worker's cache may hold.
     """
     schema = docs.select("doc_id").schema
     out_type = f"doc_id {schema['doc_id'].dataType.simpleString()}, queue string, part long, before long, n long, ids binary"
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = shared_tokenizer(path)
+        tokenizer = shared_tokenizer(path, generation)
         end, width = np.array([end_id], tokenizer.kind).tobytes(), tokenizer.kind.itemsize
         part, served = TaskContext.get().partitionId(), {}
 
@@ -246,7 +247,7 @@ def _pieces(quanta: Quanta, queue: int, first: int, n: int, sequence: int, share
     return out
 
 
-def packed(docs: DataFrame, path: str | None = None, weights: dict[str, float] | None = None, sequence: int = SEQUENCE, window_sequences: int = 64, temperature: float = 1.0, keep_words: bool = True) -> DataFrame:
+def packed(docs: DataFrame, path: str | None = None, weights: dict[str, float] | None = None, sequence: int = SEQUENCE, window_sequences: int = 64, temperature: float = 1.0, keep_words: bool = True, generation: int = _GENERATION) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
 
     ``weights`` are the sources' target token proportions; without any they
@@ -256,7 +257,7 @@ def packed(docs: DataFrame, path: str | None = None, weights: dict[str, float] |
     as they occur; an empty table gives no rows. The driver sees one row a
     source (its total).
     """
-    tokens = tokenized(docs, path or tokenizer_path(), keep_words=keep_words)
+    tokens = tokenized(docs, path or tokenizer_path(), keep_words=keep_words, generation=generation)
     kind = shared_tokenizer(path or tokenizer_path()).kind.str
     parts = tokens.groupBy("queue", "part").agg(F.sum("n").alias("n"))
     earlier = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import lexical_search, warc
-from .binpack import packed_best_fit
+from .binpack import WORDS, packed_best_fit
 from .conversation import repaired_conversations
 from .flac import media_round_trip
 from .html_extract import main_texts
@@ -57,7 +57,7 @@ def op8_media_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents"), temperature=0.5)
+    return packed(table(spark, sf_dir, "documents"), temperature=0.5, generation=WORDS)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,3 +100,13 @@ def test_empty_table(spark):
 
 def test_special_strings_are_found():
     assert re.search(P.WordTokenizer(P.tokenizer_path()).special, "x<|endoftext|>")
+
+
+def test_the_query_keeps_as_many_words_as_best_fit_packing(monkeypatch):
+    from diagspark.llm import binpack, queries
+
+    asked = {}
+    monkeypatch.setattr(queries, "packed", lambda docs, **options: asked.update(options))
+    monkeypatch.setattr(queries, "table", lambda *_: None)
+    queries.op9_packing(None, "")
+    assert asked["generation"] == binpack.WORDS
