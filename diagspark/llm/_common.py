@@ -20,15 +20,16 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
+def bucketed(df: DataFrame, name: str, buckets: int, key: str, **options: str) -> DataFrame:
     """``df`` written to the shared folder in buckets by ``key`` and read again: grouping by the key, and by more, needs no exchange then.
 
     ``df`` should be dealt by the key to as many partitions, so that a task
-    writes one bucket.
+    writes one bucket, or have few large rows. ``options`` are the Parquet
+    writer's.
     """
     path = scratch(df.sparkSession, name)
     table = path.rpartition("/")[2].replace("-", "_")
-    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(table)
+    df.write.bucketBy(buckets, key).options(path=path, **options).saveAsTable(table)
     return df.sparkSession.table(table)
 
 

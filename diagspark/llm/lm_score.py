@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fold, stored, whole
+from ._common import bucketed, fold, stored, whole
 
 #: The end of a text is a token of its own, and the context of the first word.
 END = b"\n"
@@ -115,7 +115,7 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
 
 
 def _encode(docs: DataFrame) -> DataFrame:
-    """One row a chunk: its documents, and their tokens as numbers."""
+    """One row a chunk: its documents, and their tokens as numbers; in buckets by chunk, so that the answers come to them without moving them."""
     import xxhash
 
     rows = docs.select("doc_id", (fold("doc_id", 5) == 1).alias("held_out"), whole("text").alias("text"))
@@ -159,7 +159,9 @@ def _encode(docs: DataFrame) -> DataFrame:
             yield finish()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return stored(rows.mapInArrow(encoded, f"chunk long, ids array<{kind}>, train binary, ends binary, words binary, hashes binary"), "chunks")
+    chunks = rows.mapInArrow(encoded, f"chunk long, ids array<{kind}>, train binary, ends binary, words binary, hashes binary")
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return bucketed(chunks, "chunks", buckets, "chunk", compression="zstd")
 
 
 def _dealt(keys: np.ndarray, shares: int) -> tuple[np.ndarray, np.ndarray]:
@@ -280,7 +282,7 @@ def lm_scores(docs: DataFrame, weight: float = 0.3) -> DataFrame:
     tokens = chunks.agg(F.sum(F.length("words") / 4)).first()[0] or 0
     shares = max(8, math.ceil(tokens / SHARE_KEYS))
     totals = _sent(chunks, shares).groupBy("share").applyInPandas(_added, "chunk long, share long, kind long, also binary, total binary, seen long, different long")
-    answers = stored(totals, "answers")
+    answers = stored(totals, "answers", compression="zstd")
     sums = answers.where("chunk = -1 and kind = 1").agg(F.sum("seen"), F.sum("different")).first()
     seen, distinct = (int(x or 0) for x in sums)
     mine = answers.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("share", "kind", "also", "total")).alias("answers"))

@@ -82,3 +82,16 @@ def test_keys_come_back_from_messages(size):
     keys = np.sort(np.random.default_rng(1).integers(0, 1 << 63, size).astype(np.uint64) * np.uint64(2))
     raw = M._pack_keys(keys)
     assert np.array_equal(M._unpack_keys(raw), keys) and len(raw) <= 8 * size
+
+
+def test_chunks_are_not_moved_to_their_answers(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        found = M.lm_scores(cases.documents(spark))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(chunk") == 1 and "SortMergeJoin" in plan
+        check(found.collect(), [(r[0], r[1]) for r in cases.rows()])
+    finally:
+        spark.conf.set(key, before)
