@@ -1,13 +1,17 @@
 """Documents of unknown schema, as VARIANT or JSON text: numeric paths and redaction.
 
-A document is taken apart level by level inside its row, so nothing is
-shuffled; how many levels there are is measured on the data first.
+A document is taken apart inside its row, so nothing is shuffled: a VARIANT
+level by level, for which the number of levels is measured on the data first;
+a JSON text for numeric paths in one go.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import json
+from collections.abc import Callable, Iterator, Sequence
+from decimal import Decimal
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,15 +49,6 @@ def _children(value: Column) -> Column:
     return F.coalesce(members.cast(_ENTRIES), places.cast(_ENTRIES))
 
 
-def _text_children(text: Column) -> Column:
-    """The same of a JSON text: key, value, and the member's own text; a key that comes twice does so here too."""
-    kinds, texts = F.from_json(text, _OBJECT), F.from_json(text, "map<string,string>")
-    members = F.transform(F.arrays_zip(F.map_entries(kinds).alias("k"), F.map_values(texts).alias("t")), lambda e: F.struct(e["k"]["key"].alias("key"), e["k"]["value"].alias("value"), e["t"].alias("text")))
-    kinds, texts = F.from_json(text, _LIST), F.from_json(text, "array<string>")
-    places = F.transform(F.arrays_zip(kinds.alias("k"), texts.alias("t")), lambda e, i: F.struct(i.cast("string").alias("key"), e["k"].alias("value"), e["t"].alias("text")))
-    return F.when(text.startswith("{"), members).when(text.startswith("["), places)
-
-
 def _number(value: Column) -> Column:
     """A numeric leaf as a whole number: fractions cut off, booleans 0 or 1, times in milliseconds; null for all else."""
     kind = F.schema_of_variant(value)
@@ -76,34 +71,86 @@ def _first_of_paths(leaves: Column) -> Column:
     return F.when(F.size(F.array_distinct(paths)) < F.size(paths), first).otherwise(leaves)
 
 
+def _whole_number(text: str) -> int | None:
+    """A JSON integer; null for one that has too many digits for 64 bits."""
+    return int(text) if len(text) <= 20 else None
+
+
+def _cut_number(text: str) -> int | None:
+    """A JSON number with a fraction or an exponent, cut off as Spark's decimals (38 digits) and doubles are; null for one beyond them."""
+    if "e" not in text and "E" not in text:
+        exact = Decimal(text)
+        if len(text) <= 38 or len(exact.as_tuple().digits) <= 38 and -exact.as_tuple().exponent <= 38:
+            return int(exact)
+    value = float(text)
+    return int(value) if abs(value) <= 1 << 63 else None
+
+
+def _no_number(text: str) -> None:
+    raise ValueError(f"{text} is no JSON")
+
+
+#: Objects become tuples of their pairs, so that order and repeated keys are kept.
+_JSON = json.JSONDecoder(object_pairs_hook=tuple, parse_int=_whole_number, parse_float=_cut_number, parse_constant=_no_number)
+
+
+def _numeric_paths(text: str | None) -> dict[str, int]:
+    """The numeric leaves of a JSON text by path, of a path that comes twice the first; what follows an object or list is passed over, as by Spark's parser."""
+    text = (text or "").lstrip(" \t\r\n")
+    try:
+        value, end = _JSON.raw_decode(text)
+    except (ValueError, RecursionError):
+        return {}
+    if type(value) not in (tuple, list) and text[end : end + 1].strip(" \t\r\n"):
+        return {}
+    found: dict[str, int] = {}
+    waiting = [("", value)]
+    while waiting:
+        path, value = waiting.pop()
+        kind = type(value)
+        if kind is tuple or kind is list:
+            before = f"{path}/" if path else ""
+            waiting += [(f"{before}{name}", x) for name, x in reversed(value if kind is tuple else list(enumerate(value)))]
+        elif (kind is int or kind is bool) and -1 << 63 <= value < 1 << 63:
+            found.setdefault(path.encode("utf-8", "replace").decode(), int(value))
+    return found
+
+
+def _text_leaves(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in texts:
+        paths: list[str] = []
+        values: list[int] = []
+        ends = [0]
+        for text in batch:
+            found = _numeric_paths(text.as_py())
+            paths += found
+            values += found.values()
+            ends.append(len(paths))
+        leaves = pa.StructArray.from_arrays([pa.array(paths, pa.string()), pa.array(values, pa.int64())], ["path", "value"])
+        yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), leaves)
+
+
 def flatten_documents(df: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
     """keys, path, value: the numeric leaves of documents whose shapes differ.
 
     ``column`` is VARIANT or JSON text. Steps are joined by ``/``, a list's
     place is a step, booleans are 0 or 1, fractions are cut off, times are
     milliseconds; strings, nulls and numbers beyond 64 bits are dropped. Of a
-    path that comes twice the first counts, also where a text has a key twice
-    (for this the session's spark.sql.variant.allowDuplicateKeys is set). A text
-    that is no JSON, and a null, give no rows.
+    path that comes twice the first counts, also where a text has a key twice.
+    A text that is no JSON, and a null, give no rows. Texts are read once, in
+    one pass, however deep they nest.
     """
-    join = lambda p, name: F.when(p == "", name).otherwise(F.concat(p, F.lit("/"), name))
-    steps, text = depth(df, column), _is_text(df, column)
-    if text:
-        df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-        start = F.array(F.struct(F.lit("").alias("path"), F.try_parse_json(column).alias("value"), F.trim(column).alias("text")))
-
-        def members(e: Column) -> Column:
-            each = F.transform(_text_children(e["text"]), lambda x: F.struct(join(e["path"], x["key"]).alias("path"), x["value"].alias("value"), x["text"].alias("text")))
-            nested = F.schema_of_variant(e["value"]).rlike("^(OBJECT|ARRAY)<")
-            return F.coalesce(F.when(nested, each), F.array(e))
+    if _is_text(df, column):
+        leaves = F.arrow_udf(_text_leaves, "array<struct<path:string,value:bigint>>")(column)
     else:
+        join = lambda p, name: F.when(p == "", name).otherwise(F.concat(p, F.lit("/"), name))
         start = F.array(F.struct(F.lit("").alias("path"), F.col(column).alias("value")))
 
         def members(e: Column) -> Column:
             return F.coalesce(F.transform(_children(e["value"]), lambda x: F.struct(join(e["path"], x["key"]).alias("path"), x["value"].alias("value"))), F.array(e))
 
-    numbers = F.transform(_levels(start, steps, members), lambda e: F.struct(e["path"].alias("path"), _number(e["value"]).alias("value")))
-    leaves = _first_of_paths(F.filter(numbers, lambda x: x["value"].isNotNull()))
+        numbers = F.transform(_levels(start, depth(df, column), members), lambda e: F.struct(e["path"].alias("path"), _number(e["value"]).alias("value")))
+        leaves = _first_of_paths(F.filter(numbers, lambda x: x["value"].isNotNull()))
     return df.select(*keys, F.explode(leaves).alias("x")).select(*keys, "x.path", "x.value")
 
 

@@ -393,6 +393,20 @@ def test_numeric_paths_of_any_document(spark):
         assert found == [p if column == "text" or i != 1 else {} for i, p in enumerate(PATHS)]
 
 
+def test_numeric_paths_of_texts_in_one_pass(spark):
+    from diagspark.operators.documents import flatten_documents
+
+    deep = "[" * 400 + "5" + "]" * 400
+    texts = ["\n\t{\"a\": [1.9, -0.5, 2e3, true]}", deep, '{"":{"":1,"b":2}}', "[NaN,1]", "[01]", "12x", " 12 ", '{"n":-9223372036854775808,"m":9223372036854775808,"e":1e400}', '{"s":"\\ud800","\\ud800":3}']
+    want = [{"a/0": 1, "a/1": 0, "a/2": 2000, "a/3": 1}, {"/".join("0" * 400): 5}, {"": 1, "b": 2}, {}, {}, {}, {"": 12}, {"n": -(1 << 63)}, {"?": 3}]
+    found = [{} for _ in texts]
+    frame = flatten_documents(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), "text", ["i"])
+    for r in frame.collect():
+        found[r["i"]][r["path"]] = r["value"]
+    assert found == want
+    assert "from_json" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
 def test_redaction_of_any_document(spark):
     import json
 
