@@ -43,19 +43,27 @@ _PAIRS = list(combinations(range(BYTES), 2))
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
-def _shingles(text: str | None, shingle: int, seed: int) -> tuple[bytes, np.ndarray]:
-    """The lower-case words of a whole text with single spaces, and the hash of every shingle."""
+def _shingles_of(text: str | None, sizes: tuple[int, ...], seed: int) -> tuple[bytes, list[np.ndarray]]:
+    """The lower-case words of a whole text with single spaces, and for each size the hash of every shingle."""
     import xxhash
 
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return b"", np.zeros(0, np.uint64)
+        return b"", [np.zeros(0, np.uint64) for _ in sizes]
     digest, joined = xxhash.xxh64_intdigest, b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    last = min(shingle, len(words)) - 1
-    spans = zip(starts[: len(words) - last].tolist(), ends[last:].tolist(), strict=True)
-    return joined, np.fromiter((digest(joined[a:b], seed) for a, b in spans), np.uint64, len(words) - last)
+    found = []
+    for shingle in sizes:
+        last = min(shingle, len(words)) - 1
+        spans = zip(starts[: len(words) - last].tolist(), ends[last:].tolist(), strict=True)
+        found.append(np.fromiter((digest(joined[a:b], seed) for a, b in spans), np.uint64, len(words) - last))
+    return joined, found
+
+
+def _shingles(text: str | None, shingle: int, seed: int) -> tuple[bytes, np.ndarray]:
+    joined, found = _shingles_of(text, (shingle,), seed)
+    return joined, found[0]
 
 
 def _majority(hashes: np.ndarray) -> int:
@@ -265,26 +273,30 @@ def _first_rows(docs: DataFrame, marked: DataFrame, node: str, classed: DataFram
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, key, fp, node (a hash of the words), p0.. (fingerprints of the set of shingles) of every row."""
+    """doc_id, key, fp, node (a hash of the words), p0.. (fingerprints of the set of shingles) of every row.
+
+    One function gives ``fp`` (see ``fingerprints``) and the others: two would
+    be two Python workers a task, each with its own copy of the texts.
+    """
     import xxhash
 
-    names = ["node", *(f"p{i}" for i in range(PRINTS))]
+    names = ["fp", "node", *(f"p{i}" for i in range(PRINTS))]
 
     @F.pandas_udf(", ".join(f"{n} long" for n in names))
     def sketch(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             rows = np.zeros((len(batch), len(names)), np.uint64)
             for row, text in zip(rows, batch, strict=True):
-                joined, hashes = _shingles(text, SIMILAR_SHINGLE, 42)
+                joined, (plain, hashes) = _shingles_of(text, (4, SIMILAR_SHINGLE), 42)
                 hashes = np.unique(hashes)
-                row[0], row[1] = xxhash.xxh64_intdigest(joined, 42), _majority(hashes)
+                row[0], row[1], row[2] = _majority(plain), xxhash.xxh64_intdigest(joined, 42), _majority(hashes)
                 for i, factor in enumerate(_MIX):
                     mixed = hashes * np.uint64(factor)
                     mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(_MIX[0])
-                    row[i + 2] = _majority(mixed ^ (mixed >> np.uint64(29)))
+                    row[i + 3] = _majority(mixed ^ (mixed >> np.uint64(29)))
             yield pd.DataFrame(rows.view(np.int64), columns=names)
 
-    return fingerprints(docs).select("doc_id", _key().alias("key"), "fp", sketch(whole("text")).alias("s")).select("doc_id", "key", "fp", "s.*")
+    return docs.select("doc_id", _key().alias("key"), sketch(whole("text")).alias("s")).select("doc_id", "key", "s.*")
 
 
 def _similar_of(rows: dict[str, np.ndarray], nearest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -149,3 +149,11 @@ def test_empty_table(spark):
     docs = cases.documents(spark).where(F.lit(False))
     assert S.near_duplicates(docs).collect() == []
     assert S.without_near_duplicates(docs).collect() == []
+
+
+def test_sketches_come_from_one_python_function(spark):
+    found = S.sketches(cases.documents(spark))
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    marks = S.fingerprints(cases.documents(spark)).select("doc_id", "fp")
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["fp"])
+    assert sorted(map(key, found.collect())) == sorted(map(key, marks.collect()))
