@@ -28,6 +28,7 @@ FAMILIES = {
 DIMENSIONS = 4096
 _SPACE = bytes(c if chr(c).isalpha() or c > 127 else 32 for c in range(256))
 _BLOCK = 1 << 22
+_PACKED = np.dtype([("place", ">u2"), ("count", "<f4")])
 
 
 def family_of(lang: str) -> str:
@@ -55,6 +56,20 @@ def trigram_counts(text: str | None) -> np.ndarray:
     return total
 
 
+def packed_counts(counts: np.ndarray) -> bytes:
+    """The counts that are not 0, each behind 4096 less its bucket; such bytes are in the order of the whole vectors' bytes."""
+    held = np.flatnonzero(counts)
+    out = np.empty(len(held), _PACKED)
+    out["place"], out["count"] = DIMENSIONS - held, counts[held]
+    return out.tobytes()
+
+
+def unpacked_counts(raw, into: np.ndarray) -> None:
+    """Add what ``packed_counts`` gave to a vector of zeros."""
+    held = np.frombuffer(raw, _PACKED)
+    into[DIMENSIONS - held["place"].astype(np.int64)] = held["count"]
+
+
 def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
@@ -156,11 +171,16 @@ def fit_languages(x: np.ndarray, langs: list[str]) -> LanguageModel:
     unit = x / np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12).astype(x.dtype)[:, None]
     columns, tasks = [], [(np.ones(len(x), bool), kin == f) for f in families] + [((label == a) | (label == b), label == a) for a, b in pairs]
     scale = []
+
+    def summed(w: np.ndarray) -> np.ndarray:
+        # In parts, as a product with doubles makes doubles of all counts.
+        return np.concatenate([x[:0] @ w, *(x[at : at + 256] @ w for at in range(0, len(x), 256))])
+
     for rows, positive in tasks:
         y = np.where(positive[rows], 1.0, -1.0)
         w = fit_linear_svm(unit, y, np.flatnonzero(rows)) if len(set(y)) == 2 else np.zeros(x.shape[1])
         columns.append(w)
-        scale.append(3.0 / max(float(np.median(np.abs((x @ w)[rows] / sums[rows]))), 1e-9) if rows.any() else 1.0)
+        scale.append(3.0 / max(float(np.median(np.abs(summed(w)[rows] / sums[rows]))), 1e-9) if rows.any() else 1.0)
     weights = np.stack(columns, axis=1) if columns else np.zeros((DIMENSIONS, 0))
     return LanguageModel(families, members, pairs, weights, np.array(scale))
 
@@ -171,7 +191,7 @@ def train_languages(docs: DataFrame, sample: int = 2_000) -> LanguageModel:
     The fold is the rows whose crc32(doc_id as text) mod 5 is not 0 and whose
     lang is not null; the sample takes, of each language, the rows with the
     smallest hashes in turn, so rare languages are in it. What reaches the
-    driver is a count vector a sampled row.
+    driver is the counts of a sampled row that are not 0.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", 5) != 0))
     # Ranks within a language and one of 64 buckets of the hash, so a hot language is dealt to many tasks.
@@ -182,15 +202,15 @@ def train_languages(docs: DataFrame, sample: int = 2_000) -> LanguageModel:
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            vectors = [trigram_counts(t).astype(np.float32).tobytes() for t in batch["text"]]
+            vectors = [packed_counts(trigram_counts(t).astype(np.float32)) for t in batch["text"]]
             yield pd.DataFrame({"lang": batch["lang"], "x": vectors})
 
     known = rows.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"]).select("lang", "text")
     table = known.mapInPandas(counted, "lang string, x binary").orderBy("lang", "x").limit(2 * sample).toArrow()
     # One copy of the vectors on the driver.
-    langs, x = table.column("lang").to_pylist(), np.empty((table.num_rows, DIMENSIONS), np.float32)
+    langs, x = table.column("lang").to_pylist(), np.zeros((table.num_rows, DIMENSIONS), np.float32)
     for row, vector in zip(x, table.column("x"), strict=True):
-        row[:] = np.frombuffer(vector.as_buffer(), np.float32)
+        unpacked_counts(vector.as_buffer(), row)
     del table
     return fit_languages(x, langs)
 

@@ -439,7 +439,7 @@ def _between(docs: DataFrame, marked: DataFrame, waiting: DataFrame, groups: Dat
 
 
 def similar_links(docs: DataFrame, marked: DataFrame, known: DataFrame) -> DataFrame:
-    """a, b: ``known`` links and those among the nodes of ``marked`` (see ``sketches``) whose shingle sets are similar enough.
+    """a, b: links with the components of ``known`` links and of those among the nodes of ``marked`` (see ``sketches``) whose shingle sets are similar enough.
 
     First the nearest candidates of each node are checked. Nodes that had more
     are then compared, between the components found so far, by their rarest
@@ -453,8 +453,9 @@ def similar_links(docs: DataFrame, marked: DataFrame, known: DataFrame) -> DataF
     waiting = stored(found.where("more").select(F.col("a").alias("node")).distinct(), "waiting")
     if waiting.isEmpty():
         return links
-    rest = _between(docs, marked, waiting, components(links, "a", "b"))
-    return links.union(_alike(docs, marked, stored(rest.join(pairs, ["a", "b"], "left_anti"), "candidates")))
+    groups = components(links, "a", "b")
+    rest = _between(docs, marked, waiting, groups)
+    return groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(_alike(docs, marked, stored(rest.join(pairs, ["a", "b"], "left_anti"), "candidates")))
 
 
 def without_similar(docs: DataFrame) -> DataFrame:
@@ -467,9 +468,12 @@ def without_similar(docs: DataFrame) -> DataFrame:
     as in ``without_near_duplicates``.
     """
     marked = stored(sketches(docs.select("doc_id", "text")), "sketches")
-    near = marked.select("node", "fp").distinct().join(near_classes(marked), "fp")
-    least = near.groupBy("component").agg(F.min("node").alias("b"))
-    close = near.join(least, "component").select(F.col("node").alias("a"), "b").where("a <> b")
+    # Links of fingerprints become links of their least nodes: the components of all links are found together.
+    first = stored(marked.groupBy("fp").agg(F.min("node").alias("first")), "nodes")
+    alike = marked.join(first, "fp").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    ends = [first.select(F.col("fp").alias(s), F.col("first").alias(f"{s}_node")) for s in "ab"]
+    linked_prints = near_links(first.select("fp")).join(ends[0], "a").join(ends[1], "b")
+    close = alike.union(linked_prints.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))).distinct()
     linked = components(similar_links(docs, marked, stored(close, "close")), "a", "b")
     joined = marked.select("node").distinct().join(linked, "node", "left")
     classed = stored(joined.select("node", F.coalesce("component", "node").alias("component")), "components")

@@ -123,3 +123,24 @@ def test_languages_equal_the_plain_decision(spark):
     for r in L.languages(docs).collect():
         lang, score = want[r["doc_id"]]
         assert r["lang_pred"] == lang and np.isclose(r["score"], score, atol=1e-4)
+
+
+def test_training_counts_reach_the_driver_without_zeros(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    frame, sent = type(docs), []
+    plain = frame.toArrow
+    monkeypatch.setattr(frame, "toArrow", lambda self: sent.append(plain(self)) or sent[-1])
+    L.train_languages(docs)
+    (table,) = sent
+    assert table.num_rows and table.nbytes < table.num_rows * 4 * L.DIMENSIONS / 4
+
+
+def test_packed_counts_are_the_counts_in_the_same_order():
+    texts = ["", "a", "the cat", "the cat ", "the cats", "der Hund", "the the the", cases.ENGLISH, cases.GERMAN]
+    whole = [L.trigram_counts(t).astype(np.float32) for t in texts]
+    packed = [L.packed_counts(x) for x in whole]
+    for x, raw in zip(whole, packed, strict=True):
+        back = np.zeros(L.DIMENSIONS, np.float32)
+        L.unpacked_counts(raw, back)
+        assert (back == x).all()
+    assert sorted(range(len(texts)), key=lambda i: (whole[i].tobytes(), i)) == sorted(range(len(texts)), key=lambda i: (packed[i], i))

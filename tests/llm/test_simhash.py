@@ -157,3 +157,33 @@ def test_sketches_come_from_one_python_function(spark):
     marks = S.fingerprints(cases.documents(spark)).select("doc_id", "fp")
     key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["fp"])
     assert sorted(map(key, found.collect())) == sorted(map(key, marks.collect()))
+
+
+def test_components_take_the_state_as_edges_are_written(spark, monkeypatch):
+    """As a plain union-find gives them, and no edge is read again for the state of a round."""
+    from diagspark.llm.graph import components
+
+    order = random.Random(3)
+    pairs = [(order.randrange(60), order.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(12)] + [(200, i) for i in range(201, 215)]
+    root = {n: n for pair in pairs for n in pair}
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    want = {n: root[n] for a, b in pairs if a != b for n in (a, b)}
+    links = spark.createDataFrame([*pairs, (None, 1), (5, None)], "a long, b long")
+    monkeypatch.setattr(type(links), "first", lambda self: pytest.fail("edges were read again"))
+    found = components(links, "a", "b").collect()
+    assert len(found) == len(want) and {r["node"]: r["component"] for r in found} == want
+    assert components(links.where("a < 0"), "a", "b").collect() == []
+
+
+def test_both_kinds_of_links_share_one_search_for_components(spark, monkeypatch):
+    from diagspark.llm import _common
+
+    docs = cases.documents(spark)
+    made, plain = [], _common.scratch
+    monkeypatch.setattr(_common, "scratch", lambda session, name: made.append(name) or plain(session, name))
+    kept = {r["doc_id"] for r in S.without_similar(docs).collect()}
+    assert {r["component_id"] for r in S.near_duplicates(docs).collect() if r["component_id"] is not None} >= kept - {None}
+    # One search is near_duplicates' own.
+    assert made.count("edges") == 2
